@@ -10,9 +10,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def query(name: str, sql: str | None = None):
+    """Register a query (spark, sf_dir) -> DataFrame, with its DuckDB SQL where SQL can express it."""
+
+    def register(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return register
+
+
+def _load() -> None:
+    from firegrid.plans import clusters, ingest, relational, scalars, surface  # noqa: F401
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(ORACLES)
