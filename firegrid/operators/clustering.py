@@ -25,6 +25,8 @@ from firegrid.operators.graph import components_of, shared_checkpoint
 from firegrid.operators.spatial import cell_steps
 
 SLACK_M, SLACK_H = 1.0, 0.001
+#: Groups up to this size are not cut further: one task handles them in seconds.
+GROUP_ROWS = 50_000
 
 
 def reach(params: ClusteringParams) -> tuple[float, float]:
@@ -43,7 +45,8 @@ def closed_components(detections: DataFrame, reach_m: float, reach_h: float, rou
 
     Cells of the size of the reach are joined with their neighbours; each component is then
     cut where it is silent for longer than the reach, and the pieces are joined again by
-    cells of their own. Any number of rounds is exact; more make smaller groups.
+    cells of their own. Any number of rounds is exact; more make smaller groups, and they
+    end once all groups are small.
     """
     top = detections.agg(F.max(F.abs("latitude"))).first()[0] or 0.0
     sx, sy = cell_steps(reach_m, top)
@@ -65,6 +68,8 @@ def closed_components(detections: DataFrame, reach_m: float, reach_h: float, rou
         piece = F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))
         out = cut.withColumn("_piece", piece).withColumn("component", F.sha2(F.concat_ws("|", "zone.component", "zone._x", "zone._y", "_piece"), 256)).drop("zone", "_new", "_piece")
         out = shared_checkpoint(out)
+        if out.groupBy("component").count().filter(F.col("count") > GROUP_ROWS).isEmpty():
+            break
     return out.drop("_x", "_y")
 
 
