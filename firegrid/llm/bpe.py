@@ -88,7 +88,7 @@ def cuts(raw: bytes) -> list[int]:
 
 def chunks(raw: bytes) -> list[bytes]:
     ends = cuts(raw)
-    return [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+    return [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
 def _digest(chunk: bytes) -> bytes:
