@@ -44,7 +44,35 @@ _SEPARATOR = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased as far as ASCII letters go: the two other characters that lower to ASCII stay out."""
-    return F.lower(F.when(text.rlike("[Kİ]"), F.regexp_replace(text, "[Kİ]", "à")).otherwise(text))
+    odd = F.contains(text, F.lit("K")) | F.contains(text, F.lit("İ"))
+    return F.lower(F.when(odd, F.regexp_replace(text, "[Kİ]", "à")).otherwise(text))
+
+
+def count_words(text: Column) -> Column:
+    """Words of a text: the pieces between separators without the empty ones at its ends."""
+    pieces = F.split(text, _SEPARATOR + "+", -1)
+    ends = (F.element_at(pieces, 1) == "").cast("int") + (F.element_at(pieces, -1) == "").cast("int")
+    return F.greatest(F.size(pieces) - ends, F.lit(0)).cast("long")
+
+
+def _holds_all(low: Column, words: list[str]) -> Column:
+    out = F.contains(low, F.lit(words[0]))
+    for w in words[1:]:
+        out = out & F.contains(low, F.lit(w))
+    return out
+
+
+def _may_match(low: Column, sets, needed) -> Column:
+    """Whether a text holds a word of some template's prefix in the order by length.
+
+    A block with `need` of a template's n words holds one of any n - need + 1 of them, so
+    the texts that fail cannot match; long words are rare before frequencies are known.
+    """
+    first = {w for s, need in zip(sets, needed, strict=True) for w in sorted(s, key=lambda w: (-len(w), w))[: len(s) - need + 1]}
+    out = F.lit(False)
+    for w in sorted(first):
+        out = out | F.contains(low, F.lit(w))
+    return out
 
 
 def _phrase(words: str) -> str:
@@ -52,17 +80,17 @@ def _phrase(words: str) -> str:
     return rf"(?i){words.split()[0]}{''.join(_SEPARATOR + '+' + w for w in words.split()[1:])}(?![{inside}])".replace("(?i)", rf"(?i)(?<![{inside}])", 1)
 
 
-def _starts(text: Column, phrase: str) -> Column:
+def _starts(text: Column, low: Column, phrase: str) -> Column:
     """Word numbers at which the phrase begins: the words in the pieces between the matches, summed up."""
     pieces = F.transform(F.split(text, _phrase(phrase), -1), lambda x: F.regexp_count(x, F.lit(LICENSE_WORD)))
     n = len(phrase.split())
     found = F.transform(
         F.sequence(F.lit(1), F.size(pieces) - 1), lambda k: F.aggregate(F.slice(pieces, 1, k), F.lit(0), lambda a, x: a + x) + (k - 1) * n
     )
-    return F.when(text.rlike(_phrase(phrase)), found).otherwise(F.array().cast("array<int>"))
+    return F.when(_holds_all(low, phrase.split()) & text.rlike(_phrase(phrase)), found).otherwise(F.array().cast("array<int>"))
 
 
-def _blocks(text: Column, vocabulary: list[str], least: int) -> Column:
+def _blocks(low: Column, vocabulary: list[str], least: int) -> Column:
     """(line, window, words) of every block with at least `least` distinct template words; words is projected."""
     known = F.array(*map(F.lit, vocabulary))
     step = lambda n: F.sequence(F.lit(0), F.greatest(n - BLOCK_WORDS + BLOCK_STEP - 1, F.lit(0)), F.lit(BLOCK_STEP))
@@ -74,7 +102,7 @@ def _blocks(text: Column, vocabulary: list[str], least: int) -> Column:
             F.transform(step(F.size(words)), lambda s: F.struct(at.alias("line"), s.alias("window"), F.array_intersect(F.slice(words, s + 1, BLOCK_WORDS), known).alias("words")))
         )
 
-    cut = F.flatten(F.transform(F.split(ascii_lower(text), "\n", -1), windows))
+    cut = F.flatten(F.transform(F.split(low, "\n", -1), windows))
     return F.filter(cut, lambda b: F.size(b["words"]) >= least)
 
 
@@ -90,15 +118,12 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, threshold: float = THRES
     needed = [math.ceil(threshold * len(s) - 1e-9) for s in sets]
     vocabulary = sorted({w for s in sets for w in s})
     text = F.coalesce(F.col("text"), F.lit(""))
-    starts = {f"at_{k}": _starts(F.col("text"), phrase) for k, (phrase, _) in enumerate(PHRASES)}
-    rows = checkpoint(
-        docs.select("doc_id", text.alias("text"), F.monotonically_increasing_id().alias("row")).select(
-            "row", "doc_id", F.regexp_count("text", F.lit(LICENSE_WORD)).cast("long").alias("n_words"),
-            *(x.alias(k) for k, x in starts.items()),
-            _blocks(F.col("text"), vocabulary, min(needed)).alias("blocks"),
-        )
-    )
-    places = F.concat(*starts)
+    low = F.col("low")
+    starts = {f"at_{k}": _starts(F.col("text"), low, phrase) for k, (phrase, _) in enumerate(PHRASES)}
+    blocks = F.when(_may_match(low, sets, needed), _blocks(low, vocabulary, min(needed)))
+    lowered = docs.select("doc_id", text.alias("text"), F.monotonically_increasing_id().alias("row")).withColumn("low", ascii_lower(F.col("text")))
+    rows = checkpoint(lowered.select("row", "doc_id", count_words(F.col("text")).alias("n_words"), *(x.alias(k) for k, x in starts.items()), blocks.alias("blocks")))
+    places = F.concat(*(F.col(k) for k in starts))
     labels = F.array_compact(F.array(*(F.when(F.size(f"at_{k}") > 0, F.lit(label)) for k, (_, label) in enumerate(PHRASES))))
     documents = rows.select(
         "row", "doc_id", "n_words", F.size(places).cast("long").alias("n_base"),
