@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from firegrid.llm.common import bit_map, cell, checkpoint, filter_bits, marked
+from firegrid.llm.common import bit_map, bound_arrow_batches, cell, checkpoint, filter_bits, marked
 
 SPECIALS = {"<|endoftext|>": 50256}
 #: Chunks have 2**CHUNK_BITS bytes on average beyond MIN_CHUNK.
@@ -170,6 +170,7 @@ def encoding_digests(docs: DataFrame, vocabulary: str | None = None) -> DataFram
 
 
 def _encoded(docs: DataFrame, vocabulary: str | None, columns: str, result) -> DataFrame:
+    bound_arrow_batches(docs.sparkSession)
     path = vocabulary or default_vocabulary()
     schema = f"doc_id long, {columns}"
     out_schema = docs.sparkSession.createDataFrame([], schema).schema

@@ -18,6 +18,9 @@ SPACES = r"[\x20\x09-\x0D]+"
 MAX_FILTER_BITS = 1 << 28
 #: Rows of a small table that may be broadcast.
 MAX_BROADCAST_ROWS = 50_000
+#: Bytes of an Arrow batch at most, where the session does not set its own bound. A batch lies in
+#: memory several times (as rows, as vectors on both sides, as Python objects), once for each task.
+ARROW_BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +44,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def bound_arrow_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches by bytes, unless its user did: whole texts differ widely in length."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, ARROW_BATCH_BYTES)
+
+
 def small(df: DataFrame, rows: int) -> DataFrame:
     """Broadcast a side whose counted rows are few, else leave the choice to Spark."""
     return F.broadcast(df) if rows <= MAX_BROADCAST_ROWS else df

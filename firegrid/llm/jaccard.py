@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from firegrid.llm.common import checkpoint, drop_rows, keep_rows
+from firegrid.llm.common import bound_arrow_batches, checkpoint, drop_rows, keep_rows
 from firegrid.llm.components import connected_components
 from firegrid.llm.hashing import mix, shingle_hashes, word_hashes
 
@@ -232,6 +232,7 @@ def similar_groups(docs: DataFrame, threshold: Threshold) -> DataFrame:
     one id get one row each with the same values if their texts agree; rows with a null id
     have no place in a link and are left out. Other columns are ignored.
     """
+    bound_arrow_batches(docs.sparkSession)
     named = docs.filter("doc_id is not null").select("doc_id", "text")
     rows = checkpoint(
         named.select("doc_id", F.when(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.md5(F.col("text").cast("binary"))).alias("digest"), F.monotonically_increasing_id().alias("row"))

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from firegrid.llm.common import bound_arrow_batches
 from firegrid.llm.hashing import mix, shingle_hashes, word_hashes
 from firegrid.llm.sampling import labelled_sample
 
@@ -118,6 +119,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -
     A quarter of the sample is kept for calibration, weighted so that the classes have
     their shares among all labels.
     """
+    bound_arrow_batches(docs.sparkSession)
     sample, counts = labelled_sample(docs, labels, "quality", per_class)
     got = sample.mapInArrow(_sparse, "doc_id long, label int, cells binary, shares binary").toPandas().sort_values(["doc_id", "cells"], ignore_index=True)
     y = got["label"].to_numpy(float)

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from firegrid.llm.common import bound_arrow_batches
 from firegrid.llm.hashing import NON_ALNUM, word_hashes
 from firegrid.llm.sampling import labelled_sample
 
@@ -185,6 +186,7 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, per_c
 
     `allowed` restricts the labels by doc_id. A fifth of the sample only calibrates.
     """
+    bound_arrow_batches(docs.sparkSession)
     sample, counts = labelled_sample(docs, labels, "toxic", per_class, allowed)
     got = sample.mapInArrow(_hashed, "doc_id long, label int, words binary").toPandas().sort_values(["doc_id", "words"], ignore_index=True)
     texts = [np.frombuffer(x, np.uint64) for x in got["words"]]
