@@ -1,8 +1,9 @@
 """Line de-duplication by winnowing over line hashes, in DataFrame functions only.
 
-A repeated unit is RUN_LINES consecutive lines, or one line of LONG_LINE words or more,
-that stood earlier, by doc_id and place. Of every window of RUN_LINES lines the smallest
-line hash is a fingerprint, so a repeated run always repeats a fingerprint. Fingerprints
+A repeated unit is RUN_LINES consecutive lines, or one line of LONG_LINE words or more, or
+two consecutive lines with LONG_LINE words or more in sum, that stood earlier, by doc_id
+and place. Of every window of RUN_LINES lines, and of every such pair, the smallest line
+hash is a fingerprint, so a repeated run always repeats a fingerprint. Fingerprints
 that occur once are ruled out by a bounded filter; around the others the windows extend
 both ways, are joined by content with their first occurrence, and the union of the later
 ones is deleted.
@@ -21,12 +22,11 @@ _WHITE = " \t\n\x0b\x0c\r"
 
 
 def _lines(text: Column) -> Column:
-    """The lines that hold a word: number, two hashes of the trimmed line, and whether it is long."""
+    """The lines that hold a word: number, two hashes of the trimmed line, and its words."""
 
     def described(line: Column, at: Column) -> Column:
         body = F.btrim(line, F.lit(_WHITE))
-        long = F.when(F.char_length(body) >= 2 * LONG_LINE - 1, F.regexp_count(body, F.lit(WORD)) >= LONG_LINE).otherwise(False)
-        return F.when(body != "", F.struct(at.alias("at"), F.xxhash64(body).alias("h"), F.xxhash64(body, F.lit(3)).alias("g"), long.alias("long")))
+        return F.when(body != "", F.struct(at.alias("at"), F.xxhash64(body).alias("h"), F.xxhash64(body, F.lit(3)).alias("g"), F.regexp_count(body, F.lit(WORD)).alias("n")))
 
     return F.array_compact(F.transform(F.split(text, "\n", -1), described))
 
@@ -47,8 +47,11 @@ def repeated_units(docs: DataFrame, run: int = RUN_LINES) -> tuple[DataFrame, Da
         F.size("lines") >= run,
         F.transform(F.sequence(F.lit(0), F.size("lines") - run), lambda s: F.struct(s.alias("start"), (-_minimum(F.col("lines"), s, run)["back"]).alias("mark"))),
     ).otherwise(F.array().cast("array<struct<start:int,mark:int>>"))
-    long = F.filter(F.transform("lines", lambda x, i: F.struct(i.alias("at"), x["long"].alias("long"))), lambda x: x["long"])
-    places = F.array_distinct(F.concat(F.transform(windows, lambda w: w["mark"]), F.transform(long, lambda x: x["at"])))
+    long = F.filter(F.transform("lines", lambda x, i: F.struct(i.alias("at"), x["n"].alias("n"))), lambda x: x["n"] >= LONG_LINE)
+    # The last line has no next one: its sum is null and is filtered out.
+    wordy = F.filter(F.transform("lines", lambda x, i: F.struct(i.alias("at"), (x["n"] + F.get(F.col("lines"), i + 1)["n"]).alias("n"))), lambda x: x["n"] >= LONG_LINE)
+    pairs = F.transform(wordy, lambda x: F.struct(x["at"].alias("start"), (-_minimum(F.col("lines"), x["at"], 2)["back"]).alias("mark")))
+    places = F.array_distinct(F.concat(F.transform(windows, lambda w: w["mark"]), F.transform(pairs, lambda p: p["mark"]), F.transform(long, lambda x: x["at"])))
     prints = known.select("doc_id", F.explode(F.transform(places, lambda p: F.struct(p.alias("mark"), F.get(F.col("lines"), p)["h"].alias("h")))).alias("p")).select("doc_id", "p.*")
     prints = checkpoint(prints)
     hit = repeat_filter(prints, "h", prints.count()).filter("maybe_repeated").groupBy("doc_id").agg(F.collect_set("mark").alias("marks"))
@@ -60,8 +63,9 @@ def repeated_units(docs: DataFrame, run: int = RUN_LINES) -> tuple[DataFrame, Da
         return F.struct(start.alias("start"), F.lit(size).alias("size"), F.xxhash64(*(x["h"] for x in own)).alias("k1"), F.xxhash64(*(x["g"] for x in own)).alias("k2"))
 
     of_windows = F.transform(F.filter(windows, lambda w: F.array_contains("marks", w["mark"])), lambda w: unit(w["start"], run))
+    of_pairs = F.transform(F.filter(pairs, lambda p: F.array_contains("marks", p["mark"])), lambda p: unit(p["start"], 2))
     of_long = F.transform(F.filter(long, lambda x: F.array_contains("marks", x["at"])), lambda x: unit(x["at"], 1))
-    units = checkpoint(around.select("doc_id", F.explode(F.concat(of_windows, of_long)).alias("u")).select("doc_id", "u.*").distinct())
+    units = checkpoint(around.select("doc_id", F.explode(F.concat(of_windows, of_pairs, of_long)).alias("u")).select("doc_id", "u.*").distinct())
     firsts = units.groupBy("k1", "k2", "size").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).filter("n > 1")
     later = units.join(firsts.drop("n"), ["k1", "k2", "size"]).filter("doc_id <> first.doc_id or start <> first.start")
     return lines, later.select("doc_id", "start", "size", F.col("first.doc_id").alias("first_doc"), F.col("first.start").alias("first_start"))

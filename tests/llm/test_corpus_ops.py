@@ -257,6 +257,34 @@ def test_line_runs_match_brute_force(spark):
     assert line_dedup.line_report(docs.limit(0)).count() == 0
 
 
+def plain_passages(texts, long=50):
+    """plain_lines, with pairs of lines of `long` words in sum as further units."""
+    gone, seen = {k: {*v} for k, v in plain_lines(texts).items()}, set()
+    for k, t in enumerate(texts):
+        own = [(n, x.strip(" \t\n\x0b\x0c\r")) for n, x in enumerate((t or "").split("\n"))]
+        own = [(n, x) for n, x in own if x]
+        for (m, a), (n, b) in zip(own, own[1:]):
+            if len(re.findall(r"[^\x20\x09-\x0D]+", a + " " + b)) >= long:
+                if (a, b) in seen:
+                    gone.setdefault(k, set()).update((m, n))
+                seen.add((a, b))
+    return {k: sorted(v) for k, v in gone.items()}
+
+
+def test_passages_of_two_lines_are_caught(spark):
+    rng = random.Random(3)
+    line = lambda n: word_text(rng, n, 10**6)
+    passages = [f"{line(a)}\n{line(b)}" for a, b in ((4, 47), (43, 49), (25, 25), (1, 49), (24, 25), (49, 0))]
+    texts = [f"{line(6)}\n{p}\n{line(7)}" for p in passages for _ in range(3)]
+    one, same = line(26), line(30)
+    texts += [passages[0], passages[1].replace("\n", " \r\n\n\t"), "\n".join([one] * 2), "\n".join([same] * 3), "\n".join([one, same] * 2), passages[2].split("\n")[0], None]
+    gone = plain_passages(texts)
+    got = {r.doc_id: r._removed for r in line_dedup.drop_repeated_lines(documents(spark, texts)).collect()}
+    assert got == {k: gone.get(k, []) for k in range(len(texts))}
+    assert [got[k] for k in (0, 1, 4, 7, 10, 13, 16, 18, 19)] == [[], [1, 2], [1, 2], [1, 2], [1, 2], [], [], [0, 1], [0, 2]]
+    assert not plain_lines(texts[:19]) and got[21] == [1, 2]
+
+
 def test_pipeline_stages(spark, tmp_path):
     rng = random.Random(6)
     texts = [word_text(rng, 80, 10**5) for _ in range(60)]
