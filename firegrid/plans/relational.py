@@ -144,7 +144,17 @@ def a20(spark, d):
   , r AS (WITH RECURSIVE t(k, m) AS (SELECT k, k FROM n UNION SELECT t.k, e.m FROM t JOIN e ON e.k = t.m) SELECT k, min(m) AS z FROM t GROUP BY k)
   SELECT x AS cell_x, y AS cell_y, z FROM n JOIN r USING (k)""")
 def x7(spark, d):
-    cells = fx.detections(spark, d).filter("user_id < 12").select(geo.grid_cell(F.col("longitude")).alias("cell_x"), geo.grid_cell(F.col("latitude")).alias("cell_y"))
+    return cell_components(fx.detections(spark, d).filter("user_id < 12"))
+
+
+@query("x7_all_cell_components")
+def x7_all(spark, d):
+    """The components of all cells; recursive SQL is too slow for them."""
+    return cell_components(fx.detections(spark, d))
+
+
+def cell_components(detections):
+    cells = detections.select(geo.grid_cell(F.col("longitude")).alias("cell_x"), geo.grid_cell(F.col("latitude")).alias("cell_y"))
     return corpus.occupied_components(cells).select("cell_x", "cell_y", (F.col("zone_x") * 1000000 + F.col("zone_y")).alias("z"))
 
 

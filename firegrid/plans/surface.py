@@ -191,6 +191,13 @@ def q9(spark, d):
     return point_in_polygon(fx.detections(spark, d).filter("not is_public").select("id", "longitude", "latitude"), areas(spark)).select("id", "code")
 
 
+@query("q9_resolve_all", with_views("det") + " SELECT id, CASE WHEN b BETWEEN 0 AND 9 AND a BETWEEN 0 AND 14 THEN 'D' || lpad((b * 15 + a)::VARCHAR, 3, '0') END AS code FROM (SELECT id, (lon_e5 + 440000) // 80000 AS a, (lat_e5 - 4170000) // 60000 AS b FROM det)")
+def q9_all(spark, d):
+    from firegrid.operators.spatial import point_in_polygon
+
+    return point_in_polygon(fx.detections(spark, d).select("id", "longitude", "latitude"), areas(spark)).select("id", "code")
+
+
 @query("q10_municipalities", f"WITH muni AS ({SQL['muni']}), terr AS ({SQL['terr']}) SELECT insee_code, muni.name, t.slug AS department_slug FROM muni LEFT JOIN terr t ON t.type = 'department' AND t.code = department_code WHERE NOT is_retired")
 def q10(spark, d):
     t = fx.territories(spark, d).filter("type = 'department'").select(F.col("code").alias("department_code"), F.col("slug").alias("department_slug"))

@@ -1,5 +1,6 @@
 """Every query with an oracle against DuckDB on the smallest tables; the others run."""
 
+import math
 from pathlib import Path
 
 import duckdb
@@ -44,3 +45,29 @@ def test_oracle(spark, duck, name):
 @pytest.mark.parametrize("name", sorted({*QUERIES} - {*ORACLES} - {"x12_sweep"}))
 def test_runs(spark, name):
     assert QUERIES[name](spark, DATA).count() > 0
+
+
+@pytest.mark.skipif(not Path(DATA).exists(), reason="no test tables here")
+def test_every_detection_has_its_cell_component(spark):
+    from firegrid.sources import fixtures
+
+    cells = {(math.floor(r.longitude / 0.004), math.floor(r.latitude / 0.004)) for r in fixtures.detections(spark, DATA).select("longitude", "latitude").collect()}
+    low, left = {}, set(cells)
+    while left:
+        todo, group = [left.pop()], []
+        while todo:
+            x, y = todo.pop()
+            group.append((x, y))
+            near = {(x + i, y + j) for i in (-1, 0, 1) for j in (-1, 0, 1)} & left
+            left -= near
+            todo += near
+        low |= dict.fromkeys(group, min(group))
+    got = {(r.cell_x, r.cell_y): r.z for r in QUERIES["x7_all_cell_components"](spark, DATA).collect()}
+    assert got == {c: x * 1000000 + y for c, (x, y) in low.items()} and len(got) > QUERIES["x7_cell_components"](spark, DATA).count()
+
+
+@pytest.mark.skipif(not Path(DATA).exists(), reason="no test tables here")
+def test_every_detection_is_resolved(spark):
+    from firegrid.sources import fixtures
+
+    assert QUERIES["q9_resolve_all"](spark, DATA).count() == fixtures.detections(spark, DATA).count() > QUERIES["q9_resolve_municipality"](spark, DATA).count()
