@@ -29,11 +29,22 @@ def s10(spark, d):
 
 @query("s12_geojson", """SELECT lpad((10000 + c_custkey)::VARCHAR, 5, '0') AS insee_code, c_name AS name, lpad((10000 + c_custkey)::VARCHAR, 5, '0')[1:2] AS department_code, CASE WHEN c_custkey % 3 > 0 THEN (c_custkey % 3)::DOUBLE END AS area_km2, 5 AS points FROM customer WHERE c_custkey < 85000""")
 def s12(spark, d):
+    return features(fx.read(spark, d, "customer").filter("c_custkey < 85000"), F.lpad((10000 + F.col("c_custkey")).cast("string"), 5, "0"))
+
+
+@query("s12_all_geojson", """SELECT lpad(((10000 + c_custkey) % 100000)::VARCHAR, 5, '0') AS insee_code, c_name AS name, lpad(((10000 + c_custkey) % 100000)::VARCHAR, 5, '0')[1:2] AS department_code, CASE WHEN c_custkey % 3 > 0 THEN (c_custkey % 3)::DOUBLE END AS area_km2, 5 AS points FROM customer""")
+def s12_all(spark, d):
+    """Codes start again after 99999, so every key has a valid one."""
+    return features(fx.read(spark, d, "customer"), F.lpad(((10000 + F.col("c_custkey")) % 100000).cast("string"), 5, "0"))
+
+
+def features(customers, code):
+    """Feature collections made of customers, parsed."""
     body = F.format_string(
         '{"features":[{"geometry":{"type":"Polygon","coordinates":[[[0,0],[1,0],[1,1],[0,1],[0,0]]]},"properties":{"code":"%s","nom":"%s","surface":%s,"codesPostaux":[]}}]}',
-        F.lpad((10000 + F.col("c_custkey")).cast("string"), 5, "0"), F.col("c_name"), (F.col("c_custkey") % 3 * 100).cast("string"),
+        code, F.col("c_name"), (F.col("c_custkey") % 3 * 100).cast("string"),
     )
-    rows = providers.parse_features(fx.read(spark, d, "customer").filter("c_custkey < 85000").select(body.alias("body"))).filter("size(rejects) = 0")
+    rows = providers.parse_features(customers.select(body.alias("body"))).filter("size(rejects) = 0")
     return rows.select("insee_code", "name", "department_code", "area_km2", F.size(F.col("polygons")[0][0]).alias("points"))
 
 

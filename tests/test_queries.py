@@ -71,3 +71,22 @@ def test_every_detection_is_resolved(spark):
     from firegrid.sources import fixtures
 
     assert QUERIES["q9_resolve_all"](spark, DATA).count() == fixtures.detections(spark, DATA).count() > QUERIES["q9_resolve_municipality"](spark, DATA).count()
+
+
+def test_keys_beyond_the_old_bounds_stay(spark, tmp_path):
+    keys = [1, 499, 500, 84999, 85000, 89999, 90000, 250000]
+    spark.createDataFrame([(k, k + 1, f"c{k}") for k in keys], "o_orderkey long, o_custkey long, c_name string").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(k, f"c{k}") for k in keys], "c_custkey long, c_name string").write.parquet(f"{tmp_path}/customer.parquet")
+    assert sorted(r.k for r in QUERIES["s9_all_warnings"](spark, str(tmp_path)).collect()) == keys
+    got = {r.name: r.insee_code for r in QUERIES["s12_all_geojson"](spark, str(tmp_path)).collect()}
+    assert got == {f"c{k}": f"{(10000 + k) % 100000:05d}" for k in keys}
+
+
+@pytest.mark.skipif(not Path(DATA).exists(), reason="no test tables here")
+def test_every_order_is_a_bulletin(spark, duck):
+    """Row by row, as nulls in whole numbers have no place in test_oracle's frames."""
+    sql = """WITH x AS (SELECT o_orderkey AS k, o_custkey AS c FROM orders) SELECT k, lpad((c % 95)::VARCHAR, 2, '0') AS department, c % 2 = 1 AS is_coastal, (k % 9 + 1)::INT AS phenomenon_id, ['vert', 'jaune', 'orange', 'rouge'][(k % 4 + 1)::INT] AS colour FROM x WHERE k % 10 <> 0 AND k % 7 <> 0
+  UNION ALL SELECT k, NULL, false, NULL, NULL FROM x WHERE k % 10 = 0 UNION ALL SELECT k, lpad((c % 95)::VARCHAR, 2, '0'), c % 2 = 1, (k % 9 + 1)::INT, NULL FROM x WHERE k % 10 <> 0 AND k % 7 = 0"""
+    got = QUERIES["s9_all_warnings"](spark, DATA).select("k", "department", "is_coastal", "phenomenon_id", "colour").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(duck.execute(sql).fetchall(), key=repr)
+    assert len(got) == len(duck.execute("select 1 from orders").fetchall()) > QUERIES["s9_warning_map"](spark, DATA).count()
