@@ -64,6 +64,19 @@ def canonical_order(df: DataFrame) -> DataFrame:
     return df.orderBy(*(F.col(c).asc_nulls_last() for c in NATURAL_KEY))
 
 
+def canonical_positions(df: DataFrame, name: str = "position") -> DataFrame:
+    """`df` in canonical order with each row's place, from 1; NATURAL_KEY must be unique for it to be definite.
+
+    A range-partitioned sort; the rows of the partitions before are counted, one row each.
+    """
+    from firegrid.operators.graph import shared_checkpoint
+
+    # monotonically_increasing_id is the partition's number times 2**33 and the place in it.
+    placed = shared_checkpoint(canonical_order(df).withColumn("_id", F.monotonically_increasing_id())).withColumn("_part", F.shiftright("_id", 33))
+    before = placed.groupBy("_part").count().withColumn("_before", F.sum("count").over(Window.orderBy("_part")) - F.col("count")).drop("count")
+    return placed.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_part", "_id", "_before")
+
+
 def summary(df: DataFrame) -> DataFrame:
     """(dimension, key, n): rows in all, by satellite and corpus, and by type."""
     return (

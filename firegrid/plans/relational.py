@@ -110,6 +110,11 @@ def o1(spark, d):
     return corpus.canonical_order(merged(spark, d)).limit(100).select("satellite", "latitude", "longitude", F.date_format("detected_at", "yyyy-MM-dd").alias("day"))
 
 
+@query("o1_whole_order", _COR + _MERGED + " SELECT satellite, latitude, longitude, strftime(detected_at, '%Y-%m-%d') AS day, row_number() OVER (ORDER BY satellite, detected_at, latitude, longitude) AS position FROM merged")
+def o1_whole(spark, d):
+    return corpus.canonical_positions(merged(spark, d)).select("satellite", "latitude", "longitude", F.date_format("detected_at", "yyyy-MM-dd").alias("day"), "position")
+
+
 @query("u4_satellites_without_standard", _COR + " SELECT DISTINCT satellite FROM corpus WHERE corpus = 'nrt' EXCEPT SELECT satellite FROM corpus WHERE corpus = 'standard'")
 def u4(spark, d):
     whole = fx.corpus(spark, d)

@@ -90,3 +90,9 @@ def test_every_order_is_a_bulletin(spark, duck):
     got = QUERIES["s9_all_warnings"](spark, DATA).select("k", "department", "is_coastal", "phenomenon_id", "colour").collect()
     assert sorted(map(tuple, got), key=repr) == sorted(duck.execute(sql).fetchall(), key=repr)
     assert len(got) == len(duck.execute("select 1 from orders").fetchall()) > QUERIES["s9_warning_map"](spark, DATA).count()
+
+
+@pytest.mark.skipif(not Path(DATA).exists(), reason="no test tables here")
+def test_whole_corpus_is_ordered(spark):
+    got = [r.position for r in QUERIES["o1_whole_order"](spark, DATA).collect()]
+    assert got == list(range(1, QUERIES["x9_corpus_merge"](spark, DATA).count() + 1)) and len(got) > 100
