@@ -1,6 +1,7 @@
 """License scans: phrases, and an exact set-similarity join of text blocks with templates.
 
-A block is a line, or a window of a long line. A block matches a template if it holds at
+A block is a line, a window of a long line, or a window of the whole text across its line
+breaks. A block matches a template if it holds at
 least THRESHOLD of the template's distinct words. Blocks are projected on the templates'
 words, which no other word can change; the words of all surviving blocks and templates are
 ordered by their global frequency, rarest first. Length, prefix and positional filters
@@ -35,6 +36,8 @@ TEMPLATES = (
     ("redistribution and use in source and binary forms with or without modification are permitted", "bsd"),
     ("all rights reserved no part of this publication may be reproduced", "all-rights-reserved"),
 )
+#: The templates of a scan: the notice that is often a line of its own besides.
+NOTICES = (*TEMPLATES, ("all rights reserved", "all-rights-reserved"))
 #: Share of a template's distinct words that a block must hold.
 THRESHOLD = 0.9
 #: Words of a block at most, and the step between the blocks of a longer line.
@@ -44,8 +47,8 @@ _SEPARATOR = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased as far as ASCII letters go: the two other characters that lower to ASCII stay out."""
-    odd = F.contains(text, F.lit("K")) | F.contains(text, F.lit("İ"))
-    return F.lower(F.when(odd, F.regexp_replace(text, "[Kİ]", "à")).otherwise(text))
+    odd = F.contains(text, F.lit("\u212A")) | F.contains(text, F.lit("\u0130"))
+    return F.lower(F.when(odd, F.regexp_replace(text, "[\u212A\u0130]", "\u00E0")).otherwise(text))
 
 
 def count_words(text: Column) -> Column:
@@ -62,15 +65,19 @@ def _holds_all(low: Column, words: list[str]) -> Column:
     return out
 
 
-def _may_match(low: Column, sets, needed) -> Column:
-    """Whether a text holds a word of some template's prefix in the order by length.
+def _firsts(sets, needed) -> list[str]:
+    """The words of the templates' prefixes in the order by length.
 
     A block with `need` of a template's n words holds one of any n - need + 1 of them, so
-    the texts that fail cannot match; long words are rare before frequencies are known.
+    what holds none cannot match; long words are rare before frequencies are known.
     """
-    first = {w for s, need in zip(sets, needed, strict=True) for w in sorted(s, key=lambda w: (-len(w), w))[: len(s) - need + 1]}
+    return sorted({w for s, need in zip(sets, needed, strict=True) for w in sorted(s, key=lambda w: (-len(w), w))[: len(s) - need + 1]})
+
+
+def _may_match(low: Column, firsts: list[str]) -> Column:
+    """Whether a text holds a word of some template's prefix in the order by length."""
     out = F.lit(False)
-    for w in sorted(first):
+    for w in firsts:
         out = out | F.contains(low, F.lit(w))
     return out
 
@@ -90,8 +97,12 @@ def _starts(text: Column, low: Column, phrase: str) -> Column:
     return F.when(_holds_all(low, phrase.split()) & text.rlike(_phrase(phrase)), found).otherwise(F.array().cast("array<int>"))
 
 
-def _blocks(low: Column, vocabulary: list[str], least: int) -> Column:
-    """(line, window, words) of every block with at least `least` distinct template words; words is projected."""
+def _blocks(low: Column, vocabulary: list[str], least: int, firsts: list[str]) -> Column:
+    """(line, window, words) of every block with at least `least` distinct template words and one of `firsts`.
+
+    words is projected. Windows of a text of several lines have line -1; step and length let any
+    BLOCK_WORDS - BLOCK_STEP words in a row stand in one of them.
+    """
     known = F.array(*map(F.lit, vocabulary))
     step = lambda n: F.sequence(F.lit(0), F.greatest(n - BLOCK_WORDS + BLOCK_STEP - 1, F.lit(0)), F.lit(BLOCK_STEP))
 
@@ -102,11 +113,13 @@ def _blocks(low: Column, vocabulary: list[str], least: int) -> Column:
             F.transform(step(F.size(words)), lambda s: F.struct(at.alias("line"), s.alias("window"), F.array_intersect(F.slice(words, s + 1, BLOCK_WORDS), known).alias("words")))
         )
 
-    cut = F.flatten(F.transform(F.split(low, "\n", -1), windows))
-    return F.filter(cut, lambda b: F.size(b["words"]) >= least)
+    lines = F.split(low, "\n", -1)
+    across = F.when(F.size(lines) > 1, F.array(low)).otherwise(F.array().cast("array<string>"))
+    cut = F.flatten(F.concat(F.transform(lines, windows), F.transform(across, lambda x: windows(x, F.lit(-1)))))
+    return F.filter(cut, lambda b: (F.size(b["words"]) >= least) & F.arrays_overlap(b["words"], F.array(*map(F.lit, firsts))))
 
 
-def scan_licenses(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+def scan_licenses(docs: DataFrame, templates=NOTICES, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """(documents, matches).
 
     documents: row, doc_id, n_words, n_base, first_word, last_word, base_labels (array).
@@ -120,7 +133,8 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, threshold: float = THRES
     text = F.coalesce(F.col("text"), F.lit(""))
     low = F.col("low")
     starts = {f"at_{k}": _starts(F.col("text"), low, phrase) for k, (phrase, _) in enumerate(PHRASES)}
-    blocks = F.when(_may_match(low, sets, needed), _blocks(low, vocabulary, min(needed)))
+    firsts = _firsts(sets, needed)
+    blocks = F.when(_may_match(low, firsts), _blocks(low, vocabulary, min(needed), firsts))
     lowered = docs.select("doc_id", text.alias("text"), F.monotonically_increasing_id().alias("row")).withColumn("low", ascii_lower(F.col("text")))
     rows = checkpoint(lowered.select("row", "doc_id", count_words(F.col("text")).alias("n_words"), *(x.alias(k) for k, x in starts.items()), blocks.alias("blocks")))
     places = F.concat(*(F.col(k) for k in starts))

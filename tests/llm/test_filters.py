@@ -124,6 +124,19 @@ def test_license_phrases_and_templates(spark):
     assert rows[9].labels == "" and len(rows) == len(texts)
 
 
+def test_wrapped_and_short_notices(spark):
+    mit = "Permission is hereby granted, free of charge, to any\nperson obtaining a copy of this software and\nassociated documentation files"
+    gpl = "/* This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License */"
+    filler = "\n".join(" ".join(f"w{k}x{j}" for j in range(9)) for k in range(40))
+    texts = [mit, f"{filler}\n{gpl}\n{filler}", f"{filler}\nAll rights reserved.\n", "all\nrights\nreserved", "all rights", mit.replace("granted", "denied").replace("software", "x").replace("copy", "y")]
+    texts += ["LICENSED UNDER THE MOZILLA\nPUBLIC LICENSE V 2 0 K", "wor\u212A", "THIS WORK IS LICENSED UNDER THE GNU\nGENERAL PUBLIC LICENSE VERSION 3", "THIS WOR\u212A IS LICENSED UNDER\nTHE GNU GENERAL PUBLIC LICENSE VERSION"]
+    got = {r.doc_id: (r.labels, r.n_base) for r in licenses.license_report(documents(spark, texts)).collect()}
+    assert [got[k][0] for k in range(len(texts))] == ["mit", "gpl", "all-rights-reserved", "all-rights-reserved", "", "", "", "", "gpl-3", ""]
+    assert {n for _, n in got.values()} == {0}
+    low = [r.low for r in documents(spark, ["MAKE K", "\u212A\u0130k"]).orderBy("doc_id").select(licenses.ascii_lower(F.col("text")).alias("low")).collect()]
+    assert low == ["make k", "\u00e0\u00e0k"]
+
+
 def test_similarity_join_against_brute_force(spark):
     rng = np.random.default_rng(2)
     sets = [sorted({*t.split()}) for t, _ in licenses.TEMPLATES]
