@@ -24,7 +24,7 @@ RULES = (
 )
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _CANONICAL = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]+)"""
-_REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\bcontent\s*=\s*["'][^"'>]*\burl\s*=\s*([^"'\s>]+)"""
+_REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\bcontent\s*=\s*["'][^>]*?\burl\s*=\s*["']?([^"'\s>]+)"""
 
 
 def host_of(url: Column) -> Column:
@@ -43,13 +43,33 @@ def address_of(url: Column) -> Column:
     return F.when(F.instr(url, "://") > 0, F.concat(host_of(url), path_of(url), query))
 
 
+def _without_dots(path: Column) -> Column:
+    """A path that begins with `/` without its segments `.` and `..`; a last one leaves its `/`."""
+    parts = F.slice(F.split(path, "/", -1), 2, F.size(F.split(path, "/", -1)))
+    ended = F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(parts, F.array(F.lit("")))).otherwise(parts)
+    up = lambda done: F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))
+    kept = F.aggregate(
+        ended, F.array().cast("array<string>"), lambda done, x: F.when(x == "..", up(done)).when(x == ".", done).otherwise(F.concat(done, F.array(x)))
+    )
+    return F.when(path.rlike(r"(^|/)\.\.?(/|$)"), F.concat(F.lit("/"), F.array_join(kept, "/"))).otherwise(path)
+
+
 def _resolved(link: Column, url: Column) -> Column:
-    """A link in a page as a full address; relative paths stand below the page's host."""
-    scheme = F.regexp_extract(url, r"(?s)^(.*?)://", 1)
+    """A link in a page as a full address: relative ones stand below the page's own; null for other schemes."""
+    link = F.regexp_replace(link, "(?i)&amp;", "&")
+    root = F.concat(F.regexp_extract(url, r"(?s)^(.*?)://", 1), F.lit("://"), host_of(url))
+    own = path_of(url)
+    path, query = F.regexp_extract(link, r"(?s)^([^?#]*)", 1), F.regexp_extract(link, r"(?s)^[^?#]*(\?[^#]*)?", 1)
+    folder = F.when(own == "", F.lit("/")).otherwise(F.regexp_extract(own, r"(?s)^(.*/)", 1))
+    own_query = F.regexp_extract(url, r"(?s)^.*?://[^?#]*(\?[^#]*)?", 1)
     return (
-        F.when(F.instr(link, "://") > 0, link)
-        .when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
-        .when(link.startswith("/"), F.concat(scheme, F.lit("://"), host_of(url), link))
+        F.when(link.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), link)
+        .when(link.startswith("//"), F.concat(F.regexp_extract(url, r"(?s)^(.*?)://", 1), F.lit(":"), link))
+        .when(link.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None).cast("string"))
+        .when(F.instr(url, "://") == 0, F.lit(None).cast("string"))
+        .when(link.startswith("/"), F.concat(root, _without_dots(path), query))
+        .when(path != "", F.concat(root, _without_dots(F.concat(folder, path)), query))
+        .otherwise(F.concat(root, own, F.when(query != "", query).otherwise(own_query)))
     )
 
 

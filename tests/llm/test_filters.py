@@ -42,6 +42,25 @@ def test_redirects_spread_block_decisions(spark):
     assert url_rules.judge_pages(df).count() == 8
 
 
+def test_relative_and_quoted_links(spark):
+    cases = {  # target as written in a page of http://m.test/a/b/p?q=1: its address
+        "next.html": "m.test/a/b/next.html", "../x": "m.test/a/x", "?id=2": "m.test/a/b/p?id=2", "./": "m.test/a/b/", "../../../y": "m.test/y", "/c/../d/.": "m.test/d/",
+        "x?u=a/../b": "m.test/a/b/x?u=a/../b", "r?to=http://z.test/": "m.test/a/b/r?to=http://z.test/", "#top": "m.test/a/b/p?q=1", "//n.test/e": "n.test/e",
+        "http://n.test/?a=1&amp;b=2": "n.test/?a=1&b=2", "mailto:a@n.test": None,
+    }
+    df = spark.createDataFrame([(k, v) for k, v in cases.items()], "link string, address string")
+    found = url_rules.address_of(url_rules._resolved(F.col("link"), F.lit("http://m.test/a/b/p?q=1")))
+    assert {r.link: r.found for r in df.select("link", found.alias("found")).collect()} == cases
+    rows = [
+        page(1, "http://m.test/a/p", """<meta http-equiv="refresh" content="0; url='http://example.org/es/x'">"""),
+        page(2, "http://m.test/a/q", '<link rel=canonical href="p">'), page(3, "http://m.test/b/r", '<link rel=canonical href="../a/q">'),
+        page(4, "http://m.test/s", '<link rel=canonical href="/t?a=1&amp;b=2">'), page(5, "http://m.test/t?a=1&b=2", '<link rel=canonical href="http://example.org/es/y">'),
+        page(6, "http://m.test/u", """<meta http-equiv=refresh content='0; URL="a/p"'>"""), page(7, "no scheme", '<link rel=canonical href="p">'),
+    ]
+    judged = url_rules.judge_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.verdict for r in judged} == {**dict.fromkeys(range(1, 7), "block"), 7: "allow"}
+
+
 def test_longest_rule_wins_and_empty_pages(spark):
     urls = ["http://example.org/es/1", "http://a.example.org/en/1x", "http://notexample.org/es/", "http://x.com/de/", "http://x.com/fr"]
     df = spark.createDataFrame([page(k, u) for k, u in enumerate(urls)], "page_id long, url string, html string")
