@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from firegrid.functions.geo import SHORTEST_DEGREE, geodesic_m, polygon_covers
+from firegrid.operators.graph import shared_checkpoint
 
 MARGIN = 1.02
 
@@ -57,39 +59,43 @@ def classify_known(detections: DataFrame, sources: DataFrame) -> DataFrame:
     return detections.join(best, "id", "left")
 
 
-def nearest(left: DataFrame, right: DataFrame, key: str, step: float = 0.8) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, key: str, step: float | None = None) -> DataFrame:
     """left with the planar-nearest row of right (struct `near`): growing rings of cells, ties by `key`.
 
-    left needs `id`, longitude and latitude; right lon2, lat2 and `key`. A ring of r cells
-    settles the points whose nearest candidate lies within r steps; the rest go on with a
-    ring twice as wide, and the last ring covers the whole right side.
+    left needs `id`, longitude and latitude; right lon2, lat2 and a unique `key`. Both sides are
+    reduced to distinct places first, so crowded places cost one comparison each. A ring of r
+    cells settles the places whose nearest candidate lies within r steps; the rest go on, from a
+    checkpoint, with a ring twice as wide, and the last ring covers the whole right side. The
+    first step leaves about two right places a cell on average.
     """
-    bounds = right.agg(F.min("lon2"), F.max("lon2"), F.min("lat2"), F.max("lat2")).first()
-    todo, done = left, None
-    if bounds[0] is None:
-        return left.withColumn("near", F.lit(None).cast("struct<d2:double>"))
-    side = left.agg(F.min("longitude"), F.max("longitude"), F.min("latitude"), F.max("latitude")).first()
-    if side[0] is None:
-        return left.withColumn("near", F.lit(None).cast("struct<d2:double>"))
-    widest = max(abs(a - b) for i, j in ((0, 1), (2, 3)) for a in (bounds[i], bounds[j]) for b in (side[i], side[j]))
-    ring = 1
+    empty = left.withColumn("near", F.lit(None).cast(StructType([StructField("d2", DoubleType()), *right.schema.fields])))
+    sites = shared_checkpoint(right.groupBy("lon2", "lat2").agg(F.min(key).alias("_key")).dropna())
+    todo = shared_checkpoint(left.select("longitude", "latitude").dropna().distinct())
+    box = sites.agg(F.min("lon2"), F.max("lon2"), F.min("lat2"), F.max("lat2"), F.count("*")).first()
+    own = todo.agg(F.min("longitude"), F.max("longitude"), F.min("latitude"), F.max("latitude")).first()
+    if box[0] is None or own[0] is None:
+        return empty
+    widest = max(abs(a - b) for i, j in ((0, 1), (2, 3)) for a in (box[i], box[j]) for b in (own[i], own[j]))
+    area = max(box[1] - box[0], 1e-3) * max(box[3] - box[2], 1e-3)
+    size = step or math.sqrt(2 * area / box[4])
+    dx, dy = F.col("longitude") - F.col("lon2"), F.col("latitude") - F.col("lat2")
+    settled = []
     while True:
-        size = step * ring
         cell = lambda c: F.floor(F.col(c) / size)  # noqa: E731, B023
-        spread = right.withColumn("_c", _neighbours(cell("lon2"), cell("lat2"))).withColumn("_x", F.col("_c.x")).withColumn("_y", F.col("_c.y")).drop("_c")
-        pairs = todo.withColumn("_x", cell("longitude")).withColumn("_y", cell("latitude")).join(spread, ["_x", "_y"])
-        d2 = (F.col("longitude") - F.col("lon2")) * (F.col("longitude") - F.col("lon2")) + (F.col("latitude") - F.col("lat2")) * (F.col("latitude") - F.col("lat2"))
-        best = pairs.withColumn("d2", d2).groupBy("id").agg(F.min(F.struct("d2", *dict.fromkeys([key, *right.columns]))).alias("near"))
-        joined = todo.join(best, "id", "left")
-        settled = F.col("near").isNotNull() & (F.col("near.d2") <= size * size)
-        part = joined.filter(settled)
-        done = part if done is None else done.unionByName(part)
-        if size > widest:
-            return done.unionByName(joined.filter(~settled))
-        todo = joined.filter(~F.coalesce(settled, F.lit(False))).drop("near")
-        if todo.isEmpty():
-            return done
-        ring *= 4
+        spread = sites.withColumn("_c", _neighbours(cell("lon2"), cell("lat2"))).withColumn("_x", F.col("_c.x")).withColumn("_y", F.col("_c.y")).drop("_c")
+        pairs = todo.withColumn("_x", cell("longitude")).withColumn("_y", cell("latitude")).join(spread, ["_x", "_y"], "left")
+        best = pairs.groupBy("longitude", "latitude").agg(F.min(F.when(F.col("_key").isNotNull(), F.struct((dx * dx + dy * dy).alias("d2"), "_key"))).alias("b"))
+        best = shared_checkpoint(best)
+        last = size > widest
+        near = F.lit(True) if last else F.coalesce(F.col("b.d2") <= size * size, F.lit(False))
+        settled.append(best.filter(near).select("longitude", "latitude", "b.*"))
+        todo = best.filter(~near).select("longitude", "latitude")
+        if last or todo.isEmpty():
+            break
+        size *= 2
+    found = reduce(DataFrame.unionByName, settled).join(right.withColumn("_key", F.col(key)), "_key")
+    found = found.select("longitude", "latitude", F.struct("d2", *right.columns).alias("near"))
+    return left.join(found, ["longitude", "latitude"], "left").select(*left.columns, "near")
 
 
 def point_in_polygon(points: DataFrame, areas: DataFrame, step: float = 1.0) -> DataFrame:

@@ -4,6 +4,7 @@ import math
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 import pytest
 
 DATA = "/root/testdata/sf0.001"
@@ -18,7 +19,7 @@ def rows(frame):
     frame = frame[sorted(frame.columns)]
 
     def plain(v):
-        if v is None or v != v:
+        if pd.api.types.is_scalar(v) and pd.isna(v):
             return None
         return round(float(v), 9) if isinstance(v, (int, float)) or hasattr(v, "dtype") else str(v)
 
