@@ -8,6 +8,7 @@ the rest are shuffled for an exact decision.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,23 +28,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder that `spark.checkpoint.dir` names.
-
-    A folder of our own is only made where none is set and Spark runs in one process.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that `spark.checkpoint.dir` names; one of our own only where none is set and Spark runs in one process."""
     context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
+    found = context._jsc.sc().getCheckpointDir()
+    if found.isEmpty():
         shared = spark.conf.get("spark.checkpoint.dir", None)
         if not shared:
             if not context.master.startswith("local["):
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             shared = tempfile.mkdtemp(prefix="firegrid-checkpoint-")
         context.setCheckpointDir(shared)
+        found = context._jsc.sc().getCheckpointDir()
+    return found.get()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+class Scratch:
+    """Tables that one run writes to the shared folder and reads back, and drops once their successors are written.
+
+    Unlike checkpoints they are compressed and read by column, and their space is given back.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.root, self.paths = spark, f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}", {}
+
+    def keep(self, name: str, df: DataFrame) -> DataFrame:
+        self.paths[name] = f"{self.root}/{name}"
+        df.write.mode("overwrite").parquet(self.paths[name])
+        return self.spark.read.schema(df.schema).parquet(self.paths[name])
+
+    def drop(self, *names: str) -> None:
+        """Nothing that is still to be computed may read these tables."""
+        for path in [self.paths.pop(name) for name in names if name in self.paths]:
+            target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def bound_arrow_batches(spark: SparkSession) -> None:
     """Bound the session's Arrow batches by bytes, unless its user did: whole texts differ widely in length."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -56,6 +82,29 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= MAX_BROADCAST_ROWS else df
 
 
+#: Keys with more than this part of the rows are hot; there are fewer of them than HOT_SHARE. Tasks that a hot key is dealt over.
+HOT_SHARE, SALTS = 256, 64
+
+
+def hot_keys(counts: DataFrame, key: str, rows: int, number: str = "count") -> DataFrame:
+    """The keys of `counts` (key, number) with over rows / HOT_SHARE of all rows: fewer than HOT_SHARE keys."""
+    return counts.filter(F.col(number) > max(16, rows // HOT_SHARE)).select(key).distinct()
+
+
+def spread_join(rows: DataFrame, groups: DataFrame, key: str, hot: DataFrame, by: str, how: str = "inner") -> DataFrame:
+    """rows joined with groups (one row a key) on `key`; each of the few `hot` keys is dealt over SALTS tasks.
+
+    A hot key's rows are told apart by a hash of their column `by`, and its row in groups
+    is repeated for each salt. Only the hot keys themselves are broadcast.
+    """
+    flag = F.broadcast(hot.select(F.col(key).alias("_hot")))
+    salted = rows.join(flag, F.col(key) == F.col("_hot"), "left")
+    salted = salted.withColumn("_salt", F.when(F.col("_hot").isNull(), 0).otherwise(F.pmod(F.xxhash64(by, F.lit(9)), F.lit(SALTS)).cast("int"))).drop("_hot")
+    copies = F.when(F.col("_hot").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    spread = groups.join(flag, F.col(key) == F.col("_hot"), "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    return salted.join(spread, [key, "_salt"], how).drop("_salt")
+
+
 def filter_bits(rows: int, per_row: int = 16) -> int:
     """A power of two of about `per_row` bits a row, within MAX_FILTER_BITS."""
     return max(1 << 15, min(MAX_FILTER_BITS, 1 << max(0, rows * per_row - 1).bit_length()))

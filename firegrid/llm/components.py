@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from firegrid.llm.common import checkpoint
+from firegrid.llm.common import Scratch, hot_keys, spread_join
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, rows: int) -> DataFrame:
     """Hang every larger neighbour of a node on the node's smallest neighbour."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("low", "u").alias("low"))
-    return both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("low").alias("v"))
+    low = both.groupBy("u").agg(F.min("v").alias("low"), F.count("*").alias("count"))
+    hung = spread_join(both.filter("v > u"), low.select("u", F.least("low", "u").alias("low")), "u", hot_keys(low, "u", 2 * rows), "v")
+    return hung.select(F.col("v").alias("u"), F.col("low").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -27,17 +28,20 @@ def connected_components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of `links` (u, v), component being the smallest node.
 
     Nodes may be of any ordered type. Links with a null end and loops are ignored; a node
-    without another link is absent. Each round is checkpointed; the rounds grow with the
-    logarithm of the longest chain. A node with very many links only shows in joins, which
-    adaptive execution splits.
+    without another link is absent. Each round is written and takes the place of the one
+    before; the rounds grow with the logarithm of the longest chain. A node with very many
+    links is dealt over several tasks.
     """
-    edges = checkpoint(links.select("u", "v").dropna().filter("u <> v").distinct())
-    state = None
+    scratch = Scratch(links.sparkSession)
+    edges = scratch.keep("edges-0", links.select("u", "v").dropna().filter("u <> v").distinct())
+    state, turn = (edges.count(),), 0
     while True:
-        stars = checkpoint(_small_star(_large_star(edges).distinct()).distinct())
+        turn += 1
+        stars = scratch.keep(f"edges-{turn}", _small_star(_large_star(edges, state[0]).distinct()).distinct())
+        scratch.drop(f"edges-{turn - 1}")
         now = stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
+        if tuple(now) == state:
             return stars.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).union(
                 stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
             )
-        state, edges = now, stars
+        state, edges = tuple(now), stars

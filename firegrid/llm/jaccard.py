@@ -1,33 +1,39 @@
 """Exact n-gram Jaccard join in size-banded tiles with hashed bitmap signatures.
 
-Documents are sets of word shingles. Sets are banded by size so that a partner lies in the
-same band or the next. A tile is a band pair together with one part of the shingle space:
-with d differences at most between partners and more than d parts, partners agree in a
-part, so they meet in the tile of that part's content. Within a tile the bit maps' Hamming
-distance bounds the overlap from above, and survivors get an exact intersection of sorted
-arrays. Tiles are first compared with one pivot each; only sets that are still in
-different components are compared further, in blocks, so copies never make all pairs.
+Documents are sets of word shingles; equal sets are one class. Sets are banded by size so
+that a partner lies in the same band or the next. A tile is a band pair together with one
+part of the shingle space: with d differences at most between partners and more than d
+parts, partners agree in a part, so they meet in the tile of that part's content. Within a
+tile the bit maps' Hamming distance bounds the overlap from above, and survivors get an
+exact intersection of sorted arrays. Every set is compared with its tiles' pivots; sets of
+a tile that hang on different pivots are then compared with each other, in blocks.
+
+Links are counted within components. Sets that are near enough to their component's hub
+are linked with each other by the triangle inequality, which is a sum over a histogram;
+only the others are compared, in blocks, so no list of all pairs of a group is ever made.
 """
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from firegrid.llm.common import bound_arrow_batches, checkpoint, drop_rows, keep_rows
+from firegrid.llm.common import Scratch, bound_arrow_batches, drop_rows, hot_keys, keep_rows, possible_ids, spread_join
 from firegrid.llm.components import connected_components
 from firegrid.llm.hashing import mix, shingle_hashes, word_hashes
 
 #: Sets below this size are tiled by single shingles, larger ones by parts of the shingle space.
 SMALL_SET = 32
-#: Rows on each side of a block that is compared at once.
-BLOCK = 512
-PIVOT_ROUNDS = 3
+#: Sets of one side of a block of a tile, and of a component; the latter carry their shingles, this many at most on average.
+TILE_BLOCK, LINK_BLOCK, LINK_SHINGLES = 2048, 512, 1 << 19
+#: Columns of the 0/1 matrices whose product is the overlaps of a block.
+COLUMNS = 8192
 
 
 @dataclass(frozen=True)
@@ -44,6 +50,7 @@ class Threshold:
     def band(self, size: int) -> int:
         return int(math.log(size) / math.log(100 / self.percent) + 1e-9)
 
+    @lru_cache(maxsize=256)  # noqa: B019
     def top(self, band: int) -> int:
         """Largest size of a band."""
         high = int((100 / self.percent) ** (band + 1)) + 2
@@ -51,6 +58,7 @@ class Threshold:
             high -= 1
         return high
 
+    @lru_cache(maxsize=256)  # noqa: B019
     def parts(self, band: int) -> tuple[int, int, int]:
         """Largest difference in the band's tiles, number of parts, and empty parts that need no signature."""
         high = self.top(band)
@@ -123,30 +131,46 @@ def _signed(values: np.ndarray) -> bytes:
     return np.ascontiguousarray(values).tobytes()
 
 
+def described_text(raw: bytes, threshold: Threshold) -> tuple[int, bytes | None, np.ndarray, bytes | None]:
+    """Size and key of a text's set, its tiles, and its bit map."""
+    s = shingle_set(raw, threshold.words)
+    if not len(s):
+        return 0, None, np.empty(0, np.int64), None
+    key = _signed(np.array([mix(s).sum(), mix(s ^ np.uint64(0x5555555555555555)).sum(), len(s)], np.uint64))
+    return len(s), key, signatures(s, threshold).view(np.int64), _signed(bit_map(s, bitmap_words(len(s), threshold)))
+
+
 def _described(threshold: Threshold):
-    """For each text: size and key of its set, its tiles, and its bit map."""
+    """described_text() of every row; copies tend to come soon after each other."""
 
     def run(batches):
+        known = lru_cache(maxsize=512)(lambda raw: described_text(raw, threshold))
         for batch in batches:
-            ids, texts = batch.column("doc_id"), batch.column("text").cast(pa.binary()).to_pylist()
-            size, key, tiles, bits = [], [], [], []
-            for raw in texts:
-                s = shingle_set(raw or b"", threshold.words)
-                size.append(len(s))
-                key.append(_signed(np.array([mix(s).sum(), mix(s ^ np.uint64(0x5555555555555555)).sum(), len(s)], np.uint64)))
-                tiles.append(signatures(s, threshold).view(np.int64) if len(s) else np.empty(0, np.int64))
-                bits.append(_signed(bit_map(s, bitmap_words(max(1, len(s)), threshold))))
+            texts = batch.column("text").cast(pa.binary()).to_pylist()
+            found = [known(raw or b"") if len(raw or b"") < 1 << 14 else described_text(raw, threshold) for raw in texts]
+            size, key, tiles, bits = zip(*found, strict=True) if found else ((), (), (), ())
             offsets = np.zeros(len(tiles) + 1, np.int32)
             np.cumsum([len(t) for t in tiles], out=offsets[1:])
             flat = np.concatenate(tiles) if tiles else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(size, pa.int64()), pa.array(key, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(bits, pa.binary())],
+                [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(key, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(bits, pa.binary())],
                 ["doc_id", "n", "key", "tiles", "bits"],
             )
 
     return run
 
 
+def _arrays(threshold: Threshold):
+    """The sorted shingles of every row."""
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column("text").cast(pa.binary()).to_pylist()
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([_signed(shingle_set(x or b"", threshold.words)) for x in texts], pa.binary())], ["doc_id", "s"])
+
+    return run
+
+
 def _close(n1, n2, b1: bytes, b2: bytes, threshold: Threshold) -> bool:
     """Whether bit maps and sizes leave the link possible."""
     x, y = np.frombuffer(b1, np.uint64), np.frombuffer(b2, np.uint64)
@@ -155,8 +179,18 @@ def _close(n1, n2, b1: bytes, b2: bytes, threshold: Threshold) -> bool:
     return max(apart, abs(n1 - n2)) <= threshold.differences(n1 + n2)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, threshold: Threshold) -> DataFrame:
-    """The (u, v) of `pairs` that link: bit maps first, then the sorted arrays of the survivors."""
+def _both_ends(pairs: DataFrame, sets: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """The pairs (u, v) with columns of both ends, numbered 1 and 2; an end of very many pairs is dealt over tasks."""
+    rows = pairs.count()
+    for k, node in ((1, "u"), (2, "v")):
+        hot = hot_keys(pairs.groupBy(node).count(), node, rows)
+        side = sets.select(F.col("doc_id").alias(node), *(F.col(c).alias(f"{short}{k}") for c, short in columns.items()))
+        pairs = spread_join(pairs, side, node, hot, "v" if node == "u" else "u")
+    return pairs
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, threshold: Threshold, scratch: Scratch, name: str) -> DataFrame:
+    """(u, v, apart) of the `pairs` that link: bit maps first, then the sorted arrays of the survivors."""
 
     def bounded(batches):
         for batch in batches:
@@ -165,47 +199,37 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, threshold: Thr
 
     def exact(batches):
         for batch in batches:
-            keep = []
+            apart, keep = [], []
             for x, y in zip(batch.column("s1").to_pylist(), batch.column("s2").to_pylist(), strict=True):
                 a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 common = len(np.intersect1d(a, b, assume_unique=True))
+                apart.append(len(a) + len(b) - 2 * common)
                 keep.append(100 * common >= threshold.percent * (len(a) + len(b) - common))
-            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
-
-    def arrays(batches):
-        for batch in batches:
-            texts = batch.column("text").cast(pa.binary()).to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([_signed(shingle_set(x or b"", threshold.words)) for x in texts], pa.binary())], ["doc_id", "s"])
-
-    side = lambda k, node: sets.select(F.col("doc_id").alias(node), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"b{k}"))
-    survivors = checkpoint(pairs.join(side(1, "u"), "u").join(side(2, "v"), "v").select("u", "v", "n1", "n2", "b1", "b2").mapInArrow(bounded, "u long, v long"))
-    ids = checkpoint(survivors.select(F.col("u").alias("doc_id")).union(survivors.select(F.col("v").alias("doc_id"))).distinct())
-    own = checkpoint(keep_rows(docs, ids).select("doc_id", "text").dropDuplicates(["doc_id"]).mapInArrow(arrays, "doc_id long, s binary"))
-    side = lambda k, node: own.select(F.col("doc_id").alias(node), F.col("s").alias(f"s{k}"))
-    return checkpoint(survivors.join(side(1, "u"), "u").join(side(2, "v"), "v").select("u", "v", "s1", "s2").mapInArrow(exact, "u long, v long"))
-
+            found = pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(apart, pa.int64())], ["u", "v", "apart"])
+            yield found.filter(pa.array(keep, pa.bool_()))
 
-def _labelled(busy: DataFrame, links: DataFrame | None) -> DataFrame:
-    """Tile members with their component, in tiles that hold more than one component."""
-    if links is None:
-        member = busy.withColumn("component", F.col("doc_id"))
-    else:
-        found = connected_components(links).withColumnRenamed("node", "doc_id")
-        member = busy.join(found, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    mixed = member.groupBy("tile").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("tile")
-    return checkpoint(member.join(mixed, "tile").select("tile", "doc_id", "component"))
+    near = _both_ends(pairs, sets, {"n": "n", "bits": "b"}).select("u", "v", "n1", "n2", "b1", "b2")
+    survivors = scratch.keep(f"{name}_survivors", near.mapInArrow(bounded, "u long, v long").distinct())
+    ids = scratch.keep(f"{name}_ids", survivors.select(F.col("u").alias("doc_id")).union(survivors.select(F.col("v").alias("doc_id"))).distinct())
+    own = scratch.keep(f"{name}_arrays", keep_rows(docs, ids).dropDuplicates(["doc_id"]).mapInArrow(_arrays(threshold), "doc_id long, s binary"))
+    links = scratch.keep(name, _both_ends(survivors, own, {"s": "s"}).select("u", "v", "s1", "s2").mapInArrow(exact, "u long, v long, apart long"))
+    scratch.drop(f"{name}_survivors", f"{name}_ids", f"{name}_arrays")
+    return links
 
 
 def _block_pairs(member: DataFrame, sets: DataFrame, threshold: Threshold) -> DataFrame:
-    """Pairs within a tile, of different components, that the bit maps leave possible; in blocks of bounded size."""
-    rank = F.row_number().over(Window.partitionBy("tile").orderBy("doc_id")) - 1
-    placed = member.withColumn("own", F.floor(rank / BLOCK).cast("int")).withColumn("last", F.max("own").over(Window.partitionBy("tile")))
-    spread = placed.join(sets.select("doc_id", "n", "bits"), "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
-    spread = spread.select("tile", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "component", "n", "bits")
+    """Pairs within a tile (tile, doc_id, label, parts), of different labels, that the bit maps leave possible.
+
+    A tile's sets are dealt over `parts` blocks by a hash; each pair of blocks is a group of
+    bounded size.
+    """
+    placed = member.withColumn("own", F.pmod(F.xxhash64("doc_id", F.lit(21)), F.col("parts")).cast("int"))
+    spread = placed.join(sets.select("doc_id", "n", "bits"), "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("parts") - 1).cast("int"))))
+    spread = spread.select("tile", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "label", "n", "bits")
 
     def compare(table: pa.Table) -> pa.Table:
         own, i, j = (table.column(c).to_numpy() for c in ("own", "i", "j"))
-        ids, comp, n = (table.column(c).to_numpy() for c in ("doc_id", "component", "n"))
+        ids, label, n = (table.column(c).to_numpy() for c in ("doc_id", "label", "n"))
         raw = [np.frombuffer(x, np.uint64) for x in table.column("bits").to_pylist()]
         words = min(len(x) for x in raw)
         bits = np.stack([fold(x, words) for x in raw])
@@ -213,8 +237,9 @@ def _block_pairs(member: DataFrame, sets: DataFrame, threshold: Threshold) -> Da
         us, vs = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for a in left:
             b = right[right > a] if i[0] == j[0] else right
-            b = b[comp[b] != comp[a]]
-            apart = np.maximum(np.bitwise_count(bits[b] ^ bits[a]).sum(axis=1), np.abs(n[b] - n[a]))
+            b = b[label[b] != label[a]]
+            b = b[np.abs(n[b] - n[a]) * (100 + threshold.percent) <= (100 - threshold.percent) * (n[b] + n[a])]
+            apart = np.bitwise_count(bits[b] ^ bits[a]).sum(axis=1, dtype=np.int64)
             b = b[apart * (100 + threshold.percent) <= (100 - threshold.percent) * (n[b] + n[a])]
             us.append(np.full(len(b), ids[a]))
             vs.append(ids[b])
@@ -224,80 +249,199 @@ def _block_pairs(member: DataFrame, sets: DataFrame, threshold: Threshold) -> Da
     return spread.groupBy("tile", "i", "j").applyInArrow(compare, "u long, v long").distinct()
 
 
-def similar_groups(docs: DataFrame, threshold: Threshold) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of `docs` with an id.
+def _links(tiled: DataFrame, sets: DataFrame, docs: DataFrame, threshold: Threshold, scratch: Scratch) -> DataFrame:
+    """(u, v, apart): links that connect all linked sets; every link of a set with the pivot of one of its tiles is among them.
 
-    component_id is the smallest doc_id that links lead to, the document itself included.
-    Texts without words (null and empty too) have 0 shingles and no link. Repeated rows of
-    one id get one row each with the same values if their texts agree; rows with a null id
-    have no place in a link and are left out. Other columns are ignored.
+    A tile's pivot is its smallest id, so the many tiles of a group of near copies share one.
     """
-    bound_arrow_batches(docs.sparkSession)
-    named = docs.filter("doc_id is not null").select("doc_id", "text")
-    rows = checkpoint(
-        named.select("doc_id", F.when(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.md5(F.col("text").cast("binary"))).alias("digest"), F.monotonically_increasing_id().alias("row"))
-    )
-    worded = rows.filter("digest is not null")
-    firsts = worded.groupBy("digest").agg(F.min("doc_id").alias("first"))
-    texts = checkpoint(worded.join(firsts, "digest").select("row", "doc_id", "first"))
-    # One document of each text goes on; the others are copies or without words.
-    rest = checkpoint(rows.select("doc_id").join(texts.filter("doc_id = first").select("doc_id"), "doc_id", "left_anti").distinct())
-    one = drop_rows(named, rest)
-    described = checkpoint(one.mapInArrow(_described(threshold), "doc_id long, n long, key binary, tiles array<long>, bits binary"))
-    classes = checkpoint(
-        described.select("doc_id", "n", "key").join(described.groupBy("key").agg(F.min("doc_id").alias("class")), "key").select("doc_id", "n", "class")
-    )
-    twins = checkpoint(classes.filter("doc_id <> class").select("doc_id").distinct())
-    sets = drop_rows(described, twins)
-    components = _components(sets, named, threshold)
-    by_first = classes.join(components.withColumnRenamed("node", "class"), "class", "left").select(
-        F.col("doc_id").alias("first"), "n", F.coalesce("component", "class").alias("component")
-    ).dropDuplicates(["first"])
-    found = texts.join(by_first, "first").select("row", F.col("n").alias("n_shingles"), "component")
-    return rows.join(found, "row", "left").select(
-        "doc_id", F.coalesce("n_shingles", F.lit(0)).cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")
+    counts = tiled.groupBy("tile").agg(F.count("*").alias("members"), F.min("doc_id").alias("pivot"))
+    busy = scratch.keep("busy", counts.filter("members > 1"))
+    rows = busy.agg(F.coalesce(F.sum("members"), F.lit(0))).first()[0]
+    hot = hot_keys(busy, "tile", rows, "members")
+    # A bit map tells most other tiles before anything is shuffled.
+    maybe = possible_ids(tiled, busy, "tile").filter("possible").drop("possible")
+    member = scratch.keep("member", spread_join(maybe, busy, "tile", hot, "doc_id").filter("doc_id <> pivot"))
+    pairs = scratch.keep("pivot_pairs", member.select(F.col("pivot").alias("u"), F.col("doc_id").alias("v")).distinct())
+    links = _verified(pairs, sets, docs, threshold, scratch, "pivot_links")
+    # A set hangs on its smallest linked pivot, and with that on the pivot's own.
+    hung = scratch.keep("hung", links.groupBy("v").agg(F.min("u").alias("u")))
+    above = hung.select(F.col("v").alias("u"), F.col("u").alias("top"))
+    label = hung.join(above, "u", "left").select(F.col("v").alias("doc_id"), F.coalesce("top", "u").alias("label"))
+    labelled = scratch.keep("labelled", member.filter("members > 2").select("tile", "doc_id").join(label, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id")))
+    mixed = labelled.groupBy("tile").agg(F.count("*").alias("members"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
+    mixed = scratch.keep("mixed", mixed.select("tile", "members", F.ceil(F.col("members") / TILE_BLOCK).alias("parts")))
+    rows = mixed.agg(F.coalesce(F.sum("members"), F.lit(0))).first()[0]
+    if rows:
+        hot = hot_keys(mixed, "tile", rows, "members")
+        inside = spread_join(labelled, mixed.select("tile", "parts"), "tile", hot, "doc_id")
+        more = _verified(scratch.keep("block_pairs", _block_pairs(inside, sets, threshold)), sets, docs, threshold, scratch, "block_links")
+        links = scratch.keep("links", links.union(more).distinct())
+        scratch.drop("block_pairs", "block_links", "pivot_links")
+    scratch.drop("busy", "member", "pivot_pairs", "hung", "labelled", "mixed")
+    return links
+
+
+def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of sorted arrays, as products of 0/1 matrices over the shared values."""
+    out = np.zeros((len(left), len(right)), np.int64)
+    values = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    for at in range(0, len(values), COLUMNS):
+        part = values[at : at + COLUMNS]
+        a, b = (np.stack([np.isin(part, x, assume_unique=True) for x in side]).astype(np.float32) for side in (left, right))
+        out += (a @ b.T).astype(np.int64)
+    return out
+
+
+def _counted(node: DataFrame, arrays: DataFrame, threshold: Threshold) -> DataFrame:
+    """(doc_id, links): documents that a set links with beyond those that the hub settles.
+
+    node: component, doc_id, n, weight, bits, slack, fringe (whether it is a fringe set), f_parts, c_parts.
+    Fringe blocks meet each other and the core blocks of their component; core blocks never meet.
+    """
+    block = F.pmod(F.xxhash64("doc_id", F.lit(22)), F.when(F.col("fringe"), F.col("f_parts")).otherwise(F.col("c_parts"))).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), (F.col(n) - 1).cast("int"))
+    with_fringe = F.transform(upto("f_parts"), lambda k: F.struct(F.least("own", k).alias("i"), F.greatest("own", k).alias("j"), F.lit(True).alias("inner")))
+    with_core = F.when(F.col("c_parts") > 0, F.transform(upto("c_parts"), lambda k: F.struct(F.col("own").alias("i"), k.alias("j"), F.lit(False).alias("inner")))).otherwise(
+        F.array().cast("array<struct<i:int,j:int,inner:boolean>>")
     )
+    as_core = F.transform(upto("f_parts"), lambda k: F.struct(k.alias("i"), F.col("own").alias("j"), F.lit(False).alias("inner")))
+    groups = F.when(F.col("fringe"), F.concat(with_fringe, with_core)).otherwise(as_core)
+    spread = node.withColumn("own", block).join(arrays, "doc_id").withColumn("g", F.explode(groups)).select("component", "g.*", "own", "fringe", "doc_id", "n", "weight", "slack", "bits", "s")
 
-
-def _components(sets: DataFrame, docs: DataFrame, threshold: Threshold) -> DataFrame:
-    """(node, component) over classes of equal sets; a class without a link is absent."""
-    spark = sets.sparkSession
-    tiled = sets.select("doc_id", F.explode("tiles").alias("tile"))
-    counted = tiled.withColumn("members", F.count("*").over(Window.partitionBy("tile")))
-    busy = checkpoint(counted.filter("members > 1"))
-    weight = busy.groupBy("doc_id").agg(F.sum("members").alias("weight"))
-    links, tested = None, None
-    for turn in range(PIVOT_ROUNDS):
-        member = _labelled(busy.select("tile", "doc_id"), links)
-        if member.isEmpty():
-            break
-        # The first pivot is the set that meets most others; later ones vary.
-        rank = F.struct("weight", -F.col("doc_id")) if turn == 0 else F.struct(F.xxhash64("doc_id", F.lit(turn)), F.col("doc_id"))
-        heavy = member.join(weight, "doc_id")
-        pivots = heavy.groupBy("tile").agg(F.max_by(F.struct("doc_id", "component"), rank).alias("pivot"))
-        pairs = (
-            member.join(pivots, "tile").filter("component <> pivot.component")
-            .select(F.least("doc_id", "pivot.doc_id").alias("u"), F.greatest("doc_id", "pivot.doc_id").alias("v")).distinct()
-        )
-        if tested is not None:
-            pairs = pairs.join(tested, ["u", "v"], "left_anti")
-        pairs = checkpoint(pairs)
-        tested = pairs if tested is None else checkpoint(tested.union(pairs))
-        new = _verified(pairs, sets, docs, threshold)
-        links = new if links is None else links.union(new)
-    member = _labelled(busy.select("tile", "doc_id"), links)
-    if not member.isEmpty():
-        pairs = _block_pairs(member, sets, threshold)
-        if tested is not None:
-            pairs = pairs.join(tested, ["u", "v"], "left_anti")
-        new = _verified(checkpoint(pairs), sets, docs, threshold)
-        links = new if links is None else links.union(new)
-    if links is None:
-        return spark.createDataFrame([], "node long, component long")
-    return connected_components(links)
+    def count(table: pa.Table) -> pa.Table:
+        own, i, j, fringe = (table.column(c).to_numpy() for c in ("own", "i", "j", "fringe"))
+        ids, n, weight, slack = (table.column(c).to_numpy() for c in ("doc_id", "n", "weight", "slack"))
+        raw = [np.frombuffer(x, np.uint64) for x in table.column("bits").to_pylist()]
+        words = min(len(x) for x in raw)
+        bits = np.stack([fold(x, words) for x in raw])
+        inner = bool(table.column("inner")[0].as_py())
+        left = np.flatnonzero(fringe & (own == i[0]))
+        right = np.flatnonzero((fringe if inner else ~fringe) & (own == j[0]))
+        if not len(left) or not len(right):
+            return pa.table({"doc_id": np.empty(0, np.int64), "links": np.empty(0, np.int64)})
+        most = (100 - threshold.percent) * (n[left][:, None] + n[right][None, :])
+        asked = slack[left][:, None] + slack[right][None, :] > 0
+        if inner and i[0] == j[0]:
+            asked &= ~np.eye(len(left), dtype=bool)
+        asked &= np.abs(n[left][:, None] - n[right][None, :]) * (100 + threshold.percent) <= most
+        for k, a in enumerate(left):
+            b = np.flatnonzero(asked[k])
+            apart = np.bitwise_count(bits[right[b]] ^ bits[a]).sum(axis=1, dtype=np.int64)
+            asked[k, b] = apart * (100 + threshold.percent) <= most[k, b]
+        rows, columns = np.flatnonzero(asked.any(axis=1)), np.flatnonzero(asked.any(axis=0))
+        linked = np.zeros_like(asked)
+        if len(rows):
+            s = [np.frombuffer(x, np.uint64) for x in table.column("s").to_pylist()]
+            common = _overlaps([s[k] for k in left[rows]], [s[k] for k in right[columns]])
+            total = n[left[rows]][:, None] + n[right[columns]][None, :]
+            linked[np.ix_(rows, columns)] = (100 * common >= threshold.percent * (total - common)) & asked[np.ix_(rows, columns)]
+        links = [linked @ weight[right]]
+        out = [ids[left]]
+        if not (inner and i[0] == j[0]):
+            links.append(linked.T @ weight[left])
+            out.append(ids[right])
+        return pa.table({"doc_id": np.concatenate(out), "links": np.concatenate(links).astype(np.int64)})
+
+    found = spread.groupBy("component", "inner", "i", "j").applyInArrow(count, "doc_id long, links long")
+    return found.groupBy("doc_id").agg(F.sum("links").alias("links"))
+
+
+def _link_counts(links: DataFrame, component: DataFrame, sets: DataFrame, docs: DataFrame, threshold: Threshold, scratch: Scratch) -> DataFrame:
+    """(doc_id, n_links): documents that each set of a component links with, its own copies left out.
+
+    Let slack = (100 + percent) * distance to the hub - (100 - percent) * size. Two sets whose
+    slacks sum up to 0 or less are linked by the triangle inequality, so each set's count of
+    these is a running sum over its component's few slacks. Sets with a slack above 0, or
+    without a link to the hub, are the fringe; only pairs with one of them are compared.
+    """
+    ends = links.select(F.col("u").alias("doc_id"), F.col("v").alias("far"), "apart").union(links.select(F.col("v").alias("doc_id"), F.col("u").alias("far"), "apart"))
+    degree = ends.groupBy("doc_id").agg(F.count("*").alias("degree")).join(component, "doc_id")
+    hub = scratch.keep("hub", degree.groupBy("component").agg(F.max(F.struct("degree", (-F.col("doc_id")).alias("id"))).alias("h")).select("component", (-F.col("h.id")).alias("hub")))
+    # Distances to a hub: links whose far end is one.
+    is_hub = hub.select(F.col("hub").alias("far"))
+    to_hub = keep_rows(ends, scratch.keep("hubs", is_hub), "far").groupBy("doc_id").agg(F.min("apart").alias("apart")).union(is_hub.select("far", F.lit(0).cast("long")))
+    own = component.join(sets, "doc_id").dropDuplicates(["doc_id"]).join(to_hub, "doc_id", "left")
+    slack = (100 + threshold.percent) * F.col("apart") - (100 - threshold.percent) * F.col("n")
+    far = 1 << 40
+    node = scratch.keep("node", own.withColumn("slack", F.coalesce(slack, F.lit(far))).withColumn("fringe", F.col("slack") > 0).drop("apart"))
+    grouped = node.filter(F.col("slack") < far).groupBy("component", "slack").agg(F.sum("weight").alias("w"))
+    # One row for each distinct slack of a component, as its own entry and, negated, as a question.
+    asked = grouped.select("component", F.col("slack").alias("at"), "w").union(grouped.select("component", -F.col("slack"), F.lit(0).cast("long")))
+    upto = Window.partitionBy("component").orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = scratch.keep("sums", asked.withColumn("settled", F.sum("w").over(upto)).groupBy("component", (-F.col("at")).alias("slack")).agg(F.max("settled").alias("settled")))
+    rows = node.count()
+    parts = node.groupBy("component").agg(
+        F.count_if("fringe").alias("f"), F.count_if(~F.col("fringe")).alias("c"), F.sum(F.when(F.col("fringe"), F.col("n"))).alias("fn"), F.sum(F.when(~F.col("fringe"), F.col("n"))).alias("cn"), F.count("*").alias("count")
+    )
+    blocks = lambda k: F.greatest(F.ceil(F.col(k) / LINK_BLOCK), F.ceil(F.coalesce(F.col(k + "n"), F.lit(0)) / LINK_SHINGLES)).cast("int")
+    parts = scratch.keep("parts", parts.select("component", "count", "f", blocks("f").alias("f_parts"), blocks("c").alias("c_parts")))
+    hot = hot_keys(parts, "component", rows)
+    open_ = parts.filter("f > 0").select("component", "f_parts", "c_parts")
+    compared = scratch.keep("compared", spread_join(node, open_, "component", hot, "doc_id"))
+    arrays = keep_rows(docs, scratch.keep("compared_ids", compared.select("doc_id").distinct())).dropDuplicates(["doc_id"]).mapInArrow(_arrays(threshold), "doc_id long, s binary")
+    more = scratch.keep("more", _counted(compared, scratch.keep("compared_arrays", arrays), threshold))
+    scratch.drop("compared", "compared_ids", "compared_arrays")
+    settled = node.select("doc_id", "component", "slack", "weight", "fringe").withColumn("at", F.struct("component", "slack"))
+    by_slack = settled.groupBy("at").count()
+    sums = sums.select(F.struct("component", "slack").alias("at"), "settled")
+    told = spread_join(settled, sums, "at", hot_keys(by_slack, "at", rows), "doc_id", "left")
+    itself = F.when(F.col("fringe"), 0).otherwise(F.col("weight"))
+    counted = told.join(more, "doc_id", "left").select("doc_id", (F.coalesce("settled", F.lit(0)) - itself + F.coalesce("links", F.lit(0))).alias("n_links"))
+    out = scratch.keep("link_counts", counted)
+    scratch.drop("hub", "hubs", "node", "sums", "parts", "more")
+    return out
+
+
+def similar_groups(docs: DataFrame, threshold: Threshold, count_links: bool = True) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links for every row of `docs`.
+
+    component_id is the smallest doc_id that links lead to, the document itself included, and
+    n_links the number of other rows that it links with directly (null unless count_links).
+    Texts without words (null and empty too) have 0 shingles and no link. Repeated rows of
+    one id get one row each. A null id, and an id that stands for different sets, names no
+    single document: its rows have their own n_shingles, their own id as component_id, and
+    no links. Other columns are ignored; an empty table gives an empty result.
+    """
+    bound_arrow_batches(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession)
+    texts = docs.select("doc_id", "text")
+    described = scratch.keep("described", texts.mapInArrow(_described(threshold), "doc_id long, n long, key binary, tiles array<long>, bits binary"))
+    worded = described.filter("doc_id is not null and n > 0")
+    held = worded.groupBy("doc_id").agg(F.min(F.xxhash64("key")).alias("low"), F.max(F.xxhash64("key")).alias("high"))
+    unclear = scratch.keep("unclear", held.filter("low < high").select("doc_id"))
+    worded = drop_rows(worded, unclear)
+    classes = scratch.keep("classes", worded.groupBy("key").agg(F.min("doc_id").alias("class"), F.count("*").alias("weight")))
+    rows = worded.count()
+    member = scratch.keep("members", spread_join(worded.select("doc_id", "n", "key"), classes, "key", hot_keys(classes, "key", rows, "weight"), "doc_id").select("doc_id", "n", "class", "weight"))
+    twins = scratch.keep("twins", member.filter("doc_id <> class").select("doc_id").distinct())
+    # Repeated rows of one id and set agree in all columns, and are one set from the pairs on.
+    sets = scratch.keep("sets", drop_rows(worded, twins).select("doc_id", "n", "bits", "tiles"))
+    others = described.select("doc_id", "n").filter("doc_id is null or n = 0").unionByName(keep_rows(described.filter("n > 0"), unclear).select("doc_id", "n"))
+    others = scratch.keep("others", others)
+    scratch.drop("described", "unclear", "classes", "twins")
+    links = _links(sets.select("doc_id", F.explode("tiles").alias("tile")), sets.select("doc_id", "n", "bits"), texts, threshold, scratch)
+    component = scratch.keep("component", connected_components(links).select(F.col("node").alias("doc_id"), "component"))
+    found = component.select(F.col("doc_id").alias("class"), "component")
+    if count_links:
+        weighed = sets.select("doc_id", "n", "bits").join(member.filter("doc_id = class").select("doc_id", "weight").distinct(), "doc_id")
+        counts = _link_counts(links, component, weighed, texts, threshold, scratch)
+        found = found.join(counts.withColumnRenamed("doc_id", "class"), "class")
+    else:
+        found = found.withColumn("n_links", F.lit(None).cast("long"))
+    heavy = member.select("class", "weight").filter(F.col("weight") > max(16, rows // 256)).select("class").distinct()
+    told = spread_join(member, found, "class", heavy, "doc_id", "left")
+    n_links = F.coalesce("n_links", F.lit(0)) + F.col("weight") - 1 if count_links else F.col("n_links")
+    out = told.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "class").alias("component_id"), n_links.alias("n_links"))
+    alone = others.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0 if count_links else None).cast("long").alias("n_links"))
+    scratch.drop("sets", "pivot_links", "links")
+    return out.unionByName(alone)
 
 
 def keep_one_of_each(docs: DataFrame, threshold: Threshold) -> DataFrame:
-    """`docs` with the smallest doc_id of every group, all its columns, and the rows without an id."""
-    groups = similar_groups(docs, threshold)
-    return drop_rows(docs, checkpoint(groups.filter("doc_id <> component_id").select("doc_id").distinct()))
+    """`docs` with the smallest doc_id of every group, all its columns.
+
+    Rows without an id, and rows whose id stands for different texts, stay.
+    """
+    groups = similar_groups(docs, threshold, count_links=False)
+    scratch = Scratch(docs.sparkSession)
+    return drop_rows(docs, scratch.keep("gone", groups.filter("doc_id <> component_id").select("doc_id").distinct()))

@@ -70,7 +70,7 @@ def brute_groups(texts, words, percent):
     for k, t in enumerate(texts):
         w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
         sets[k] = {tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set()
-    low = {k: k for k in sets}
+    low, links = {k: k for k in sets}, dict.fromkeys(sets, 0)
 
     def find(x):
         while low[x] != x:
@@ -83,7 +83,8 @@ def brute_groups(texts, words, percent):
             if common_ and 100 * common_ >= percent * (len(sets[a]) + len(sets[b]) - common_):
                 x, y = find(a), find(b)
                 low[max(x, y)] = min(x, y)
-    return {k: (len(s), find(k)) for k, s in sets.items()}
+                links[a], links[b] = links[a] + 1, links[b] + 1
+    return {k: (len(s), find(k), links[k]) for k, s in sets.items()}
 
 
 def near_copies(seed):
@@ -101,27 +102,40 @@ def near_copies(seed):
     return texts
 
 
-@pytest.mark.parametrize("words, percent", [(3, 90), (5, 80)])
-def test_jaccard_groups_match_brute_force(spark, words, percent):
+@pytest.mark.parametrize("words, percent, block", [(3, 90, 512), (5, 80, 512), (5, 80, 2)])
+def test_jaccard_groups_match_brute_force(spark, monkeypatch, words, percent, block):
+    monkeypatch.setattr(jaccard, "TILE_BLOCK", block)
+    monkeypatch.setattr(jaccard, "LINK_BLOCK", block)
     texts = near_copies(percent)
     docs = documents(spark, texts).withColumn("component_id", F.lit("clash"))
-    docs = docs.union(docs.filter("doc_id = 40")).union(docs.filter("doc_id = 41").withColumn("doc_id", F.lit(None).cast("long")))
+    docs = docs.union(docs.filter("doc_id = 41").withColumn("doc_id", F.lit(None).cast("long"))).union(docs.filter("doc_id in (9, 30)").withColumn("doc_id", F.lit(9000)))
     got = jaccard.similar_groups(docs, jaccard.Threshold(words, percent)).collect()
-    assert len(got) == len(texts) + 1
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_groups(texts, words, percent)
+    assert len(got) == len(texts) + 3
+    brute = brute_groups(texts, words, percent)
+    # A null id, and an id that stands for two texts, have no links.
+    assert [(r.n_shingles, r.component_id, r.n_links) for r in got if r.doc_id is None] == [(brute[41][0], None, 0)]
+    assert sorted((r.n_shingles, r.component_id, r.n_links) for r in got if r.doc_id == 9000) == sorted((brute[k][0], 9000, 0) for k in (9, 30))
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in got if r.doc_id not in (None, 9000)} == brute
 
 
-def test_chain_of_copies_without_a_common_centre(spark, monkeypatch):
-    """Every text links to the next only; one pivot per tile is not enough, blocks must finish."""
-    monkeypatch.setattr(jaccard, "PIVOT_ROUNDS", 1)
-    monkeypatch.setattr(jaccard, "BLOCK", 4)
+def test_repeated_rows_are_rows_of_one_document(spark):
+    docs = documents(spark, [" ".join(f"w{k}" for k in range(40)), " ".join(f"w{k}" for k in range(41)), "other words here"])
+    got = jaccard.similar_groups(docs.union(docs.filter("doc_id = 0")), jaccard.Threshold(3, 90)).collect()
+    assert sorted((r.doc_id, r.component_id, r.n_links) for r in got) == [(0, 0, 2), (0, 0, 2), (1, 0, 2), (2, 2, 0)]
+
+
+@pytest.mark.parametrize("edits", [7, 3])
+def test_chain_of_copies_without_a_common_centre(spark, monkeypatch, edits):
+    """Texts link to their next ones only; one pivot a tile is not enough, blocks must finish."""
+    monkeypatch.setattr(jaccard, "TILE_BLOCK", 4)
+    monkeypatch.setattr(jaccard, "LINK_BLOCK", 3)
     words = [f"w{k}" for k in range(100)]
     texts = []
     for k in range(14):
-        words[k * 7] = f"x{k}"
+        words[k * edits] = f"x{k}"
         texts.append(" ".join(words))
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar_groups(documents(spark, texts), jaccard.Threshold(3, 90)).collect()}
-    assert got == brute_groups(texts, 3, 90) and len({c for _, c in got.values()}) == 1
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in jaccard.similar_groups(documents(spark, texts), jaccard.Threshold(3, 90)).collect()}
+    assert got == brute_groups(texts, 3, 90) and len({c for _, c, _ in got.values()}) == 1
 
 
 @settings(max_examples=200, deadline=None)
@@ -143,6 +157,9 @@ def test_keep_one_of_each(spark):
     docs = documents(spark, ["a b c d e f g"] * 3 + ["x y z", None, ""])
     left = jaccard.keep_one_of_each(docs, jaccard.Threshold(5, 80))
     assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect()) == [0, 3, 4, 5]
+    # An id that stands for two texts loses neither, whatever they link with.
+    twice = docs.union(docs.filter("doc_id = 0").withColumn("doc_id", F.lit(3)))
+    assert sorted(r.doc_id for r in jaccard.keep_one_of_each(twice, jaccard.Threshold(5, 80)).collect()) == [0, 3, 3, 4, 5]
     assert jaccard.similar_groups(docs.limit(0), jaccard.Threshold(5, 80)).count() == 0
 
 
