@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from firegrid.llm.common import SPACES, checkpoint, possible_ids, repeat_filter
+from firegrid.llm.common import SPACES, checkpoint, hot_keys, possible_ids, repeat_filter, spread_join
+
+
+def _digest() -> Column:
+    return F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), SPACES, ""), 256)
+
+
+def _length() -> Column:
+    return F.char_length(F.coalesce("text", F.lit("")))
 
 
 def copy_groups(docs: DataFrame) -> DataFrame:
@@ -16,44 +24,44 @@ def copy_groups(docs: DataFrame) -> DataFrame:
     smallest doc_id (a null id sorts first), then the first of repeated rows. Columns other
     than doc_id and text are ignored; an empty table gives an empty result.
 
-    Rows carry a digest instead of the text. Digests that the filter finds at most once go
-    straight to the result; only possibly repeated ones are grouped. The filter is at most
+    Rows carry a digest instead of the text. The filter's first pass shuffles two cell
+    numbers a row, after partial counts; its second pass shuffles nothing. Digests that it
+    finds at most once go straight to the result; only possibly repeated ones are grouped,
+    and a digest with very many rows is dealt over several tasks. The filter is at most
     32 MB: beyond its load more rows are grouped, with the same result.
     """
-    text = F.coalesce("text", F.lit(""))
-    rows = checkpoint(
-        docs.select(
-            "doc_id",
-            F.sha2(F.regexp_replace(text, SPACES, ""), 256).alias("text_sha256"),
-            F.char_length(text).alias("n"),
-            F.monotonically_increasing_id().alias("row"),
-        )
-    )
-    seen = repeat_filter(rows, "text_sha256", rows.count())
+    rows = checkpoint(docs.select("doc_id", _digest().alias("text_sha256"), _length().alias("n"), F.monotonically_increasing_id().alias("row")))
+    total = rows.count()
+    seen = repeat_filter(rows, "text_sha256", total)
     single = seen.filter(~F.col("maybe_repeated")).select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256"
     )
     repeated = seen.filter("maybe_repeated")
-    groups = repeated.groupBy("text_sha256").agg(
-        F.min(F.struct((-F.col("n")).alias("n"), "doc_id", "row")).alias("first"), F.count("*").alias("group_size")
+    groups = checkpoint(
+        repeated.groupBy("text_sha256").agg(F.min(F.struct((-F.col("n")).alias("n"), "doc_id", "row")).alias("first"), F.count("*").alias("group_size"))
     )
-    grouped = repeated.join(groups, "text_sha256").select(
+    hot = hot_keys(groups, "text_sha256", groups.agg(F.coalesce(F.sum("group_size"), F.lit(0))).first()[0], "group_size")
+    grouped = spread_join(repeated, groups, "text_sha256", hot, "row").select(
         "doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("first.row")).alias("kept"), "text_sha256"
     )
     return single.unionByName(grouped)
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` that stay, with all their columns.
+    """The rows of `docs` that stay, with all their columns: of every group of equal texts exactly one.
 
-    Texts without a copy pass straight on; rows of groups are shuffled by doc_id once.
+    Rows are told apart by their text and length, never by doc_id alone, so rows that share
+    an id and differ in text are separate. Texts without a copy pass straight on.
     """
-    groups = checkpoint(copy_groups(docs).filter("group_size > 1"))
-    ids = groups.groupBy("doc_id").agg(F.max("kept").alias("stays"))
-    seen = possible_ids(docs, ids, "doc_id", "possible_copy")
-    straight = seen.filter(~F.col("possible_copy")).drop("possible_copy")
-    hit = seen.filter("possible_copy").drop("possible_copy").join(ids.withColumnRenamed("stays", "_stays"), "doc_id", "left")
-    # Repeated rows of one id are copies of one another too: one of them stays.
-    alone = hit.filter(F.col("_stays").isNull()).drop("_stays")
-    stays = hit.filter("_stays").drop("_stays").dropDuplicates(["doc_id"])
-    return straight.unionByName(alone).unionByName(stays)
+    keyed = docs.withColumn("_sha", _digest())
+    narrow = checkpoint(docs.select(_digest().alias("_sha"), "doc_id", _length().alias("_n")))
+    groups = repeat_filter(narrow, "_sha", narrow.count()).filter("maybe_repeated").groupBy("_sha")
+    groups = checkpoint(groups.agg(F.min(F.struct((-F.col("_n")).alias("n"), "doc_id")).alias("_first"), F.count("*").alias("count")).filter("count > 1"))
+    hot = hot_keys(groups, "_sha", groups.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0])
+    seen = possible_ids(keyed, groups, "_sha", "_possible")
+    straight = seen.filter(~F.col("_possible")).select(*docs.columns)
+    told = spread_join(seen.filter("_possible"), groups.select("_sha", "_first"), "_sha", hot, "doc_id", "left")
+    alone = told.filter(F.col("_first").isNull()).select(*docs.columns)
+    first = told.filter(F.col("doc_id").eqNullSafe(F.col("_first.doc_id")) & (_length() == -F.col("_first.n")))
+    # Rows that agree in text, id and length are repeats of one row: one of them stays.
+    return straight.unionByName(alone).unionByName(first.dropDuplicates(["_sha"]).select(*docs.columns))
