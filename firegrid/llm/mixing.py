@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 from firegrid.llm.common import WORD, checkpoint, small
 
-#: Slots of a mix; more sources than SLOTS / 256 raise it.
+#: Slots of a mix; more sources than SLOTS / 256 raise it, and so do blocks of more than MAX_BLOCK words.
 SLOTS = 1 << 18
+MAX_BLOCK = 1 << 20
 #: Words of a source that the mix takes at most, as a multiple of its words.
 MAX_REPEATS = 3
 _SEGMENT = 4096
@@ -72,7 +73,7 @@ def plan_mix(docs: DataFrame, slots: int = SLOTS) -> Mix:
     )
     sums = checkpoint(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs")))
     n_sources, total, n_docs = sums.agg(F.count("*"), F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("docs"), F.lit(0))).first()
-    slots = max(slots, 1 << (256 * n_sources - 1).bit_length() if n_sources else 1)
+    slots = max(slots, 1 << (256 * n_sources - 1).bit_length() if n_sources else 1, 1 << max(0, total // MAX_BLOCK).bit_length())
     width = max(1, -(-total // slots))
     size, target = F.col("source_size"), F.col("target")
     blocks = F.when(size > 0, F.greatest(F.lit(1), F.expr(f"(source_size + {width // 2}) div {width}"))).otherwise(0).cast("long")
@@ -82,7 +83,7 @@ def plan_mix(docs: DataFrame, slots: int = SLOTS) -> Mix:
     n_slots = sources.agg(F.coalesce(F.sum("slots"), F.lit(0))).first()[0]
 
     # Shuffled word streams: where each document starts, by sums over hash buckets, then within a bucket.
-    shift = 16 - max(4, min(16, (n_docs // 4096).bit_length()))
+    shift = 16 - max(4, min(16, (n_docs // 64).bit_length()))
     numbered = rows.join(small(sources.select("source", "number", "source_size", "blocks"), n_sources), rows["source"].eqNullSafe(sources["source"])).select(
         "doc_id", "row", "number", "source_size", "blocks", "size", "h", F.expr(f"cast(conv(substr(h, 1, 4), 16, 10) as int) div {1 << shift}").alias("bucket")
     )
@@ -123,24 +124,36 @@ def _schedule(docs: DataFrame, sources: DataFrame, n_slots: int) -> DataFrame:
 
 
 def mix_report(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """doc_id, size, source_size, target, taken for every row of `docs`."""
+    """doc_id, size, source_size, target, taken, n_slots, first_slot for every row of `docs`.
+
+    n_slots counts the slots that take words of the row, and first_slot is the first of them
+    in the order of the mix (null if there is none).
+    """
     mix = plan_mix(docs, slots)
-    taken = mix.taken().groupBy("row").agg(F.sum("words").alias("taken"))
+    taken = mix.taken().groupBy("row").agg(F.sum("words").alias("taken"), F.count("*").alias("n_slots"), F.min("slot").alias("first_slot"))
     n = mix.sources.count()
     return (
         mix.sizes.join(small(mix.sources.select(F.col("source").alias("name"), "source_size", "target"), n), F.col("source").eqNullSafe(F.col("name")))
         .join(taken, "row", "left")
-        .select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+        .select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("n_slots", F.lit(0)).cast("long").alias("n_slots"), "first_slot")
     )
 
 
 def mixed_documents(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """`docs` as the mix takes them: each row as often as the rounded share of its words, with all its columns.
+    """`docs` in the order of the mix: each row as often as the rounded share of its words, with all its columns.
 
-    A row is repeated round(taken / size) times, 3 at most, and left out at 0. Rows without
-    words or without a doc_id stay once. Repeated rows of one doc_id share the largest count.
+    A row is repeated round(taken / size) times, 3 at most, and left out at 0. Copy k stands
+    where round k of its source takes the row's first words, so the sources are interleaved
+    as the slots are; the result is sorted over its partitions. Rows without words or
+    without a doc_id stay once, at the end. Repeated rows of one doc_id share the largest count.
     """
-    share = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(1).cast("int")
-    times = checkpoint(mix_report(docs, slots).filter("doc_id is not null").groupBy("doc_id").agg(F.max(share).alias("_times")))
-    repeated = docs.join(times, "doc_id", "left").withColumn("_times", F.coalesce("_times", F.lit(1)))
-    return repeated.filter("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    mix = plan_mix(docs, slots)
+    rounds = mix.taken().groupBy("row", "doc_id", "round").agg(F.sum("words").alias("words"), F.min("slot").alias("slot"))
+    by_row = rounds.groupBy("row", "doc_id").agg(F.sum("words").alias("taken"), F.array_sort(F.collect_list("slot")).alias("slots"))  # at most MAX_REPEATS + 1
+    share = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
+    counted = mix.sizes.filter("size > 0 and doc_id is not null").join(by_row.drop("doc_id"), "row", "left")
+    counted = counted.select("doc_id", F.struct(F.coalesce(share, F.lit(0)).alias("times"), "slots").alias("p"))
+    places = checkpoint(counted.groupBy("doc_id").agg(F.max("p").alias("_p")))
+    copies = F.when(F.col("_p").isNull(), F.array(F.lit(None).cast("long"))).otherwise(F.slice("_p.slots", F.lit(1), F.col("_p.times")))
+    repeated = docs.join(places, "doc_id", "left").withColumn("_slot", F.explode(copies))
+    return repeated.repartitionByRange(F.col("_slot").asc_nulls_last(), F.xxhash64("doc_id")).sortWithinPartitions(F.col("_slot").asc_nulls_last(), "doc_id").select(*docs.columns)

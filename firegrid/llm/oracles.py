@@ -27,6 +27,7 @@ SELECT doc_id, keep_id, c AS group_size, doc_id = keep_id AS kept, h AS text_sha
 _WORDS = r"'[^\x20\x09-\x0D]+'"
 
 #: Block ranks run through a source in order, so the blocks of the last, partial round are its first ones.
+#: Slots take their sources by van der Corput points: the reversed bits of their numbers.
 OP4 = rf"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), {_WORDS}))::BIGINT AS size, md5(doc_id::VARCHAR) AS h FROM documents),
 s0 AS (SELECT source, sum(size)::BIGINT AS s, row_number() OVER (ORDER BY source NULLS LAST) AS number FROM d GROUP BY source),
@@ -37,23 +38,32 @@ s3 AS (SELECT *, least(cap::DOUBLE, coalesce((SELECT level FROM s2 WHERE level <
 s4 AS (SELECT *, greatest(1, ceil((SELECT sum(size) FROM d)::DOUBLE / 262144))::BIGINT AS width FROM s3),
 s5 AS (SELECT *, CASE WHEN s > 0 THEN greatest(1, (s + width // 2) // width) ELSE 0 END AS blocks FROM s4),
 s6 AS (SELECT *, CASE WHEN s > 0 THEN floor(target * blocks::DOUBLE / s::DOUBLE + 0.5)::BIGINT ELSE 0 END AS slots FROM s5),
-p AS (SELECT d.*, s6.s, s6.target, s6.blocks, s6.slots, sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id) - size AS a FROM d JOIN s6 ON d.source IS NOT DISTINCT FROM s6.source)
+s7 AS (SELECT *, sum(slots) OVER (ORDER BY number) - slots AS before FROM s6),
+bits AS (SELECT coalesce(len(bin((sum(slots) - 1)::BIGINT)), 1) AS bits FROM s7),
+points AS (SELECT slot, list_sum(list_transform(range(0, bits), lambda k: ((slot >> k) & 1) << (bits - 1 - k)))::BIGINT AS point
+  FROM (SELECT bits, unnest(range(0, 1::BIGINT << bits)) AS slot FROM bits)),
+sched AS (SELECT number, slot, row_number() OVER (PARTITION BY number ORDER BY slot) - 1 AS rank FROM points JOIN s7 ON point >= before AND point < before + slots),
+p AS (SELECT d.*, s7.s, s7.target, s7.blocks, s7.slots, s7.number, sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id) - size AS a FROM d JOIN s7 ON d.source IS NOT DISTINCT FROM s7.source),
+b AS (SELECT *, CASE WHEN size > 0 THEN ((a + 1) * blocks - 1) // s END AS b0, CASE WHEN size > 0 THEN ((a + size) * blocks - 1) // s END AS b1 FROM p)
 SELECT doc_id, size, s AS source_size, target,
-  CASE WHEN size > 0 THEN (slots // blocks) * size + greatest(0, least(a + size, ((slots % blocks) * s) // blocks) - a) ELSE 0 END::BIGINT AS taken FROM p
+  CASE WHEN size > 0 THEN (slots // blocks) * size + greatest(0, least(a + size, ((slots % blocks) * s) // blocks) - a) ELSE 0 END::BIGINT AS taken,
+  CASE WHEN size > 0 THEN (b1 - b0 + 1) * (slots // blocks) + greatest(0, least(b1 + 1, slots % blocks) - b0) ELSE 0 END::BIGINT AS n_slots, slot AS first_slot
+FROM b LEFT JOIN sched ON sched.number = b.number AND sched.rank = b0
 """
 
 
 def _op5() -> str:
-    from firegrid.llm.licenses import BLOCK_STEP, BLOCK_WORDS, PHRASES, TEMPLATES, THRESHOLD
+    from firegrid.llm.licenses import BLOCK_STEP, BLOCK_WORDS, NOTICES, PHRASES, THRESHOLD
 
     word = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
-    templates = ", ".join(f"({sorted({*t.split()})!r}, '{label}')" for t, label in TEMPLATES)
+    templates = ", ".join(f"({sorted({*t.split()})!r}, '{label}')" for t, label in NOTICES)
     at = {label: f"list_filter(range(0, len(w)), lambda i: w[i + 1 : i + {len(p.split())}] = {p.split()!r})" for p, label in PHRASES}
     labels = ", ".join(f"CASE WHEN len({x}) > 0 THEN '{label}' END" for label, x in at.items())
     return rf"""
 WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
 b AS (SELECT doc_id, w, list_concat({", ".join(at.values())}) AS places, list_filter([{labels}], lambda x: x IS NOT NULL) AS base FROM (SELECT doc_id, regexp_extract_all(text, {word}) AS w FROM t)),
-lines AS (SELECT doc_id, regexp_extract_all(line, {word}) AS w FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM t)),
+lines AS (SELECT doc_id, regexp_extract_all(line, {word}) AS w FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM t)
+  UNION ALL SELECT doc_id, regexp_extract_all(text, {word}) FROM t WHERE contains(text, chr(10))),
 blocks AS (SELECT doc_id, w[o + 1 : o + {BLOCK_WORDS}] AS w FROM (SELECT doc_id, w, unnest(CASE WHEN len(w) <= {BLOCK_WORDS} THEN [0] ELSE range(0, len(w) - {BLOCK_WORDS} + {BLOCK_STEP}, {BLOCK_STEP}) END) AS o FROM lines)),
 templates(words, label) AS (VALUES {templates}),
 hits AS (SELECT doc_id, label, len(list_intersect(words, blocks.w)) AS overlap, len(words) AS n FROM blocks, templates),
@@ -97,6 +107,7 @@ WITH raw AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS p
 l AS (SELECT doc_id, unnest(range(0, len(parts))) AS num, unnest(list_transform(parts, lambda x: regexp_replace(x, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'))) AS body FROM raw),
 k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY num) - 1 AS place FROM l WHERE body <> ''),
 u AS (SELECT doc_id, place, {RUN_LINES} AS size, {run} AS key FROM k WINDOW o AS (PARTITION BY doc_id ORDER BY place)
+  UNION ALL SELECT doc_id, place, 2, pair FROM (SELECT doc_id, place, body || chr(10) || lead(body) OVER o AS pair FROM k WINDOW o AS (PARTITION BY doc_id ORDER BY place)) WHERE len(regexp_extract_all(pair, {_WORDS})) >= {LONG_LINE}
   UNION ALL SELECT doc_id, place, 1, body FROM k WHERE len(regexp_extract_all(body, {_WORDS})) >= {LONG_LINE}),
 later AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY size, key ORDER BY doc_id, place) AS n FROM u WHERE key IS NOT NULL) WHERE n > 1),
 gone AS (SELECT DISTINCT k.doc_id, k.num FROM later JOIN k ON k.doc_id = later.doc_id AND k.place BETWEEN later.place AND later.place + later.size - 1),
