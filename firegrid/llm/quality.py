@@ -1,6 +1,6 @@
 """Quality rules: fixed text statistics, then a hashed n-gram logistic regression.
 
-The regression sees hashed word n-grams (one and two words) and byte trigrams, each family
+The regression sees hashed word n-grams (one and two words) and character trigrams, each family
 as its mean weight, so a text of any length gets one pass. It is trained on a bounded
 sample of labelled rows, calibrated on rows that it was not trained on, and scored in
 Arrow batches against a fixed threshold.
@@ -34,16 +34,17 @@ _OUTSIDE[[0x20, *range(0x09, 0x0E)]] = True
 
 
 def feature_cells(raw: bytes, words: np.ndarray) -> list[np.ndarray]:
-    """The bucket of every word, word pair and byte trigram of a text."""
+    """The bucket of every word, word pair and character trigram (code points) of a text."""
     shift = np.uint64(64 - BUCKET_BITS)
     pairs = words[:0]
     if len(words) > 1:
         pairs = mix(words[1:] * np.uint64(3) + words[:-1])
         pairs[words[1:] == words[:-1]] = 0
-    b = np.frombuffer(raw, np.uint8).astype(np.uint32)
-    grams = b[:0]
-    if len(b) > 2:
-        grams = ((b[2:] | (b[1:-1] << np.uint32(8)) | (b[:-2] << np.uint32(16))) * np.uint32(2654435761)) >> np.uint32(32 - BUCKET_BITS)
+    c = np.frombuffer(raw.decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+    grams = c[:0]
+    if len(c) > 2:
+        mixed = ((c[:-2] * np.uint32(0x01000193)) ^ c[1:-1]) * np.uint32(0x01000193) ^ c[2:]
+        grams = (mixed * np.uint32(2654435761)) >> np.uint32(32 - BUCKET_BITS)
     return [(words >> shift).astype(np.int64), (pairs >> shift).astype(np.int64), grams.astype(np.int64)]
 
 
