@@ -1,7 +1,8 @@
 """Secret scans with a trigram index.
 
 Each rule's regex is parsed, and the trigrams that every match must hold are derived as a
-Boolean query: any of several alternatives, each of which is a set of trigrams. Postings
+Boolean query: any of several alternatives, each of which is a set of trigrams, of which
+the rarest are posted. Postings
 are bit maps over hashed document ids: of one trigram and one bucket of ids a 4 KB map.
 Alternatives intersect their postings, rules unite their alternatives, and only documents
 in a rule's map are searched with its regex; a hash collision costs a search and changes
@@ -39,6 +40,10 @@ RULES = (
     Rule("private-key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 27),
 )
 BASE = 3
+#: Trigrams of a clause that are posted: its rarest ones, which bound the matches from above as all of them do.
+POSTED = 2
+#: Letters of running text, most frequent first.
+_FREQUENT = "etaoinshrdlcumwfgypbvkjxqz"
 
 
 def _runs(items) -> list[tuple[list[str], str, str, bool]]:
@@ -85,6 +90,12 @@ def trigram_query(rule: Rule) -> list[frozenset[str]]:
     return sorted(out, key=sorted)
 
 
+def posted_query(rule: Rule) -> list[frozenset[str]]:
+    """trigram_query() with the POSTED rarest trigrams of each alternative; anything but letters counts as rare."""
+    rarity = lambda g: (-sum(_FREQUENT.index(c) if c in _FREQUENT else len(_FREQUENT) for c in g), g)
+    return sorted({frozenset(sorted(clause, key=rarity)[:POSTED]) for clause in trigram_query(rule)}, key=sorted)
+
+
 def _pattern(rule: Rule) -> str:
     return f"(?i:{rule.regex.split(')', 1)[0]})){rule.regex.split(')', 1)[1]}" if rule.any_case else rule.regex
 
@@ -117,7 +128,7 @@ def candidate_maps(docs: DataFrame, cell: Column, rules=RULES) -> DataFrame | No
     numbers is shuffled by bucket, never the text.
     """
     spark = docs.sparkSession
-    asked = {k: q for k, rule in enumerate(rules) if (q := trigram_query(rule))}
+    asked = {k: q for k, rule in enumerate(rules) if (q := posted_query(rule))}
     if not asked:
         return None
     grams = sorted({g for q in asked.values() for clause in q for g in clause})
