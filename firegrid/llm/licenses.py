@@ -21,27 +21,43 @@ from firegrid.llm.common import checkpoint
 LICENSE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Phrases and their labels (fixed values).
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
-#: Templates of the usual notices and their labels (fixed values).
-TEMPLATES = (
+#: Templates of the usual notices and their labels, lower-cased words only (fixed values).
+NOTICES = (
     ("released under the mit license", "mit"),
     ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "mit"),
+    ("the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "mit"),
     ("licensed under the apache license version 2 0", "apache-2"),
     ("you may not use this file except in compliance with the license", "apache-2"),
+    ("unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied", "apache-2"),
     ("licensed under cc by nc 4 0", "cc-by-nc"),
+    ("this work is licensed under a creative commons attribution noncommercial 4 0 international license", "cc-by-nc"),
     ("licensed under cc by sa 4 0", "cc-by-sa"),
+    ("this work is licensed under a creative commons attribution sharealike 4 0 international license", "cc-by-sa"),
     ("this work is licensed under the gnu general public license version 3", "gpl-3"),
     ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", "gpl"),
+    ("this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose", "gpl"),
+    ("you should have received a copy of the gnu general public license along with this program", "gpl"),
+    ("this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license", "agpl"),
     ("this library is free software under the terms of the gnu lesser general public license", "lgpl"),
+    ("this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license", "lgpl"),
     ("this source code form is subject to the terms of the mozilla public license v 2 0", "mpl-2"),
+    ("if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0", "mpl-2"),
     ("redistribution and use in source and binary forms with or without modification are permitted", "bsd"),
+    ("redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", "bsd"),
+    ("redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", "bsd"),
+    ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", "isc"),
+    ("this is free and unencumbered software released into the public domain", "unlicense"),
+    ("permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", "boost"),
+    ("this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", "zlib"),
+    ("this program and the accompanying materials are made available under the terms of the eclipse public license", "epl"),
     ("all rights reserved no part of this publication may be reproduced", "all-rights-reserved"),
+    ("all rights reserved", "all-rights-reserved"),
 )
-#: The templates of a scan: the notice that is often a line of its own besides.
-NOTICES = (*TEMPLATES, ("all rights reserved", "all-rights-reserved"))
 #: Share of a template's distinct words that a block must hold.
 THRESHOLD = 0.9
-#: Words of a block at most, and the step between the blocks of a longer line.
-BLOCK_WORDS, BLOCK_STEP = 64, 32
+#: Words of a block at most, and the step between the blocks of a longer line: any BLOCK_WORDS - BLOCK_STEP words in a row
+#: stand in one block, which is more than the longest template has.
+BLOCK_WORDS, BLOCK_STEP = 96, 48
 _SEPARATOR = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 
 
