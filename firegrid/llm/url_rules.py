@@ -23,7 +23,8 @@ RULES = (
     ("com", "/de/", "block"),
 )
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-_CANONICAL = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]+)"""
+_CANONICAL = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*(?:"[^">]*\bcanonical\b|'[^'>]*\bcanonical\b|canonical\b))[^>]*\bhref\s*=\s*["']?([^"'\s>]+)"""
+_BASE = r"""(?is)<base\b[^>]*\bhref\s*=\s*["']?([^"'\s>]+)"""
 _REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\bcontent\s*=\s*["'][^>]*?\burl\s*=\s*["']?([^"'\s>]+)"""
 
 
@@ -94,12 +95,15 @@ def judge_pages(pages: DataFrame, rules=RULES, default: str = "allow") -> DataFr
         F.when(F.locate("canonical", F.lower(html)) > 0, F.regexp_extract_all(html, F.lit(_CANONICAL), 1)).otherwise(F.array().cast("array<string>")),
         F.when(F.locate("refresh", F.lower(html)) > 0, F.regexp_extract_all(html, F.lit(_REFRESH), 1)).otherwise(F.array().cast("array<string>")),
     )
+    # A base element moves where relative links stand, itself relative to the page.
+    own_base = F.when(F.locate("<base", F.lower(html)) > 0, F.regexp_extract(html, _BASE, 1))
+    stand = F.when(F.coalesce(own_base, F.lit("")) != "", F.coalesce(_resolved(own_base, url), url)).otherwise(url)
     host, path = host_of(url), path_of(url)
     base = checkpoint(
         pages.select(
             "page_id", host.alias("host"), path.alias("path"), address_of(url).alias("address"),
             _matched(rules, host, path).alias("own"),
-            F.transform(links, lambda x: address_of(_resolved(x, url))).alias("links"),
+            F.transform(links, lambda x: address_of(_resolved(x, stand))).alias("links"),
         )
     )
     edges = base.filter("size(links) > 0").select(F.col("address").alias("u"), F.explode("links").alias("v"))
