@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from firegrid.llm.common import bit_map, bound_arrow_batches, cell, checkpoint, filter_bits, marked
+from firegrid.llm.common import bit_map, bound_arrow_batches, cell, checkpoint, filter_bits, hot_keys, marked, spread_join
 
 SPECIALS = {"<|endoftext|>": 50256}
 #: Chunks have 2**CHUNK_BITS bytes on average beyond MIN_CHUNK.
@@ -65,6 +65,16 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+def clean(raw: bytes | None) -> bytes:
+    """A text's bytes; null is empty, and bytes that are no UTF-8 stand as U+FFFD, as in any decoded string."""
+    raw = raw or b""
+    try:
+        raw.decode("utf-8")
+    except UnicodeDecodeError:
+        return raw.decode("utf-8", "replace").encode()
+    return raw
+
+
 def cuts(raw: bytes) -> list[int]:
     """Ends of the text's chunks; every end is a character's end."""
     n = len(raw)
@@ -154,7 +164,7 @@ def _unpacked(raw: bytes) -> np.ndarray:
 def encoded_documents(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """doc_id, ids (array<int>) and decoded text of every row of `docs`; null texts count as empty.
 
-    Repeated rows and null ids keep a row each; other columns are ignored.
+    Bytes that are no UTF-8 are encoded as U+FFFD. Repeated rows and null ids keep a row each; other columns are ignored.
     """
     return _encoded(docs, vocabulary, "ids array<int>, decoded string", lambda ids, own: (ids.astype(np.int32), own.decode(ids).decode("utf-8", "replace")))
 
@@ -185,7 +195,7 @@ def _encoded(docs: DataFrame, vocabulary: str | None, columns: str, result) -> D
     def cut(batches):
         for batch in batches:
             texts = batch.column("text").cast(pa.binary()).to_pylist()
-            found = [[_digest(c) for c in chunks(x or b"")] for x in texts]
+            found = [[_digest(c) for c in chunks(clean(x))] for x in texts]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.list_(pa.binary()))], ["doc_id", "chunks"])
 
     def straight(batches):
@@ -194,13 +204,13 @@ def _encoded(docs: DataFrame, vocabulary: str | None, columns: str, result) -> D
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             found, last = [], None
             for x in texts:  # repeated rows of a text tend to stand together
-                found.append(found[-1] if found and x == last else result(own.encode(x or b""), own))
+                found.append(found[-1] if found and x == last else result(own.encode(clean(x)), own))
                 last = x
             yield named(batch.column("doc_id").to_pylist(), found)
 
     def texts_of(batches):
         for batch in batches:
-            seen = {_digest(c): c for x in batch.column("text").cast(pa.binary()).to_pylist() for c in chunks(x or b"")}
+            seen = {_digest(c): c for x in batch.column("text").cast(pa.binary()).to_pylist() for c in chunks(clean(x))}
             yield pa.RecordBatch.from_arrays([pa.array([*seen], pa.binary()), pa.array([*seen.values()], pa.binary())], ["chunk", "body"])
 
     def encode(batches):
@@ -217,8 +227,10 @@ def _encoded(docs: DataFrame, vocabulary: str | None, columns: str, result) -> D
     texts = docs.select("doc_id", "text")
     own_chunks = checkpoint(texts.mapInArrow(cut, "doc_id long, chunks array<binary>").withColumn("row", F.monotonically_increasing_id()))
     held = own_chunks.select("doc_id", F.explode(F.array_distinct("chunks")).alias("chunk")).distinct()
-    shared = held.groupBy("chunk").count().filter("count > 1").select("chunk")
-    sharing = held.join(shared, "chunk", "left_semi").select("doc_id").distinct()
+    shared = checkpoint(held.groupBy("chunk").count().filter("count > 1"))
+    # Chunks that very many documents hold are dealt over several tasks wherever rows meet by chunk.
+    hot = hot_keys(shared, "chunk", shared.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0])
+    sharing = spread_join(held, shared.select("chunk"), "chunk", hot, "doc_id", "left_semi").select("doc_id").distinct()
     # Documents are told apart by a bit map of at most 32 MB; both branches use the same bits.
     bits = filter_bits(own_chunks.count())
     maps = checkpoint(bit_map(sharing.select(cell(F.col("doc_id"), bits, 1).alias("cell")).distinct()))
@@ -230,7 +242,7 @@ def _encoded(docs: DataFrame, vocabulary: str | None, columns: str, result) -> D
     ids = bodies.mapInArrow(encode, "chunk binary, ids binary")
     positions = marked(own_chunks, maps, place, "sharing").filter("sharing").select("row", "doc_id", F.posexplode_outer("chunks").alias("at", "chunk"))
     parts = (
-        positions.join(ids, "chunk", "left").groupBy("row", "doc_id")
+        spread_join(positions, ids, "chunk", hot, "row", "left").groupBy("row", "doc_id")
         .agg(F.sort_array(F.collect_list(F.when(F.col("chunk").isNotNull(), F.struct("at", "ids")))).alias("parts"))
     )
     return alone.unionByName(parts.select("doc_id", "parts").mapInArrow(joined, schema))
