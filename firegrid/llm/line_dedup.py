@@ -4,9 +4,10 @@ A repeated unit is RUN_LINES consecutive lines, or one line of LONG_LINE words o
 two consecutive lines with LONG_LINE words or more in sum, that stood earlier, by doc_id
 and place. Of every window of RUN_LINES lines, and of every such pair, the smallest line
 hash is a fingerprint, so a repeated run always repeats a fingerprint. Fingerprints
-that occur once are ruled out by a bounded filter; around the others the windows extend
-both ways, are joined by content with their first occurrence, and the union of the later
-ones is deleted.
+that occur once are ruled out by a bounded filter. The units around the others are seeds:
+each is joined with the position where its content first stood. A seed is extended both
+ways along its diagonal, that is as long as the units before and after it stood before and
+after that first position too, and the later runs are deleted.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from firegrid.llm.common import WORD, checkpoint, possible_ids, repeat_filter
+from firegrid.llm.common import WORD, checkpoint, hot_keys, possible_ids, repeat_filter, spread_join
 
 RUN_LINES = 3
 LONG_LINE = 50
@@ -60,17 +61,41 @@ def repeated_units(docs: DataFrame, run: int = RUN_LINES) -> tuple[DataFrame, Da
 
     def unit(start: Column, size: int) -> Column:
         own = [line(start + j) for j in range(size)]
-        return F.struct(start.alias("start"), F.lit(size).alias("size"), F.xxhash64(*(x["h"] for x in own)).alias("k1"), F.xxhash64(*(x["g"] for x in own)).alias("k2"))
+        return F.struct(start.alias("start"), F.lit(size).alias("size"), F.struct(F.xxhash64(*(x["h"] for x in own)).alias("k1"), F.xxhash64(*(x["g"] for x in own)).alias("k2"), F.lit(size).alias("n")).alias("key"))
 
     of_windows = F.transform(F.filter(windows, lambda w: F.array_contains("marks", w["mark"])), lambda w: unit(w["start"], run))
     of_pairs = F.transform(F.filter(pairs, lambda p: F.array_contains("marks", p["mark"])), lambda p: unit(p["start"], 2))
     of_long = F.transform(F.filter(long, lambda x: F.array_contains("marks", x["at"])), lambda x: unit(x["at"], 1))
     units = checkpoint(around.select("doc_id", F.explode(F.concat(of_windows, of_pairs, of_long)).alias("u")).select("doc_id", "u.*").distinct())
-    firsts = units.groupBy("k1", "k2", "size").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    later = units.join(firsts.drop("n"), ["k1", "k2", "size"]).filter("doc_id <> first.doc_id or start <> first.start")
+    # Only the first position of each content is joined, never all pairs of positions.
+    firsts = checkpoint(units.groupBy("key").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("count")).filter("count > 1"))
+    hot = hot_keys(firsts, "key", firsts.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0])
+    placed = units.withColumn("place", F.struct("doc_id", "start"))
+    later = spread_join(placed, firsts.drop("count"), "key", hot, "place").filter("place <> first")
     return lines, later.select("doc_id", "start", "size", F.col("first.doc_id").alias("first_doc"), F.col("first.start").alias("first_start"))
 
 
+def repeated_runs(units: DataFrame) -> DataFrame:
+    """(doc_id, runs): of every row with later repeated units the maximal runs (start, end, first_doc, first_start), by start.
+
+    A run is a chain of seeds on one diagonal (first document, distance of the places) that
+    touch or overlap. A group holds the seeds of one document; its lines bound them.
+    """
+    seed = F.struct("first_doc", (F.col("first_start") - F.col("start")).alias("shift"), "start", (F.col("start") + F.col("size")).alias("end"))
+    seeds = units.groupBy("doc_id").agg(F.array_sort(F.collect_set(seed)).alias("seeds"))
+
+    def extend(runs: Column, x: Column) -> Column:
+        last = F.element_at(runs, -1)
+        joins = (F.size(runs) > 0) & (last["first_doc"] == x["first_doc"]) & (last["shift"] == x["shift"]) & (x["start"] <= last["end"])
+        longer = F.struct(last["first_doc"].alias("first_doc"), last["shift"].alias("shift"), last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))
+        return F.when(joins, F.concat(F.slice(runs, 1, F.size(runs) - 1), F.array(longer))).otherwise(F.concat(runs, F.array(x)))
+
+    none = F.array().cast("array<struct<first_doc:bigint,shift:int,start:int,end:int>>")
+    runs = F.when(F.size("seeds") > 0, F.aggregate("seeds", none, lambda r, x: F.when(F.size(r) == 0, F.array(x)).otherwise(extend(r, x))))
+    named = F.transform(runs, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["first_doc"].alias("first_doc"), (x["start"] + x["shift"]).alias("first_start")))
+    return seeds.select("doc_id", F.array_sort(named).alias("runs"))
+
+
 def drop_repeated_lines(docs: DataFrame, run: int = RUN_LINES) -> DataFrame:
     """`docs` with all its columns, its text without the later repeated runs, and `_removed`.
 
@@ -79,7 +104,7 @@ def drop_repeated_lines(docs: DataFrame, run: int = RUN_LINES) -> DataFrame:
     so the first occurrence of a line is never lost. Rows with a null id stay as they are.
     """
     lines, units = repeated_units(docs, run)
-    gone = units.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list(F.sequence(F.col("start"), F.col("start") + F.col("size") - 1)))).alias("places"))
+    gone = repeated_runs(units).select("doc_id", F.array_distinct(F.flatten(F.transform("runs", lambda x: F.sequence(x["start"], x["end"] - 1)))).alias("places"))
     numbers = checkpoint(
         lines.join(gone, "doc_id").groupBy("doc_id").agg(F.first(F.array_sort(F.array_compact(F.transform("places", lambda p: F.get(F.col("lines"), p)["at"])))).alias("_removed"))
     )
