@@ -62,7 +62,16 @@ def test_exact_groups(spark):
     assert digest[2] == hashlib.sha256(b"ab").hexdigest() and digest[5] == hashlib.sha256(b"").hexdigest()
     left = exact_dedup.drop_copies(docs)
     assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect()) == [2, 3, 6, 8, 9]
-    assert exact_dedup.copy_groups(docs.limit(0)).count() == 0
+    assert exact_dedup.copy_groups(docs.limit(0)).count() == 0 and exact_dedup.drop_copies(docs.limit(0)).count() == 0
+
+
+def test_rows_that_share_an_id_and_differ_in_text_stay(spark):
+    rows = [(1, "aaa"), (2, "a a a"), (1, "unique text"), (2, "other unique"), (None, "null id"), (None, "null  id"), (None, "null  id"), (3, "x y"), (3, "xy ")]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], DOCS)
+    left = sorted((r.doc_id or 0, r.text.replace(" ", "")) for r in exact_dedup.drop_copies(docs).collect())
+    assert left == [(0, "nullid"), (1, "uniquetext"), (2, "aaa"), (2, "otherunique"), (3, "xy")]
+    groups = exact_dedup.copy_groups(docs).collect()
+    assert len(groups) == 9 and sum(r.kept for r in groups) == 5 and {r.keep_id for r in groups if r.doc_id is None} == {None}
 
 
 def brute_groups(texts, words, percent):
@@ -176,6 +185,10 @@ def test_mix_meets_its_targets(spark):
         by.setdefault((r.source_size, r.target), []).append(r.taken)
     assert all(abs(sum(t) - k[1]) <= max(2, 0.01 * k[1]) for k, t in by.items())
     assert sum(k[1] for k in by) == pytest.approx(sum(r.size for r in got))
+    report = {r.doc_id: r for r in got if r.doc_id != 7}
+    order = [r.doc_id for r in mixing.mixed_documents(docs.filter("doc_id <> 7").drop("target")).collect()]
+    first = [report[k].first_slot for k in dict.fromkeys(order) if report[k].size]
+    assert len(first) > 200 and sum(a < b for a, b in zip(first, first[1:])) > 0.8 * len(first)
     mixed = mixing.mixed_documents(docs.filter("doc_id <> 7").drop("target"))
     assert mixed.columns == [c for c in docs.columns if c != "target"] and mixed.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 3
     assert mixing.mix_report(docs.limit(0)).count() == 0
@@ -219,6 +232,14 @@ def test_encoding_matches_the_tokenizer(spark, monkeypatch):
     assert bpe.encoding_digests(docs.limit(0)).count() == 0
 
 
+def test_bytes_that_are_no_text_are_replaced(spark):
+    bad = spark.createDataFrame([(1, bytearray(b"ok \xff\xfe tail \xc3")), (2, bytearray(b"fine"))], "doc_id long, text binary").withColumn("text", F.col("text").cast("string"))
+    reference = tokenizer()
+    got = {r.doc_id: r for r in bpe.encoding_digests(bad).collect()}
+    ids = reference.encode(b"ok \xff\xfe tail \xc3".decode("utf-8", "replace"), add_special_tokens=False).ids
+    assert got[1].n_tokens == len(ids) and got[1].ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest() and got[2].n_tokens == 1
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.sampled_from(["word", " ", "  ", "\n", "'ll", "'", "l", "12", "é", "日本", "<|endoftext|>", "<|endo", "ftext|>", ".", "Ab c d", "🙂"]), max_size=60), st.integers(1, 9))
 def test_chunk_joins_are_exact(parts, width):
@@ -274,6 +295,16 @@ def test_line_runs_match_brute_force(spark):
     assert line_dedup.line_report(docs.limit(0)).count() == 0
 
 
+def test_seeds_are_extended_to_maximal_runs(spark):
+    rng = random.Random(5)
+    line = lambda: word_text(rng, 8, 10**6)
+    body = [line() for _ in range(9)]
+    texts = ["\n".join([line(), *body, line()]), "\n".join([line(), line(), *body]), "\n".join([*body[2:6], line(), *body[4:]]), "\n".join(body[:2])]
+    _, units = line_dedup.repeated_units(documents(spark, texts))
+    runs = {r.doc_id: [tuple(x) for x in r.runs] for r in line_dedup.repeated_runs(units).collect()}
+    assert runs == {1: [(2, 11, 0, 1)], 2: [(0, 4, 0, 3), (5, 10, 0, 5)]}
+
+
 def plain_passages(texts, long=50):
     """plain_lines, with pairs of lines of `long` words in sum as further units."""
     gone, seen = {k: {*v} for k, v in plain_lines(texts).items()}, set()

@@ -158,13 +158,13 @@ def test_wrapped_and_short_notices(spark):
 
 def test_similarity_join_against_brute_force(spark):
     rng = np.random.default_rng(2)
-    sets = [sorted({*t.split()}) for t, _ in licenses.TEMPLATES]
+    sets = [sorted({*t.split()}) for t, _ in licenses.NOTICES]
     vocabulary = sorted({w for s in sets for w in s})
     needed = [-(-len(s) * 6 // 10) for s in sets]
     blocks = [(k, k, 0, 0, list(dict.fromkeys(rng.choice(vocabulary, int(rng.integers(1, 60)))))) for k in range(300)]
     blocks += [(300 + k, None, 0, 0, s[: len(s) - k % 5]) for k, s in enumerate(sets)]
     df = spark.createDataFrame([(*b[:4], [str(w) for w in b[4]]) for b in blocks], "row long, doc_id long, line int, window int, words array<string>")
-    got = {(r.row, r.template) for r in licenses.similarity_join(df, licenses.TEMPLATES, sets, needed, vocabulary).collect()}
+    got = {(r.row, r.template) for r in licenses.similarity_join(df, licenses.NOTICES, sets, needed, vocabulary).collect()}
     assert got == {(b[0], k) for b in blocks for k, s in enumerate(sets) if len({*b[4]} & {*s}) >= needed[k]}
 
 
