@@ -46,9 +46,10 @@ def drop_superseded(df: DataFrame) -> DataFrame:
 
 
 def drop_duplicates(df: DataFrame, file: str = "source_file") -> DataFrame:
-    """One row for each natural key: the better corpus, then the first file name."""
+    """One row for each natural key: the better corpus, then the first file name, then the other columns, so reruns agree."""
     rank = F.when(F.col("corpus") == "standard", 0).otherwise(1)
-    order = Window.partitionBy(*NATURAL_KEY).orderBy(rank, F.col(file).asc_nulls_last())
+    others = [F.col(c).asc_nulls_last() for c, kind in sorted(df.dtypes) if c not in (*NATURAL_KEY, "corpus", file) and not kind.startswith(("map", "variant"))]
+    order = Window.partitionBy(*NATURAL_KEY).orderBy(rank, F.col(file).asc_nulls_last(), *others)
     return df.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
 
 
@@ -177,12 +178,17 @@ def occupied_components(cells: DataFrame) -> DataFrame:
     )
 
 
-def derive_static_sources(df: DataFrame, min_detections: int = MIN_DETECTIONS, min_months: int = MIN_MONTHS, version: str = "static-v1") -> DataFrame:
-    """Registry of recurrent static heat sources from the type-2 rows of a corpus."""
+def static_zones(df: DataFrame) -> DataFrame:
+    """The type-2 rows of a corpus with their zone."""
     static = df.filter(F.col("type") == STATIC_TYPE).select(
         "longitude", "latitude", "detected_at", grid_cell(F.col("longitude")).alias("cell_x"), grid_cell(F.col("latitude")).alias("cell_y")
     )
-    zoned = static.join(occupied_components(static), ["cell_x", "cell_y"])
+    return static.join(occupied_components(static), ["cell_x", "cell_y"])
+
+
+def derive_static_sources(df: DataFrame, min_detections: int = MIN_DETECTIONS, min_months: int = MIN_MONTHS, version: str = "static-v1") -> DataFrame:
+    """Registry of recurrent static heat sources from the type-2 rows of a corpus."""
+    zoned = static_zones(df)
     means = zoned.groupBy("zone_x", "zone_y").agg(
         F.count("*").alias("detection_count"), F.count_distinct(F.date_format("detected_at", "yyyy-MM")).alias("month_count"),
         F.avg("latitude").alias("mean_lat"), F.avg("longitude").alias("mean_lon"), F.min("detected_at").alias("first"), F.max("detected_at").alias("last"),

@@ -48,26 +48,30 @@ def s6(spark, d):
     return providers.windows(spark, "2024-02-01", 23, 5).select(F.date_format("start", "yyyy-MM-dd").alias("start"), F.col("days").cast("int").alias("days"))
 
 
-@query("s9_warning_map", """WITH x AS (SELECT o_orderkey AS k, o_custkey AS c FROM orders WHERE o_orderkey < 500) SELECT k, lpad((c % 95)::VARCHAR, 2, '0') AS department, c % 2 = 1 AS is_coastal, (k % 9 + 1)::INT AS phenomenon_id, ['vert', 'jaune', 'orange', 'rouge'][(k % 4 + 1)::INT] AS colour FROM x WHERE k % 10 <> 0 AND k % 7 <> 0
-  UNION ALL SELECT k, NULL, false, NULL, NULL FROM x WHERE k % 10 = 0 UNION ALL SELECT k, lpad((c % 95)::VARCHAR, 2, '0'), c % 2 = 1, (k % 9 + 1)::INT, NULL FROM x WHERE k % 10 <> 0 AND k % 7 = 0""")
-def s9(spark, d):
-    return warning_map(fx.read(spark, d, "orders").filter("o_orderkey < 500"))
+_S9 = """WITH x AS (SELECT o_orderkey AS k, o_custkey AS c FROM orders) SELECT k, lpad((c % 95)::VARCHAR, 2, '0') AS department, c % 2 = 1 AS is_coastal, (k % 9 + 1)::INT AS phenomenon_id, ['vert', 'jaune', 'orange', 'rouge'][(k % 4 + 1)::INT] AS colour FROM x WHERE k % 10 <> 0 AND k % 7 <> 0
+  UNION ALL SELECT k, NULL, false, NULL, NULL FROM x WHERE k % 10 = 0 UNION ALL SELECT k, lpad((c % 95)::VARCHAR, 2, '0'), c % 2 = 1, (k % 9 + 1)::INT, NULL FROM x WHERE k % 10 <> 0 AND k % 7 = 0"""
 
 
-@query("s9_all_warnings")
-def s9_all(spark, d):
+@query("s9_warning_map", _S9)
+@query("s9_all_warnings", _S9)
+def s9(spark, d):
     return warning_map(fx.read(spark, d, "orders"))
 
 
 def warning_map(orders):
+    """Levels of bulletins made of orders."""
+    out = parsed_bulletins(orders)
+    return out.select(F.col("bulletin_domain").cast("long").alias("k"), "department", F.coalesce("is_coastal", F.lit(False)).alias("is_coastal"), "phenomenon_id", "colour")
+
+
+def parsed_bulletins(orders):
     """Bulletins made of orders, parsed."""
     x = orders.selectExpr("o_orderkey as k", "o_custkey as c")
     body = F.format_string(
         '{"product":{"warning_type":"vigilance","domain_id":"%s","version_cdp":"1","version_vigilance":"V6","update_time":"2024-01-01T05:00:00Z","periods":[{"echeance":"%s","begin_validity_time":"2024-01-01T06:00:00Z","end_validity_time":"2024-01-02T00:00:00Z","timelaps":{"domain_ids":[{"domain_id":"%s","phenomenon_items":[{"phenomenon_id":"%s","phenomenon_max_color_id":%s}]}]}}]}}',
         F.col("k").cast("string"), F.expr("if(k % 10 = 0, 'J9', 'J1')"), F.expr("concat(lpad(cast(c % 95 as string), 2, '0'), if(c % 2 = 1, '10', ''))"), F.expr("cast(k % 9 + 1 as string)"), F.expr("if(k % 7 = 0, '8', cast(k % 4 + 1 as string))"),
     )
-    out = providers.parse_warnings(x.select(body.alias("body")))
-    return out.select(F.col("bulletin_domain").cast("long").alias("k"), "department", F.coalesce("is_coastal", F.lit(False)).alias("is_coastal"), "phenomenon_id", "colour")
+    return providers.parse_warnings(x.select(body.alias("body")))
 
 
 @query("s17_new_rows", "SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey % 5 <> 0")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from firegrid.functions import geo, parsing
-from firegrid.operators import clustering, corpus, spatial
+from firegrid.operators import clustering, corpus, spatial, upkeep
 from firegrid.plans.registry import query
 from firegrid.plans.scalars import stamp
 from firegrid.sources import fixtures as fx
@@ -77,7 +77,7 @@ def a14(spark, d):
 
 _COR = with_views("corpus")
 _KEEP = ", b AS (SELECT satellite, max(detected_at) AS u FROM corpus WHERE corpus = 'standard' GROUP BY 1), kept AS (SELECT c.* FROM corpus c LEFT JOIN b USING (satellite) WHERE NOT (c.corpus = 'nrt' AND coalesce(c.detected_at <= b.u, false)))"
-_MERGED = _KEEP + ", merged AS (SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY satellite, detected_at, latitude, longitude ORDER BY CASE corpus WHEN 'standard' THEN 0 ELSE 1 END, source_file) AS n FROM kept) WHERE n = 1)"
+_MERGED = _KEEP + ", merged AS (SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY satellite, detected_at, latitude, longitude ORDER BY CASE corpus WHEN 'standard' THEN 0 ELSE 1 END, source_file, type NULLS LAST) AS n FROM kept) WHERE n = 1)"
 
 
 def merged(spark, d):
@@ -105,9 +105,9 @@ def a16(spark, d):
     return corpus.summary(fx.corpus(spark, d))
 
 
-@query("o1_canonical_order", _COR + _MERGED + " SELECT satellite, latitude, longitude, strftime(detected_at, '%Y-%m-%d') AS day FROM merged ORDER BY satellite, detected_at, latitude, longitude LIMIT 100")
+@query("o1_canonical_order", _COR + _MERGED + " SELECT satellite, latitude, longitude, strftime(detected_at, '%Y-%m-%d') AS day FROM merged")
 def o1(spark, d):
-    return corpus.canonical_order(merged(spark, d)).limit(100).select("satellite", "latitude", "longitude", F.date_format("detected_at", "yyyy-MM-dd").alias("day"))
+    return corpus.canonical_order(merged(spark, d)).select("satellite", "latitude", "longitude", F.date_format("detected_at", "yyyy-MM-dd").alias("day"))
 
 
 @query("o1_whole_order", _COR + _MERGED + " SELECT satellite, latitude, longitude, strftime(detected_at, '%Y-%m-%d') AS day, row_number() OVER (ORDER BY satellite, detected_at, latitude, longitude) AS position FROM merged")
@@ -121,7 +121,8 @@ def u4(spark, d):
     return whole.filter("corpus = 'nrt'").select("satellite").distinct().join(whole.filter("corpus = 'standard'").select("satellite").distinct(), "satellite", "left_anti")
 
 
-@query("a25_fingerprint")
+@query("a25_fingerprint", _COR + _MERGED + """, h AS (SELECT sha256('{"detected_at":"' || strftime(detected_at, '%Y-%m-%dT%H:%M:%S.000Z') || '","latitude":' || latitude || ',"longitude":' || longitude || ',"satellite":"' || satellite || '","type":' || coalesce(type::VARCHAR, 'null') || '}') AS h FROM merged)
+  SELECT count(*) AS n, sha256(count(*) || '|' || sum(('0x' || h[1:15])::BIGINT) || '|' || sum(('0x' || h[16:30])::BIGINT)) AS fingerprint FROM h""")
 def a25(spark, d):
     return corpus.fingerprint(merged(spark, d), ["satellite", "detected_at", "latitude", "longitude", "type"])
 
@@ -144,17 +145,15 @@ def a20(spark, d):
     return corpus.stratum_report(fx.detections(spark, d), STRATA, "acquired_at")
 
 
-@query("x7_cell_components", DET + """, c AS (SELECT DISTINCT floor(longitude / 0.004::DOUBLE)::BIGINT AS x, floor(latitude / 0.004::DOUBLE)::BIGINT AS y FROM det WHERE user_id < 12)
-  , n AS (SELECT x, y, x * 1000000 + y AS k FROM c), e AS (SELECT a.k, b.k AS m FROM n a JOIN n b ON abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1)
-  , r AS (WITH RECURSIVE t(k, m) AS (SELECT k, k FROM n UNION SELECT t.k, e.m FROM t JOIN e ON e.k = t.m) SELECT k, min(m) AS z FROM t GROUP BY k)
-  SELECT x AS cell_x, y AS cell_y, z FROM n JOIN r USING (k)""")
-def x7(spark, d):
-    return cell_components(fx.detections(spark, d).filter("user_id < 12"))
+_CELLS = """, n AS (SELECT x, y, x * 1000000 + y AS k FROM c), e AS (SELECT a.k, b.k AS m FROM n a, (SELECT unnest([-1, 0, 1]) AS dx), (SELECT unnest([-1, 0, 1]) AS dy), n b WHERE b.x = a.x + dx AND b.y = a.y + dy)
+  , r AS (WITH RECURSIVE t(k, m) AS (SELECT k, k FROM n UNION SELECT t.k, e.m FROM t JOIN e ON e.k = t.m) SELECT k, min(m) AS z FROM t GROUP BY k)"""
+_X7 = DET + ", c AS (SELECT DISTINCT floor(longitude / 0.004::DOUBLE)::BIGINT AS x, floor(latitude / 0.004::DOUBLE)::BIGINT AS y FROM det)" + _CELLS + " SELECT x AS cell_x, y AS cell_y, z FROM n JOIN r USING (k)"
 
 
-@query("x7_all_cell_components")
-def x7_all(spark, d):
-    """The components of all cells; recursive SQL is too slow for them."""
+@query("x7_cell_components", _X7)
+@query("x7_all_cell_components", _X7)
+def x7(spark, d):
+    """The components of all cells."""
     return cell_components(fx.detections(spark, d))
 
 
@@ -163,10 +162,26 @@ def cell_components(detections):
     return corpus.occupied_components(cells).select("cell_x", "cell_y", (F.col("zone_x") * 1000000 + F.col("zone_y")).alias("z"))
 
 
-@query("x8_static_sources")
+_ZONED = DET + """, s AS (SELECT longitude, latitude, acquired_at, floor(longitude / 0.004::DOUBLE)::BIGINT AS x, floor(latitude / 0.004::DOUBLE)::BIGINT AS y FROM det WHERE type = 2)
+  , c AS (SELECT DISTINCT x, y FROM s)""" + _CELLS + """, zoned AS (SELECT s.*, floor(z / 1000000.0::DOUBLE)::BIGINT AS zx, z FROM s JOIN n USING (x, y) JOIN r USING (k))
+  , means AS (SELECT z, zx, z - zx * 1000000 AS zy, count(*) AS n, count(DISTINCT strftime(acquired_at, '%Y-%m')) AS months, avg(latitude) AS lat, avg(longitude) AS lon, min(acquired_at) AS first, max(acquired_at) AS last FROM zoned GROUP BY z, zx)"""
+
+
+@query("x8_static_sources", _ZONED + """, spread AS (SELECT z, max(sqrt(((zoned.latitude - lat) * 111320.0::DOUBLE) ** 2 + ((zoned.longitude - lon) * 111320.0::DOUBLE * cos(radians(lat))) ** 2)) AS m FROM zoned JOIN means USING (z) GROUP BY z)
+  SELECT 'static-v1:' || zx || ':' || zy AS source_key, round(lat, 6) AS latitude, round(lon, 6) AS longitude, least(5000, greatest(500, ceil(m + 265)))::INT AS match_radius_m, n AS detection_count, months AS month_count,
+  strftime(first, '%Y-%m-%d') AS first_seen, strftime(last, '%Y-%m-%d') AS last_seen FROM means JOIN spread USING (z) WHERE n >= 3""")
 def x8(spark, d):
     rows = fx.detections(spark, d).withColumn("detected_at", F.col("acquired_at"))
-    return corpus.derive_static_sources(rows, min_detections=3, min_months=1)
+    out = corpus.derive_static_sources(rows, min_detections=3, min_months=1)
+    out = out.withColumns({c: F.round(c, 6) for c in ("latitude", "longitude")})
+    return out.withColumns({c: F.date_format(c, "yyyy-MM-dd") for c in ("first_seen", "last_seen")})
+
+
+@query("a19_registry_coverage", _ZONED + " SELECT sum(n)::BIGINT AS detections, count(*) AS candidates, count(*) FILTER (WHERE n >= 3) AS retained, coalesce(sum(n) FILTER (WHERE n >= 3), 0)::BIGINT AS covered, round_even(100.0::DOUBLE * coalesce(sum(n) FILTER (WHERE n >= 3), 0) / sum(n), 1) AS percent FROM means")
+def a19(spark, d):
+    rows = fx.detections(spark, d).withColumn("detected_at", F.col("acquired_at"))
+    zones = corpus.static_zones(rows).groupBy("zone_x", "zone_y").agg(F.count("*").alias("detection_count"))
+    return upkeep.registry_coverage(rows.filter("type = 2"), zones, zones.filter("detection_count >= 3"))
 
 
 @query("f1_pending", DET + ", known AS (" + SQL["known"] + ") SELECT det.id FROM det LEFT JOIN (SELECT event_id FROM det WHERE event_id % 3 = 0) m USING (event_id) WHERE m.event_id IS NULL AND is_public AND coalesce(type, 0) <> 2")
@@ -186,7 +201,12 @@ def j2(spark, d):
     return fx.daily_events(spark, d).select("id", "event_key").join(events(spark, d), "event_key").select("id", "event_key", "detection_count", stamp("first_detected_at").alias("first_at"))
 
 
-@query("j7_known_source_join")
+#: Metres on the ellipsoid of a short way, by the radii of curvature at its middle; the operator's own distance is the geodesic.
+_WAY = "sqrt((radians(det.latitude - s.latitude) * 6335439.32729 / (1 - 0.00669437999014 * sin(radians((det.latitude + s.latitude) / 2)) ** 2) ** 1.5) ** 2 + (radians(det.longitude - s.longitude) * 6378137.0 * cos(radians((det.latitude + s.latitude) / 2)) / sqrt(1 - 0.00669437999014 * sin(radians((det.latitude + s.latitude) / 2)) ** 2)) ** 2)"
+
+
+@query("j7_known_source_join", DET + ", s AS (" + SQL["known"] + f"), near AS (SELECT id, source_key, match_radius_m, {_WAY} AS m FROM det JOIN s ON abs(det.latitude - s.latitude) < 0.1 AND abs(det.longitude - s.longitude) < 0.2 WHERE s.is_active)"
+  " , best AS (SELECT id, (min(struct_pack(m := round(m, 3), k := source_key))).k AS known_source_key FROM near WHERE m <= match_radius_m GROUP BY id) SELECT id, known_source_key FROM det LEFT JOIN best USING (id)")
 def j7(spark, d):
     return spatial.classify_known(fx.detections(spark, d), fx.known_sources(spark, d)).select("id", "known_source_key")
 

@@ -157,9 +157,9 @@ def p11(spark, d):
 _NORM = f"trim(regexp_replace(lower(translate(n, '{text.ACCENTED}', '{text.FOLDED}')), '[^a-z0-9]+', ' ', 'g'))"
 
 
-@query("p14_normalize_name", f"WITH x AS (SELECT doc_id, regexp_extract(text, '[^\\n]*') AS n FROM documents) SELECT doc_id, translate(n, '{text.ACCENTED}', '{text.FOLDED}') AS folded, {_NORM} AS normalized, replace({_NORM}, ' ', '-') AS slug FROM x")
+@query("p14_normalize_name", f"WITH x AS (SELECT doc_id, text AS n FROM documents) SELECT doc_id, translate(n, '{text.ACCENTED}', '{text.FOLDED}') AS folded, {_NORM} AS normalized, replace({_NORM}, ' ', '-') AS slug FROM x")
 def p14(spark, d):
-    n = F.regexp_extract("text", "[^\\n]*", 0)
+    n = F.col("text")
     return fx.read(spark, d, "documents").select("doc_id", text.unaccent(n).alias("folded"), text.normalize_name(n).alias("normalized"), text.slugify(n).alias("slug"))
 
 

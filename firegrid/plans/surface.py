@@ -171,7 +171,12 @@ def timeline(spark, d):
     return timeline_entries(published(spark, d), fx.now())
 
 
-@query("q8_search_municipalities")
+@query("q8_search_municipalities", with_views("muni") + """, m AS (SELECT *, trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')) AS n FROM muni WHERE NOT is_retired),
+  g AS (SELECT *, list_distinct(flatten(list_transform(string_split(n, ' '), lambda w: list_transform(range(0, length(w) + 1), lambda i: substr('  ' || w || ' ', i + 1, 3))))) AS a FROM m),
+  q AS (SELECT list_distinct(flatten(list_transform(['customer', '000000012'], lambda w: list_transform(range(0, length(w) + 1), lambda i: substr('  ' || w || ' ', i + 1, 3))))) AS b),
+  s AS (SELECT *, len(list_intersect(a, b))::DOUBLE / (len(a) + len(b) - len(list_intersect(a, b))) AS alike FROM g, q)
+  SELECT insee_code, name, round(alike, 6) AS similarity FROM s WHERE starts_with(n, 'customer 000000012') OR alike >= 0.3 OR list_contains(postal_codes, 'Customer 000000012')
+  ORDER BY n = 'customer 000000012' DESC, starts_with(n, 'customer 000000012') DESC, alike DESC, name, insee_code LIMIT 25""")
 def q8(spark, d):
     return search_municipalities(fx.municipalities(spark, d).filter("not is_retired"), "Customer 000000012", 25).select("insee_code", "name", F.round("similarity", 6).alias("similarity"))
 
@@ -184,15 +189,12 @@ def q8b(spark, d):
     return fx.read(spark, d, "part").select("p_partkey", F.round(alike * 1e6).cast("long").alias("similarity_e6"))
 
 
-@query("q9_resolve_municipality", with_views("det") + " SELECT id, CASE WHEN b BETWEEN 0 AND 9 AND a BETWEEN 0 AND 14 THEN 'D' || lpad((b * 15 + a)::VARCHAR, 3, '0') END AS code FROM (SELECT id, (lon_e5 + 440000) // 80000 AS a, (lat_e5 - 4170000) // 60000 AS b FROM det WHERE NOT is_public)")
-def q9(spark, d):
-    from firegrid.operators.spatial import point_in_polygon
+_Q9 = with_views("det") + " SELECT id, CASE WHEN b BETWEEN 0 AND 9 AND a BETWEEN 0 AND 14 THEN 'D' || lpad((b * 15 + a)::VARCHAR, 3, '0') END AS code FROM (SELECT id, (lon_e5 + 440000) // 80000 AS a, (lat_e5 - 4170000) // 60000 AS b FROM det)"
 
-    return point_in_polygon(fx.detections(spark, d).filter("not is_public").select("id", "longitude", "latitude"), areas(spark)).select("id", "code")
 
-
-@query("q9_resolve_all", with_views("det") + " SELECT id, CASE WHEN b BETWEEN 0 AND 9 AND a BETWEEN 0 AND 14 THEN 'D' || lpad((b * 15 + a)::VARCHAR, 3, '0') END AS code FROM (SELECT id, (lon_e5 + 440000) // 80000 AS a, (lat_e5 - 4170000) // 60000 AS b FROM det)")
-def q9_all(spark, d):
+@query("q9_resolve_municipality", _Q9)
+@query("q9_resolve_all", _Q9)
+def q9(spark, d):
     from firegrid.operators.spatial import point_in_polygon
 
     return point_in_polygon(fx.detections(spark, d).select("id", "longitude", "latitude"), areas(spark)).select("id", "code")
