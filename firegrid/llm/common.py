@@ -63,6 +63,10 @@ class Scratch:
         df.write.mode("overwrite").parquet(self.paths[name])
         return self.spark.read.schema(df.schema).parquet(self.paths[name])
 
+    def read(self, *names: str) -> DataFrame:
+        """The rows of those tables that were kept."""
+        return self.spark.read.parquet(*(self.paths[name] for name in names if name in self.paths))
+
     def drop(self, *names: str) -> None:
         """Nothing that is still to be computed may read these tables."""
         for path in [self.paths.pop(name) for name in names if name in self.paths]:
@@ -86,23 +90,24 @@ def small(df: DataFrame, rows: int) -> DataFrame:
 HOT_SHARE, SALTS = 256, 64
 
 
-def hot_keys(counts: DataFrame, key: str, rows: int, number: str = "count") -> DataFrame:
-    """The keys of `counts` (key, number) with over rows / HOT_SHARE of all rows: fewer than HOT_SHARE keys."""
-    return counts.filter(F.col(number) > max(16, rows // HOT_SHARE)).select(key).distinct()
+def hot_keys(counts: DataFrame, key: str, rows: int, number: str = "count") -> list[int]:
+    """Hashes of the keys of `counts` (key, number) with over rows / HOT_SHARE of all rows: fewer than HOT_SHARE numbers."""
+    found = counts.filter(F.col(number) > max(16, rows // HOT_SHARE)).select(F.xxhash64(key).alias("h")).distinct()
+    return sorted(r.h for r in found.collect())
 
 
-def spread_join(rows: DataFrame, groups: DataFrame, key: str, hot: DataFrame, by: str, how: str = "inner") -> DataFrame:
+def spread_join(rows: DataFrame, groups: DataFrame, key: str, hot: list[int], by: str, how: str = "inner") -> DataFrame:
     """rows joined with groups (one row a key) on `key`; each of the few `hot` keys is dealt over SALTS tasks.
 
     A hot key's rows are told apart by a hash of their column `by`, and its row in groups
-    is repeated for each salt. Only the hot keys themselves are broadcast.
+    is repeated for each salt. A key whose hash collides with a hot one is salted too.
     """
-    flag = F.broadcast(hot.select(F.col(key).alias("_hot")))
-    salted = rows.join(flag, F.col(key) == F.col("_hot"), "left")
-    salted = salted.withColumn("_salt", F.when(F.col("_hot").isNull(), 0).otherwise(F.pmod(F.xxhash64(by, F.lit(9)), F.lit(SALTS)).cast("int"))).drop("_hot")
-    copies = F.when(F.col("_hot").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    spread = groups.join(flag, F.col(key) == F.col("_hot"), "left").withColumn("_salt", F.explode(copies)).drop("_hot")
-    return salted.join(spread, [key, "_salt"], how).drop("_salt")
+    if not hot:
+        return rows.join(groups, key, how)
+    is_hot = F.xxhash64(key).isin(hot)
+    salted = rows.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(by, F.lit(9)), F.lit(SALTS)).cast("int")).otherwise(0))
+    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return salted.join(groups.withColumn("_salt", F.explode(copies)), [key, "_salt"], how).drop("_salt")
 
 
 def filter_bits(rows: int, per_row: int = 16) -> int:
@@ -155,10 +160,9 @@ def repeat_filter(df: DataFrame, key: str, rows: int, name: str = "maybe_repeate
 
 
 def possible_ids(docs: DataFrame, ids: DataFrame, key: str, name: str = "possible") -> DataFrame:
-    """Mark the rows of `docs` whose `key` is possibly among `ids` (a checkpointed table)."""
+    """Mark the rows of `docs` whose `key` is possibly among `ids` (a written or checkpointed table)."""
     bits = filter_bits(ids.count())
-    maps = checkpoint(bit_map(ids.select(cell(F.col(key), bits, 1).alias("cell")).distinct()))
-    return marked(docs, maps, cell(F.col(key), bits, 1), name)
+    return marked(docs, bit_map(ids.select(cell(F.col(key), bits, 1).alias("cell")).distinct()), cell(F.col(key), bits, 1), name)
 
 
 def drop_rows(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:

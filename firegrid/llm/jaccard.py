@@ -5,8 +5,10 @@ that a partner lies in the same band or the next. A tile is a band pair together
 part of the shingle space: with d differences at most between partners and more than d
 parts, partners agree in a part, so they meet in the tile of that part's content. Within a
 tile the bit maps' Hamming distance bounds the overlap from above, and survivors get an
-exact intersection of sorted arrays. Every set is compared with its tiles' pivots; sets of
-a tile that hang on different pivots are then compared with each other, in blocks.
+exact intersection of sorted arrays. Every set is compared with its tiles' pivots. Sets of
+a tile that hang on different pivots are then compared by their bit maps, in blocks; what
+these leave possible makes groups of candidates, and within these the sets are compared
+exactly, in blocks too. A block gives a spanning forest of its pairs, never the pairs.
 
 Links are counted within components. Sets that are near enough to their component's hub
 are linked with each other by the triangle inequality, which is a sum over a histogram;
@@ -31,7 +33,7 @@ from firegrid.llm.hashing import mix, shingle_hashes, word_hashes
 #: Sets below this size are tiled by single shingles, larger ones by parts of the shingle space.
 SMALL_SET = 32
 #: Sets of one side of a block of a tile, and of a component; the latter carry their shingles, this many at most on average.
-TILE_BLOCK, LINK_BLOCK, LINK_SHINGLES = 2048, 512, 1 << 19
+TILE_BLOCK, LINK_BLOCK, LINK_SHINGLES = 1024, 512, 1 << 19
 #: Columns of the 0/1 matrices whose product is the overlaps of a block.
 COLUMNS = 8192
 
@@ -181,9 +183,9 @@ def _close(n1, n2, b1: bytes, b2: bytes, threshold: Threshold) -> bool:
 
 def _both_ends(pairs: DataFrame, sets: DataFrame, columns: dict[str, str]) -> DataFrame:
     """The pairs (u, v) with columns of both ends, numbered 1 and 2; an end of very many pairs is dealt over tasks."""
-    rows = pairs.count()
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("end")).groupBy("end").count()
+    hot = hot_keys(ends, "end", pairs.count())
     for k, node in ((1, "u"), (2, "v")):
-        hot = hot_keys(pairs.groupBy(node).count(), node, rows)
         side = sets.select(F.col("doc_id").alias(node), *(F.col(c).alias(f"{short}{k}") for c, short in columns.items()))
         pairs = spread_join(pairs, side, node, hot, "v" if node == "u" else "u")
     return pairs
@@ -213,44 +215,109 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, threshold: Thr
     ids = scratch.keep(f"{name}_ids", survivors.select(F.col("u").alias("doc_id")).union(survivors.select(F.col("v").alias("doc_id"))).distinct())
     own = scratch.keep(f"{name}_arrays", keep_rows(docs, ids).dropDuplicates(["doc_id"]).mapInArrow(_arrays(threshold), "doc_id long, s binary"))
     links = scratch.keep(name, _both_ends(survivors, own, {"s": "s"}).select("u", "v", "s1", "s2").mapInArrow(exact, "u long, v long, apart long"))
-    scratch.drop(f"{name}_survivors", f"{name}_ids", f"{name}_arrays")
+    scratch.drop(f"{name}_survivors", f"{name}_ids")
     return links
 
 
-def _block_pairs(member: DataFrame, sets: DataFrame, threshold: Threshold) -> DataFrame:
-    """Pairs within a tile (tile, doc_id, label, parts), of different labels, that the bit maps leave possible.
+def _spanning(ids: np.ndarray, rows: np.ndarray, columns: np.ndarray, pairs) -> pa.Table:
+    """(u, v): edges from the smallest id of each component to its other ids; pairs(k) gives the partners of rows[k] as places in columns."""
+    root = np.arange(len(ids))
+    for k, a in enumerate(rows):
+        near = root[columns[pairs(k)]]
+        if len(near) and (near != root[a]).any():
+            merged = np.unique(np.append(near, root[a]))
+            root[np.isin(root, merged)] = merged[0]
+    order = np.lexsort((ids, root))
+    first = np.r_[True, root[order][1:] != root[order][:-1]] if len(ids) else np.empty(0, bool)
+    low = ids[order][first][np.cumsum(first) - 1]
+    edge = low != ids[order]
+    return pa.table({"u": low[edge], "v": ids[order][edge]})
+
+
+def _maps(table: pa.Table) -> np.ndarray:
+    """The bit maps of a block, folded to the shortest."""
+    raw = [np.frombuffer(x, np.uint64) for x in table.column("bits").to_pylist()]
+    words = min(len(x) for x in raw)
+    return np.stack([fold(x, words) for x in raw])
+
+
+def _possible(a: int, others: np.ndarray, n: np.ndarray, bits: np.ndarray, threshold: Threshold) -> np.ndarray:
+    """Which of `others` sizes and bit maps leave as partners of the set in place a."""
+    most = (100 - threshold.percent) * (n[others] + n[a])
+    out = np.abs(n[others] - n[a]) * (100 + threshold.percent) <= most
+    at = np.flatnonzero(out)
+    out[at] = np.bitwise_count(bits[others[at]] ^ bits[a]).sum(axis=1, dtype=np.int64) * (100 + threshold.percent) <= most[at]
+    return out
+
+
+def _blocks(member: DataFrame, seed: int) -> DataFrame:
+    """member (group, doc_id, parts, …) once for every pair of blocks (i, j) of its group that it is in; `own` is its block."""
+    placed = member.withColumn("own", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("parts")).cast("int"))
+    spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("parts") - 1).cast("int"))))
+    return spread.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other", "parts")
+
+
+def _candidates(member: DataFrame, sets: DataFrame, threshold: Threshold) -> DataFrame:
+    """(u, v): edges whose components hold all pairs within a tile, of different labels, that the bit maps leave possible.
 
-    A tile's sets are dealt over `parts` blocks by a hash; each pair of blocks is a group of
-    bounded size.
+    member: tile, doc_id, label, parts. A tile's sets are dealt over `parts` blocks by a hash;
+    each pair of blocks is a group of bounded size.
     """
-    placed = member.withColumn("own", F.pmod(F.xxhash64("doc_id", F.lit(21)), F.col("parts")).cast("int"))
-    spread = placed.join(sets.select("doc_id", "n", "bits"), "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("parts") - 1).cast("int"))))
-    spread = spread.select("tile", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "label", "n", "bits")
 
     def compare(table: pa.Table) -> pa.Table:
-        own, i, j = (table.column(c).to_numpy() for c in ("own", "i", "j"))
-        ids, label, n = (table.column(c).to_numpy() for c in ("doc_id", "label", "n"))
-        raw = [np.frombuffer(x, np.uint64) for x in table.column("bits").to_pylist()]
-        words = min(len(x) for x in raw)
-        bits = np.stack([fold(x, words) for x in raw])
-        left, right = np.flatnonzero(own == i[0]), np.flatnonzero(own == j[0])
-        us, vs = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for a in left:
-            b = right[right > a] if i[0] == j[0] else right
-            b = b[label[b] != label[a]]
-            b = b[np.abs(n[b] - n[a]) * (100 + threshold.percent) <= (100 - threshold.percent) * (n[b] + n[a])]
-            apart = np.bitwise_count(bits[b] ^ bits[a]).sum(axis=1, dtype=np.int64)
-            b = b[apart * (100 + threshold.percent) <= (100 - threshold.percent) * (n[b] + n[a])]
-            us.append(np.full(len(b), ids[a]))
-            vs.append(ids[b])
-        u, v = np.concatenate(us), np.concatenate(vs)
-        return pa.table({"u": np.minimum(u, v), "v": np.maximum(u, v)})
+        own, i, j, ids, label, n = (table.column(c).to_numpy() for c in ("own", "i", "j", "doc_id", "label", "n"))
+        bits, left, right = _maps(table), np.flatnonzero(own == i[0]), np.flatnonzero(own == j[0])
+
+        def pairs(k: int) -> np.ndarray:
+            at = np.flatnonzero(label[right] != label[left[k]])
+            return at[_possible(left[k], right[at], n, bits, threshold)]
+
+        return _spanning(ids, left, right, pairs)
 
+    spread = _blocks(member.join(sets.select("doc_id", "n", "bits"), "doc_id"), 21)
     return spread.groupBy("tile", "i", "j").applyInArrow(compare, "u long, v long").distinct()
 
 
-def _links(tiled: DataFrame, sets: DataFrame, docs: DataFrame, threshold: Threshold, scratch: Scratch) -> DataFrame:
-    """(u, v, apart): links that connect all linked sets; every link of a set with the pivot of one of its tiles is among them.
+def _exact(member: DataFrame, threshold: Threshold) -> DataFrame:
+    """(u, v): a spanning forest of the links within every pair of blocks of a group.
+
+    member: group, doc_id, label, n, bits, s, parts. Sets of one label are linked already.
+    """
+
+    def compare(table: pa.Table) -> pa.Table:
+        own, i, j, ids, label, n = (table.column(c).to_numpy() for c in ("own", "i", "j", "doc_id", "label", "n"))
+        left, right = np.flatnonzero(own == i[0]), np.flatnonzero(own == j[0])
+        asked = label[left][:, None] != label[right][None, :]
+        linked = _linked(table, left, right, n, asked, threshold)
+        return _spanning(ids, left, right, lambda k: np.flatnonzero(linked[k]))
+
+    return _blocks(member, 23).groupBy("group", "i", "j").applyInArrow(compare, "u long, v long").distinct()
+
+
+def _linked(table: pa.Table, left: np.ndarray, right: np.ndarray, n: np.ndarray, asked: np.ndarray, threshold: Threshold) -> np.ndarray:
+    """Which of the asked pairs link: bit maps first, then exact overlaps of what they leave."""
+    bits = _maps(table)
+    for k, a in enumerate(left):
+        b = np.flatnonzero(asked[k])
+        asked[k, b] = _possible(a, right[b], n, bits, threshold)
+    rows, columns = np.flatnonzero(asked.any(axis=1)), np.flatnonzero(asked.any(axis=0))
+    out = np.zeros_like(asked)
+    if len(rows):
+        s = table.column("s")
+        arrays = lambda at: [np.frombuffer(s[int(k)].as_py(), np.uint64) for k in at]
+        common = _overlaps(arrays(left[rows]), arrays(right[columns]))
+        total = n[left[rows]][:, None] + n[right[columns]][None, :]
+        out[np.ix_(rows, columns)] = (100 * common >= threshold.percent * (total - common)) & asked[np.ix_(rows, columns)]
+    return out
+
+
+def _parts(count, shingles):
+    """Blocks of a group: by its sets and by their shingles."""
+    return F.greatest(F.ceil(count / LINK_BLOCK), F.ceil(F.coalesce(shingles, F.lit(0)) / LINK_SHINGLES)).cast("int")
+
+
+def _links(tiled: DataFrame, sets: DataFrame, docs: DataFrame, threshold: Threshold, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(links, edges): the links (u, v, apart) of sets with their tiles' pivots, and (u, v) whose components are those of all links.
 
     A tile's pivot is its smallest id, so the many tiles of a group of near copies share one.
     """
@@ -266,19 +333,24 @@ def _links(tiled: DataFrame, sets: DataFrame, docs: DataFrame, threshold: Thresh
     # A set hangs on its smallest linked pivot, and with that on the pivot's own.
     hung = scratch.keep("hung", links.groupBy("v").agg(F.min("u").alias("u")))
     above = hung.select(F.col("v").alias("u"), F.col("u").alias("top"))
-    label = hung.join(above, "u", "left").select(F.col("v").alias("doc_id"), F.coalesce("top", "u").alias("label"))
-    labelled = scratch.keep("labelled", member.filter("members > 2").select("tile", "doc_id").join(label, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id")))
+    labels = scratch.keep("labels", hung.join(above, "u", "left").select(F.col("v").alias("doc_id"), F.coalesce("top", "u").alias("label")))
+    labelled = member.filter("members > 2").select("tile", "doc_id").join(labels, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
     mixed = labelled.groupBy("tile").agg(F.count("*").alias("members"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
     mixed = scratch.keep("mixed", mixed.select("tile", "members", F.ceil(F.col("members") / TILE_BLOCK).alias("parts")))
     rows = mixed.agg(F.coalesce(F.sum("members"), F.lit(0))).first()[0]
+    edges = links.select("u", "v")
     if rows:
-        hot = hot_keys(mixed, "tile", rows, "members")
-        inside = spread_join(labelled, mixed.select("tile", "parts"), "tile", hot, "doc_id")
-        more = _verified(scratch.keep("block_pairs", _block_pairs(inside, sets, threshold)), sets, docs, threshold, scratch, "block_links")
-        links = scratch.keep("links", links.union(more).distinct())
-        scratch.drop("block_pairs", "block_links", "pivot_links")
-    scratch.drop("busy", "member", "pivot_pairs", "hung", "labelled", "mixed")
-    return links
+        inside = spread_join(labelled, mixed.select("tile", "parts"), "tile", hot_keys(mixed, "tile", rows, "members"), "doc_id")
+        near = connected_components(scratch.keep("candidates", _candidates(inside, sets, threshold)))
+        near = scratch.keep("near", near.select(F.col("node").alias("doc_id"), F.col("component").alias("group")))
+        own = scratch.keep("block_links_arrays", keep_rows(docs, near.select("doc_id")).dropDuplicates(["doc_id"]).mapInArrow(_arrays(threshold), "doc_id long, s binary"))
+        named = near.join(sets, "doc_id").dropDuplicates(["doc_id"]).join(labels, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+        sizes = named.groupBy("group").agg(F.count("*").alias("count"), F.sum("n").alias("shingles"))
+        sizes = scratch.keep("sizes", sizes.select("group", "count", _parts(F.col("count"), F.col("shingles")).alias("parts")))
+        placed = spread_join(named, sizes.select("group", "parts"), "group", hot_keys(sizes, "group", near.count()), "doc_id").join(own, "doc_id")
+        edges = edges.union(scratch.keep("block_links", _exact(placed, threshold)))
+    scratch.drop("busy", "member", "pivot_pairs", "hung", "labels", "mixed", "candidates", "near", "sizes")
+    return links, edges
 
 
 def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -311,32 +383,16 @@ def _counted(node: DataFrame, arrays: DataFrame, threshold: Threshold) -> DataFr
     def count(table: pa.Table) -> pa.Table:
         own, i, j, fringe = (table.column(c).to_numpy() for c in ("own", "i", "j", "fringe"))
         ids, n, weight, slack = (table.column(c).to_numpy() for c in ("doc_id", "n", "weight", "slack"))
-        raw = [np.frombuffer(x, np.uint64) for x in table.column("bits").to_pylist()]
-        words = min(len(x) for x in raw)
-        bits = np.stack([fold(x, words) for x in raw])
         inner = bool(table.column("inner")[0].as_py())
         left = np.flatnonzero(fringe & (own == i[0]))
         right = np.flatnonzero((fringe if inner else ~fringe) & (own == j[0]))
         if not len(left) or not len(right):
             return pa.table({"doc_id": np.empty(0, np.int64), "links": np.empty(0, np.int64)})
-        most = (100 - threshold.percent) * (n[left][:, None] + n[right][None, :])
         asked = slack[left][:, None] + slack[right][None, :] > 0
         if inner and i[0] == j[0]:
             asked &= ~np.eye(len(left), dtype=bool)
-        asked &= np.abs(n[left][:, None] - n[right][None, :]) * (100 + threshold.percent) <= most
-        for k, a in enumerate(left):
-            b = np.flatnonzero(asked[k])
-            apart = np.bitwise_count(bits[right[b]] ^ bits[a]).sum(axis=1, dtype=np.int64)
-            asked[k, b] = apart * (100 + threshold.percent) <= most[k, b]
-        rows, columns = np.flatnonzero(asked.any(axis=1)), np.flatnonzero(asked.any(axis=0))
-        linked = np.zeros_like(asked)
-        if len(rows):
-            s = [np.frombuffer(x, np.uint64) for x in table.column("s").to_pylist()]
-            common = _overlaps([s[k] for k in left[rows]], [s[k] for k in right[columns]])
-            total = n[left[rows]][:, None] + n[right[columns]][None, :]
-            linked[np.ix_(rows, columns)] = (100 * common >= threshold.percent * (total - common)) & asked[np.ix_(rows, columns)]
-        links = [linked @ weight[right]]
-        out = [ids[left]]
+        linked = _linked(table, left, right, n, asked, threshold)
+        links, out = [linked @ weight[right]], [ids[left]]
         if not (inner and i[0] == j[0]):
             links.append(linked.T @ weight[left])
             out.append(ids[right])
@@ -346,9 +402,10 @@ def _counted(node: DataFrame, arrays: DataFrame, threshold: Threshold) -> DataFr
     return found.groupBy("doc_id").agg(F.sum("links").alias("links"))
 
 
-def _link_counts(links: DataFrame, component: DataFrame, sets: DataFrame, docs: DataFrame, threshold: Threshold, scratch: Scratch) -> DataFrame:
+def _link_counts(links: DataFrame, component: DataFrame, sets: DataFrame, arrays: DataFrame, threshold: Threshold, scratch: Scratch) -> DataFrame:
     """(doc_id, n_links): documents that each set of a component links with, its own copies left out.
 
+    The hub of a component is the set with most of the given links, those with pivots.
     Let slack = (100 + percent) * distance to the hub - (100 - percent) * size. Two sets whose
     slacks sum up to 0 or less are linked by the triangle inequality, so each set's count of
     these is a running sum over its component's few slacks. Sets with a slack above 0, or
@@ -356,10 +413,10 @@ def _link_counts(links: DataFrame, component: DataFrame, sets: DataFrame, docs:
     """
     ends = links.select(F.col("u").alias("doc_id"), F.col("v").alias("far"), "apart").union(links.select(F.col("v").alias("doc_id"), F.col("u").alias("far"), "apart"))
     degree = ends.groupBy("doc_id").agg(F.count("*").alias("degree")).join(component, "doc_id")
-    hub = scratch.keep("hub", degree.groupBy("component").agg(F.max(F.struct("degree", (-F.col("doc_id")).alias("id"))).alias("h")).select("component", (-F.col("h.id")).alias("hub")))
+    hubs = degree.groupBy("component").agg(F.max(F.struct("degree", (-F.col("doc_id")).alias("id"))).alias("h")).select((-F.col("h.id")).alias("far"))
+    hubs = scratch.keep("hubs", hubs)
     # Distances to a hub: links whose far end is one.
-    is_hub = hub.select(F.col("hub").alias("far"))
-    to_hub = keep_rows(ends, scratch.keep("hubs", is_hub), "far").groupBy("doc_id").agg(F.min("apart").alias("apart")).union(is_hub.select("far", F.lit(0).cast("long")))
+    to_hub = keep_rows(ends, hubs, "far").groupBy("doc_id").agg(F.min("apart").alias("apart")).union(hubs.select("far", F.lit(0).cast("long")))
     own = component.join(sets, "doc_id").dropDuplicates(["doc_id"]).join(to_hub, "doc_id", "left")
     slack = (100 + threshold.percent) * F.col("apart") - (100 - threshold.percent) * F.col("n")
     far = 1 << 40
@@ -373,22 +430,19 @@ def _link_counts(links: DataFrame, component: DataFrame, sets: DataFrame, docs:
     parts = node.groupBy("component").agg(
         F.count_if("fringe").alias("f"), F.count_if(~F.col("fringe")).alias("c"), F.sum(F.when(F.col("fringe"), F.col("n"))).alias("fn"), F.sum(F.when(~F.col("fringe"), F.col("n"))).alias("cn"), F.count("*").alias("count")
     )
-    blocks = lambda k: F.greatest(F.ceil(F.col(k) / LINK_BLOCK), F.ceil(F.coalesce(F.col(k + "n"), F.lit(0)) / LINK_SHINGLES)).cast("int")
-    parts = scratch.keep("parts", parts.select("component", "count", "f", blocks("f").alias("f_parts"), blocks("c").alias("c_parts")))
+    parts = parts.select("component", "count", "f", _parts(F.col("f"), F.col("fn")).alias("f_parts"), _parts(F.col("c"), F.col("cn")).alias("c_parts"))
+    parts = scratch.keep("parts", parts)
     hot = hot_keys(parts, "component", rows)
     open_ = parts.filter("f > 0").select("component", "f_parts", "c_parts")
-    compared = scratch.keep("compared", spread_join(node, open_, "component", hot, "doc_id"))
-    arrays = keep_rows(docs, scratch.keep("compared_ids", compared.select("doc_id").distinct())).dropDuplicates(["doc_id"]).mapInArrow(_arrays(threshold), "doc_id long, s binary")
-    more = scratch.keep("more", _counted(compared, scratch.keep("compared_arrays", arrays), threshold))
-    scratch.drop("compared", "compared_ids", "compared_arrays")
+    compared = spread_join(node, open_, "component", hot, "doc_id")
+    more = scratch.keep("more", _counted(compared, arrays, threshold))
     settled = node.select("doc_id", "component", "slack", "weight", "fringe").withColumn("at", F.struct("component", "slack"))
-    by_slack = settled.groupBy("at").count()
     sums = sums.select(F.struct("component", "slack").alias("at"), "settled")
-    told = spread_join(settled, sums, "at", hot_keys(by_slack, "at", rows), "doc_id", "left")
+    told = spread_join(settled, sums, "at", hot_keys(settled.groupBy("at").count(), "at", rows), "doc_id", "left")
     itself = F.when(F.col("fringe"), 0).otherwise(F.col("weight"))
     counted = told.join(more, "doc_id", "left").select("doc_id", (F.coalesce("settled", F.lit(0)) - itself + F.coalesce("links", F.lit(0))).alias("n_links"))
     out = scratch.keep("link_counts", counted)
-    scratch.drop("hub", "hubs", "node", "sums", "parts", "more")
+    scratch.drop("hubs", "node", "sums", "parts", "more")
     return out
 
 
@@ -406,34 +460,37 @@ def similar_groups(docs: DataFrame, threshold: Threshold, count_links: bool = Tr
     scratch = Scratch(docs.sparkSession)
     texts = docs.select("doc_id", "text")
     described = scratch.keep("described", texts.mapInArrow(_described(threshold), "doc_id long, n long, key binary, tiles array<long>, bits binary"))
-    worded = described.filter("doc_id is not null and n > 0")
+    worded, others = described.filter("doc_id is not null and n > 0"), described.select("doc_id", "n").filter("doc_id is null or n = 0")
     held = worded.groupBy("doc_id").agg(F.min(F.xxhash64("key")).alias("low"), F.max(F.xxhash64("key")).alias("high"))
     unclear = scratch.keep("unclear", held.filter("low < high").select("doc_id"))
-    worded = drop_rows(worded, unclear)
+    if not unclear.isEmpty():
+        others = others.unionByName(keep_rows(worded.select("doc_id", "n"), unclear))
+        worded = drop_rows(worded, unclear)
     classes = scratch.keep("classes", worded.groupBy("key").agg(F.min("doc_id").alias("class"), F.count("*").alias("weight")))
-    rows = worded.count()
-    member = scratch.keep("members", spread_join(worded.select("doc_id", "n", "key"), classes, "key", hot_keys(classes, "key", rows, "weight"), "doc_id").select("doc_id", "n", "class", "weight"))
+    rows = classes.agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0]
+    hot = hot_keys(classes, "key", rows, "weight")
+    member = scratch.keep("members", spread_join(worded.select("doc_id", "n", "key"), classes, "key", hot, "doc_id").select("doc_id", "n", "class", "weight"))
     twins = scratch.keep("twins", member.filter("doc_id <> class").select("doc_id").distinct())
     # Repeated rows of one id and set agree in all columns, and are one set from the pairs on.
-    sets = scratch.keep("sets", drop_rows(worded, twins).select("doc_id", "n", "bits", "tiles"))
-    others = described.select("doc_id", "n").filter("doc_id is null or n = 0").unionByName(keep_rows(described.filter("n > 0"), unclear).select("doc_id", "n"))
+    first = scratch.keep("first", drop_rows(worded, twins))
     others = scratch.keep("others", others)
     scratch.drop("described", "unclear", "classes", "twins")
-    links = _links(sets.select("doc_id", F.explode("tiles").alias("tile")), sets.select("doc_id", "n", "bits"), texts, threshold, scratch)
-    component = scratch.keep("component", connected_components(links).select(F.col("node").alias("doc_id"), "component"))
+    sets = first.select("doc_id", "n", "bits")
+    links, edges = _links(first.select("doc_id", F.explode("tiles").alias("tile")), sets, texts, threshold, scratch)
+    component = scratch.keep("component", connected_components(edges).select(F.col("node").alias("doc_id"), "component"))
     found = component.select(F.col("doc_id").alias("class"), "component")
     if count_links:
-        weighed = sets.select("doc_id", "n", "bits").join(member.filter("doc_id = class").select("doc_id", "weight").distinct(), "doc_id")
-        counts = _link_counts(links, component, weighed, texts, threshold, scratch)
+        weighed = sets.join(member.filter("doc_id = class").select("doc_id", "weight").distinct(), "doc_id")
+        arrays = scratch.read("pivot_links_arrays", "block_links_arrays").dropDuplicates(["doc_id"])
+        counts = _link_counts(links, component, weighed, arrays, threshold, scratch)
         found = found.join(counts.withColumnRenamed("doc_id", "class"), "class")
     else:
         found = found.withColumn("n_links", F.lit(None).cast("long"))
-    heavy = member.select("class", "weight").filter(F.col("weight") > max(16, rows // 256)).select("class").distinct()
-    told = spread_join(member, found, "class", heavy, "doc_id", "left")
+    told = spread_join(member, found, "class", hot_keys(member.groupBy("class").count(), "class", rows), "doc_id", "left")
     n_links = F.coalesce("n_links", F.lit(0)) + F.col("weight") - 1 if count_links else F.col("n_links")
     out = told.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "class").alias("component_id"), n_links.alias("n_links"))
     alone = others.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0 if count_links else None).cast("long").alias("n_links"))
-    scratch.drop("sets", "pivot_links", "links")
+    scratch.drop("first", "pivot_links", "block_links", "pivot_links_arrays", "block_links_arrays")
     return out.unionByName(alone)
 
 

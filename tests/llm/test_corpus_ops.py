@@ -111,7 +111,7 @@ def near_copies(seed):
     return texts
 
 
-@pytest.mark.parametrize("words, percent, block", [(3, 90, 512), (5, 80, 512), (5, 80, 2)])
+@pytest.mark.parametrize("words, percent, block", [(3, 90, 512), (5, 80, 2)])
 def test_jaccard_groups_match_brute_force(spark, monkeypatch, words, percent, block):
     monkeypatch.setattr(jaccard, "TILE_BLOCK", block)
     monkeypatch.setattr(jaccard, "LINK_BLOCK", block)
