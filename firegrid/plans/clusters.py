@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from firegrid.functions.rules import ClusteringParams
 from firegrid.operators import clustering
 from firegrid.plans.registry import query
 from firegrid.sources import fixtures as fx
@@ -24,12 +23,10 @@ def a24(spark, d):
     return clustering.partition_signature(clustering.cluster(_public(spark, d)))
 
 
-SETS = [ClusteringParams(), ClusteringParams("narrow", base_radius_m=1500), ClusteringParams("short", attach_window_hours=12), ClusteringParams("strict", min_score=0.5)]
-
-
 @query("x12_sweep")
 def x12(spark, d):
-    members = clustering.sweep(_public(spark, d), SETS)
+    """The whole one-axis sweep; crossed_grid() is run the same way."""
+    members = clustering.sweep(_public(spark, d), clustering.axis_grid())
     sensors = members.join(_public(spark, d).select("id", "sensor"), "id").groupBy("version", "event_id").agg(F.count_distinct("sensor").alias("sensor_count"))
     shapes = clustering.event_shapes(members).join(sensors, ["version", "event_id"])
     return clustering.calibration_metrics(shapes.withColumn("span_hours", (F.unix_micros("last") - F.unix_micros("first")) / F.lit(3.6e9)))

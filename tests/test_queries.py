@@ -43,9 +43,38 @@ def test_oracle(spark, duck, name):
 
 
 @pytest.mark.skipif(not Path(DATA).exists(), reason="no test tables here")
-@pytest.mark.parametrize("name", sorted({*QUERIES} - {*ORACLES} - {"x12_sweep"}))
+@pytest.mark.parametrize("name", sorted({*QUERIES} - {*ORACLES}))
 def test_runs(spark, name):
-    assert QUERIES[name](spark, DATA).count() > 0
+    """Without SQL: tests of their operators compare their rows; here they run whole, twice alike."""
+    first, again = (QUERIES[name](spark, DATA).toPandas() for _ in range(2))
+    assert len(first) > 0 and rows(first) == rows(again)
+
+
+@pytest.mark.skipif(not Path(DATA).exists(), reason="no test tables here")
+def test_clusters_hold_every_public_detection_once(spark):
+    """x1 against the rule applied in sequence over the whole table, and its signature."""
+    import numpy as np
+
+    from firegrid.functions.rules import REFERENCE
+    from firegrid.operators import clustering
+    from firegrid.sources import fixtures
+
+    det = fixtures.detections(spark, DATA).filter("is_public").toPandas().sort_values(["acquired_at", "provider_key"], kind="stable", ignore_index=True)
+    micros = det["acquired_at"].astype("datetime64[us]").astype("int64").to_numpy()
+    events, scores = clustering.attach(det["longitude"].to_numpy(), det["latitude"].to_numpy(), micros, det["provider_key"].tolist(), [None] * len(det), REFERENCE)
+    got = {r.id: (r.event_id, r.score) for r in QUERIES["x1_clusters"](spark, DATA).collect()}
+    assert got == {i: (e, round(s, 6)) for i, e, s in zip(det["id"], events, np.round(scores, 6), strict=True)}
+    assert QUERIES["a24_partition_signature"](spark, DATA).first().events == len({*events})
+
+
+@pytest.mark.skipif(not Path(DATA).exists(), reason="no test tables here")
+def test_snapshots_hold_the_visible_events(spark, duck):
+    """q13: one snapshot an event that is not hidden, and its payload's fields."""
+    import json
+
+    found = {r.event_key: json.loads(r.payload) for r in QUERIES["q13_snapshots"](spark, DATA).collect()}
+    wanted = duck.execute(ORACLES["q14_snapshot_first"]).fetchall()
+    assert {*found} == {k for k, _ in wanted} and all((v["detection_count"] > 1) == (dict(wanted)[k] == "snapshot") for k, v in found.items())
 
 
 @pytest.mark.skipif(not Path(DATA).exists(), reason="no test tables here")
@@ -64,14 +93,14 @@ def test_every_detection_has_its_cell_component(spark):
             todo += near
         low |= dict.fromkeys(group, min(group))
     got = {(r.cell_x, r.cell_y): r.z for r in QUERIES["x7_all_cell_components"](spark, DATA).collect()}
-    assert got == {c: x * 1000000 + y for c, (x, y) in low.items()} and len(got) > QUERIES["x7_cell_components"](spark, DATA).count()
+    assert got == {c: x * 1000000 + y for c, (x, y) in low.items()}
 
 
 @pytest.mark.skipif(not Path(DATA).exists(), reason="no test tables here")
 def test_every_detection_is_resolved(spark):
     from firegrid.sources import fixtures
 
-    assert QUERIES["q9_resolve_all"](spark, DATA).count() == fixtures.detections(spark, DATA).count() > QUERIES["q9_resolve_municipality"](spark, DATA).count()
+    assert QUERIES["q9_resolve_municipality"](spark, DATA).count() == fixtures.detections(spark, DATA).count()
 
 
 def test_keys_beyond_the_old_bounds_stay(spark, tmp_path):
@@ -90,7 +119,7 @@ def test_every_order_is_a_bulletin(spark, duck):
   UNION ALL SELECT k, NULL, false, NULL, NULL FROM x WHERE k % 10 = 0 UNION ALL SELECT k, lpad((c % 95)::VARCHAR, 2, '0'), c % 2 = 1, (k % 9 + 1)::INT, NULL FROM x WHERE k % 10 <> 0 AND k % 7 = 0"""
     got = QUERIES["s9_all_warnings"](spark, DATA).select("k", "department", "is_coastal", "phenomenon_id", "colour").collect()
     assert sorted(map(tuple, got), key=repr) == sorted(duck.execute(sql).fetchall(), key=repr)
-    assert len(got) == len(duck.execute("select 1 from orders").fetchall()) > QUERIES["s9_warning_map"](spark, DATA).count()
+    assert len(got) == len(duck.execute("select 1 from orders").fetchall())
 
 
 @pytest.mark.skipif(not Path(DATA).exists(), reason="no test tables here")
