@@ -62,11 +62,16 @@ def closed_components(detections: DataFrame, reach_m: float, reach_h: float, rou
         named = components_of(links)
         zone = own.join(named, "node", "left").select("node", F.coalesce("component", "node").alias("zone"))
         zoned = out.withColumn("node", cell).join(zone, "node").drop("node", "component")
-        order = Window.partitionBy("zone").orderBy("acquired_at", "provider_key")
-        gap = F.unix_micros("acquired_at") - F.unix_micros(F.lag("acquired_at").over(order))
-        cut = zoned.withColumn("_new", F.when(gap > reach_h * 3.6e9, 1).otherwise(0))
-        piece = F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))
-        out = cut.withColumn("_piece", piece).withColumn("component", F.sha2(F.concat_ws("|", "zone.component", "zone._x", "zone._y", "_piece"), 256)).drop("zone", "_new", "_piece")
+        # A zone is cut where it is silent for longer than the reach. Within a bucket of that length it is not, so the
+        # earliest and latest rows of its buckets tell, and only they are ordered.
+        width = int(reach_h * 3.6e9)
+        zoned = shared_checkpoint(zoned.withColumn("_bucket", F.expr(f"floor(unix_micros(acquired_at) / {width})")))
+        spans = zoned.groupBy("zone", "_bucket").agg(F.min(F.unix_micros("acquired_at")).alias("low"), F.max(F.unix_micros("acquired_at")).alias("high"))
+        order = Window.partitionBy("zone").orderBy("_bucket")
+        cut = spans.withColumn("_new", F.when(F.col("low") - F.lag("high").over(order) > reach_h * 3.6e9, 1).otherwise(0))
+        pieces = cut.select("zone", "_bucket", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("_piece"))
+        name = F.sha2(F.concat_ws("|", "zone.component", "zone._x", "zone._y", "_piece"), 256)
+        out = zoned.join(pieces, ["zone", "_bucket"]).withColumn("component", name).drop("zone", "_bucket", "_piece")
         out = shared_checkpoint(out)
         if out.groupBy("component").count().filter(F.col("count") > GROUP_ROWS).isEmpty():
             break
