@@ -30,16 +30,16 @@ NOTICES = (
     ("you may not use this file except in compliance with the license", "apache-2"),
     ("unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied", "apache-2"),
     ("licensed under cc by nc 4 0", "cc-by-nc"),
-    ("this work is licensed under a creative commons attribution noncommercial 4 0 international license", "cc-by-nc"),
+    ("creative commons attribution noncommercial 4 0 international license", "cc-by-nc"),
     ("licensed under cc by sa 4 0", "cc-by-sa"),
-    ("this work is licensed under a creative commons attribution sharealike 4 0 international license", "cc-by-sa"),
+    ("creative commons attribution sharealike 4 0 international license", "cc-by-sa"),
     ("this work is licensed under the gnu general public license version 3", "gpl-3"),
     ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", "gpl"),
     ("this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose", "gpl"),
     ("you should have received a copy of the gnu general public license along with this program", "gpl"),
-    ("this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license", "agpl"),
+    ("under the terms of the gnu affero general public license", "agpl"),
     ("this library is free software under the terms of the gnu lesser general public license", "lgpl"),
-    ("this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license", "lgpl"),
+    ("under the terms of the gnu lesser general public license", "lgpl"),
     ("this source code form is subject to the terms of the mozilla public license v 2 0", "mpl-2"),
     ("if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0", "mpl-2"),
     ("redistribution and use in source and binary forms with or without modification are permitted", "bsd"),
