@@ -57,6 +57,7 @@ def main() -> None:
             began = time.time()
             result = act()
             figures[name] = round(time.time() - began, 2)
+            print(name, figures[name], file=sys.stderr, flush=True)
             return result
 
         events = timed("one_set_s", lambda: clustering.cluster(frame).agg(F.count_distinct("event_id")).first()[0])  # noqa: B023
