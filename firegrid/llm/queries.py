@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from firegrid.llm import bpe, exact_dedup, jaccard, licenses, line_dedup, mixing, quality, secrets, toxicity, url_rules
+from firegrid.llm import alignment, bpe, exact_dedup, jaccard, licenses, line_dedup, mixing, quality, secrets, toxicity, url_rules
 from firegrid.llm.common import table
 
 
@@ -51,6 +51,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(table(spark, sf_dir, "documents"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment_report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
