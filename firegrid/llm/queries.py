@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from firegrid.llm import alignment, bpe, exact_dedup, jaccard, licenses, line_dedup, mixing, periodic, quality, secrets, toxicity, url_rules
+from firegrid.llm import alignment, bpe, exact_dedup, jaccard, licenses, line_dedup, mixing, periodic, quality, secrets, toxicity, url_rules, wavelet
 from firegrid.llm.common import table
 
 
@@ -59,6 +59,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.run_report(periodic.with_planted_periods(table(spark, sf_dir, "documents")))
 
 
+def op13_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet.token_report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
