@@ -10,7 +10,7 @@ A space between two characters that are no white space starts a token of both to
 whatever stands around it (for B this is read off its pieces), so texts are cut there, and
 each distinct piece of a batch is encoded and aligned once. Results are those of whole texts.
 
-Documents are handled in blocks, one an Arrow batch. Only a block's distinct id pairs travel:
+Documents are handled in blocks of a few megabytes. Only a block's distinct id pairs travel:
 they are counted over the corpus and sent back to their block, so a pair that every
 document holds is one row a block.
 """
@@ -18,61 +18,52 @@ document holds is one row a block.
 from __future__ import annotations
 
 import hashlib
-import os
 import re
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from firegrid.llm.bpe import clean
-from firegrid.llm.common import Scratch, bound_arrow_batches
+from firegrid.llm import bpe
+from firegrid.llm.common import Scratch, bound_arrow_batches, text_slices
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-#: Pieces of up to this many characters are remembered, so many of them at most in each worker.
-REMEMBERED_CHARS, REMEMBERED_PIECES = 64, 200_000
+#: A worker forgets its pieces before the batch that finds more of them than this; pieces that are encoded in one text.
+REMEMBERED_PIECES, ENCODED_TOGETHER = 150_000, 1024
 
 
 def default_vocabularies() -> tuple[str, str]:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
-
-
-def _byte_of_character() -> dict[str, int]:
-    """The byte-level alphabet: printable bytes stand for themselves, the others follow from U+0100 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    others = [b for b in range(256) if b not in plain]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
+    return bpe.default_vocabulary(), public_tokenizers.path("piece_bpe_32k.model")
 
 
 class Tokenizers:
-    """Both encoders, and the byte strings of their ids."""
+    """Both encoders, and the byte strings of their ids. A's specials are ordinary text."""
 
     def __init__(self, a_path: str, b_path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
-        from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_file(a_path)
-        self.a.encode_special_tokens = True
-        self.a.no_truncation()
-        self.a.no_padding()
+        self.a = bpe.codec(a_path)
+        self.a_bytes, self.a_sizes = self.a.bytes_of, self.a.sizes
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
-        of = _byte_of_character()
-        vocabulary = self.a.get_vocab(with_added_tokens=True)
-        self.a_bytes = [b""] * (max(vocabulary.values()) + 1)
-        for token, i in vocabulary.items():
-            self.a_bytes[i] = bytes(map(of.__getitem__, token)) if all(c in of for c in token) else token.encode()
         pieces = [(self.b.id_to_piece(i), self.b.is_byte(i)) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if is_byte else p.replace("▁", " ").encode() for p, is_byte in pieces]
-        self.a_sizes, self.b_sizes = np.array([len(x) for x in self.a_bytes]), np.array([len(x) for x in self.b_bytes])
+        self.b_sizes = np.array([len(x) for x in self.b_bytes])
         # A cut before a space holds for B if no piece goes on over one.
         self.can_cut = not any("▁" in p.lstrip("▁") for p, _ in pieces)
-        self.known: dict[str, tuple] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Start the remembered pieces anew: their slots, and their ids and whether their bytes hold, by slot."""
+        self.slots: dict[str, int] = {}
+        self.a_ids = self.b_ids = np.empty(0, np.int32)
+        self.a_ends = self.b_ends = np.zeros(1, np.int64)
+        self.same = np.empty(0, bool)
 
     def pieces(self, text: str) -> list[str]:
         """The text's pieces, each without the space before it; joined by spaces they are the text."""
@@ -81,21 +72,36 @@ class Tokenizers:
         first, *rest = _CUT.split(" " + text)
         return [first[1:], *rest]
 
-    def encode(self, pieces: list[str]) -> list[tuple[np.ndarray, np.ndarray, bool]]:
-        """(ids of A, ids of B, whether the bytes of both are a space and the piece) of every piece."""
-        new = [p for p in dict.fromkeys(pieces) if p not in self.known]
-        a = [x.ids for x in self.a.encode_batch([" " + p for p in new], add_special_tokens=False)]
-        b = self.b.encode(new, num_threads=1) if new else []
-        found = {}
-        for piece, ids_a, ids_b in zip(new, a, b, strict=True):
-            raw = b" " + piece.encode()
-            same = b"".join(map(self.a_bytes.__getitem__, ids_a)) == raw and b"".join(map(self.b_bytes.__getitem__, ids_b)) == raw
-            found[piece] = np.array(ids_a, np.int32), np.array(ids_b, np.int32), same
-        if len(self.known) > REMEMBERED_PIECES:
-            self.known = {p: self.known[p] for p in pieces if p in self.known}
-        out = [found.get(p) or self.known[p] for p in pieces]
-        self.known |= {p: x for p, x in found.items() if len(p) <= REMEMBERED_CHARS}
-        return out
+    def remember(self, pieces: list[str]) -> np.ndarray:
+        """Slots of the pieces; new ones are encoded. `same` tells whether the bytes of both tokenizers are a space and the piece."""
+        new = [p for p in dict.fromkeys(pieces) if p not in self.slots]
+        found = []
+        for at in range(0, len(new), ENCODED_TOGETHER):
+            some = new[at : at + ENCODED_TOGETHER]
+            raw = [b" " + p.encode() for p in some]
+            together = self.can_cut and not any(not p or p.strip() != p for p in some)
+            a = _ids(some, raw, lambda x: [self.a.ordinary(" " + p) for p in x], self.a_bytes, self.a_sizes, together)
+            found.append((*a, *_ids(some, raw, lambda x: self.b.encode(x, num_threads=1), self.b_bytes, self.b_sizes, together)))
+        if found:
+            a_ids, a_sizes, same_a, b_ids, b_sizes, same_b = map(np.concatenate, zip(*found, strict=True))
+            self.slots |= zip(new, range(len(self.slots), len(self.slots) + len(new)), strict=True)
+            self.a_ids, self.a_ends = np.concatenate([self.a_ids, a_ids]), np.concatenate([self.a_ends, self.a_ends[-1] + np.cumsum(a_sizes)])
+            self.b_ids, self.b_ends = np.concatenate([self.b_ids, b_ids]), np.concatenate([self.b_ends, self.b_ends[-1] + np.cumsum(b_sizes)])
+            self.same = np.concatenate([self.same, same_a & same_b])
+        return np.fromiter(map(self.slots.__getitem__, pieces), np.int64, len(pieces))
+
+
+def _ids(pieces: list[str], raw: list[bytes], encode, bytes_of: list[bytes], sizes: np.ndarray, together: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, tokens, same) of the pieces: `together` in one text, as a space starts a token, or one by one where that text's bytes differ."""
+    if together:
+        (ids,) = encode([" ".join(pieces)])
+        if b"".join(map(bytes_of.__getitem__, ids)) == b"".join(raw):
+            ids = np.array(ids, np.int32)
+            ends = np.searchsorted(np.cumsum(sizes[ids]), np.cumsum([len(x) for x in raw])) + 1
+            return ids, np.diff(ends, prepend=0), np.ones(len(raw), bool)
+    found = encode(pieces)
+    same = np.array([b"".join(map(bytes_of.__getitem__, x)) == y for x, y in zip(found, raw, strict=True)], bool)
+    return np.array([i for x in found for i in x], np.int32), np.array([len(x) for x in found]), same
 
 
 @lru_cache(maxsize=2)
@@ -124,50 +130,70 @@ def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
+def _lists(values: pa.Array, sizes: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), values)
+
+
 class Batch:
     """The aligned pieces of a batch of texts.
 
-    doc, piece, times: which piece each text holds, and how often; text n holds pieces of
-    `order[n]` in order. Texts without tokens hold none.
+    doc, piece, times: which piece each text holds, and how often; text n holds the pieces
+    `order[order_ends[n]:order_ends[n + 1]]`. Texts without tokens hold none.
     """
 
     def __init__(self, texts: list[str], own: Tokenizers):
+        if len(own.slots) > REMEMBERED_PIECES:
+            own.forget()
         split = [own.pieces(x) if x else [] for x in texts]
-        encoded = dict(zip((seen := [*dict.fromkeys(p for x in split for p in x)]), own.encode(seen), strict=True))
-        for n, x in enumerate(split):
-            if not all(encoded[p][2] for p in x):  # then the whole text decides
-                whole = own.encode([texts[n]])[0]
-                split[n] = [texts[n]] if whole[2] else []
-                encoded[texts[n]] = whole
-        place: dict[str, int] = {}
-        self.order = [np.array([place.setdefault(p, len(place)) for p in x], np.int64) for x in split]
-        found = [encoded[p] for p in place]
-        joined = lambda k: np.concatenate([x[k] for x in found]) if found else np.empty(0, np.int32)
-        self.a, self.b = joined(0), joined(1)
-        self.n_a, self.n_b = (np.array([len(x[k]) for x in found], np.int64) for k in (0, 1))
-        self.a_at, self.b_at = np.cumsum(self.n_a) - self.n_a, np.cumsum(self.n_b) - self.n_b
+        order = own.remember([p for x in split for p in x])
+        ends = np.concatenate([[0], np.cumsum([len(x) for x in split])]).astype(np.int64)
+        odd = np.unique(np.searchsorted(ends, np.flatnonzero(~own.same[order]), "right") - 1).tolist()
+        if odd:  # then the whole text decides
+            whole = dict(zip(odd, own.remember([texts[n] for n in odd]).tolist(), strict=True))
+            parts = [order[ends[n] : ends[n + 1]] if n not in whole else np.array([whole[n]] if own.same[whole[n]] else [], np.int64) for n in range(len(texts))]
+            order, ends = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int64)
+        used, self.order = np.unique(order, return_inverse=True)
+        self.order_ends, self.texts = ends, len(texts)
+        self.n_a, self.n_b = own.a_ends[used + 1] - own.a_ends[used], own.b_ends[used + 1] - own.b_ends[used]
+        self.a, self.b = own.a_ids[_ragged(own.a_ends[used], self.n_a)], own.b_ids[_ragged(own.b_ends[used], self.n_b)]
         self.first, self.last, self.closes = align(np.cumsum(own.a_sizes[self.a]), np.cumsum(own.b_sizes[self.b]))
-        # Every piece ends a group, so a running count of groups tells how many each piece has.
         self.group_of_b = np.cumsum(self.closes) - self.closes
-        self.group_of_a = self.group_of_b[self.first] if len(self.a) else self.first
-        self.n_groups = np.add.reduceat(self.closes, self.b_at).astype(np.int64) if len(found) else np.empty(0, np.int64)
+        self.group_of_a = self.group_of_b[self.first]
+        # Every piece ends a group, so its groups and links are those of its own tokens.
+        a_at, b_at = np.cumsum(self.n_a) - self.n_a, np.cumsum(self.n_b) - self.n_b
         overlaps = self.last - self.first + 1
-        self.n_links = np.add.reduceat(overlaps, self.a_at) if len(found) else np.empty(0, np.int64)
+        self.n_groups = np.add.reduceat(self.closes.astype(np.int64), b_at) if len(used) else b_at
+        self.n_links = np.add.reduceat(overlaps, a_at) if len(used) else a_at
         key = np.repeat(self.a.astype(np.int64), overlaps) << 32 | self.b[_ragged(self.first, overlaps)]
         self.pairs, self.link = np.unique(key, return_inverse=True)
-        rows = np.repeat(np.arange(len(texts)), [len(x) for x in self.order])
-        width = max(1, len(found))
-        held, self.times = np.unique(rows * width + (np.concatenate(self.order) if len(self.order) else rows), return_counts=True)
+        width = max(1, len(used))
+        held, self.times = np.unique(np.repeat(np.arange(len(texts)), np.diff(ends)) * width + self.order, return_counts=True)
         self.doc, self.piece = held // width, held % width
-        self.texts = len(texts)
 
-    def groups(self) -> list[list[tuple[list[int], list[int]]]]:
-        """The groups (A ids, B ids) of every piece."""
-        a_cut, b_cut = np.flatnonzero(np.diff(self.group_of_a)) + 1, np.flatnonzero(np.diff(self.group_of_b)) + 1
-        both = [*zip(np.split(self.a, a_cut), np.split(self.b, b_cut), strict=True)] if len(self.a) else []
-        flat = [(a.tolist(), b.tolist()) for a, b in both]
-        ends = np.cumsum(self.n_groups).tolist()
-        return [flat[e - n : e] for e, n in zip(ends, self.n_groups.tolist(), strict=True)]
+    def groups(self) -> list[list[dict]]:
+        """The groups, as {"a": ids of A, "b": ids of B}, of every text."""
+        a_ends, b_ends = (np.concatenate([[0], np.cumsum(np.bincount(x))]).astype(np.int64).tolist() for x in (self.group_of_a, self.group_of_b))
+        a, b = self.a.tolist(), self.b.tolist()
+        flat = [{"a": a[p:q], "b": b[r:s]} for p, q, r, s in zip(a_ends, a_ends[1:], b_ends, b_ends[1:], strict=False)]
+        ends = np.concatenate([[0], np.cumsum(self.n_groups)]).tolist()
+        of_text = [self.order[x:y].tolist() for x, y in zip(self.order_ends, self.order_ends[1:], strict=False)]
+        return [[g for p in x for g in flat[ends[p] : ends[p + 1]]] for x in of_text]
+
+    def names(self) -> pa.Array:
+        """`a1,a2|b1;a3|b2,b3` of every text: the decimal ids of its groups; empty without tokens."""
+        n_a, n_b = np.bincount(self.group_of_a), np.bincount(self.group_of_b)
+        a_at = np.arange(len(self.a)) + (np.cumsum(n_b) - n_b)[self.group_of_a]
+        b_at = np.arange(len(self.b)) + np.cumsum(n_a)[self.group_of_b]
+        ids, mark = np.empty(len(a_at) + len(b_at), np.int32), np.zeros(len(a_at) + len(b_at), np.int8)
+        ids[a_at], ids[b_at] = self.a, self.b
+        ends = np.cumsum(n_a + n_b)
+        mark[ends - n_b - 1], mark[ends - 1] = 1, 2
+        last = np.cumsum(self.n_a + self.n_b) - 1  # the last id of a piece: texts put the ; between pieces
+        mark[last] = 3
+        marks = pa.DictionaryArray.from_arrays(pa.array(mark), [",", "|", ";", ""]).cast(pa.string())
+        flat = pc.binary_join_element_wise(pa.array(ids).cast(pa.string()), marks, "")
+        of_piece = pc.binary_join(_lists(flat, self.n_a + self.n_b), "")
+        return pc.binary_join(_lists(of_piece.take(pa.array(self.order)), np.diff(self.order_ends)), ";")
 
     def total(self, of_piece: np.ndarray) -> np.ndarray:
         """Sums of a figure of pieces over every text."""
@@ -184,11 +210,7 @@ class Batch:
 
 
 def _texts(batch: pa.RecordBatch) -> list[str]:
-    return [clean(x).decode() for x in batch.column("text").cast(pa.binary()).to_pylist()]
-
-
-def _lists(values: np.ndarray, sizes, kind: pa.DataType) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(values, kind))
+    return [bpe.clean(x).decode() for x in batch.column("text").cast(pa.binary()).to_pylist()]
 
 
 def aligned_groups(docs: DataFrame, vocabularies: tuple[str, str] | None = None) -> DataFrame:
@@ -204,11 +226,8 @@ def aligned_groups(docs: DataFrame, vocabularies: tuple[str, str] | None = None)
 
     def kernel(batches):
         own = tokenizers(*paths)
-        for batch in batches:
-            found = Batch(_texts(batch), own)
-            of_piece = [[{"a": a, "b": b} for a, b in x] for x in found.groups()]
-            groups = [[g for p in x.tolist() for g in of_piece[p]] for x in found.order]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(groups, kind)], ["doc_id", "groups"])
+        for batch in text_slices(batches):
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(Batch(_texts(batch), own).groups(), kind)], ["doc_id", "groups"])
 
     return docs.select("doc_id", "text").mapInArrow(kernel, "doc_id long, groups array<struct<a:array<int>,b:array<int>>>")
 
@@ -222,16 +241,15 @@ def _blocks(docs: DataFrame, paths: tuple[str, str]) -> DataFrame:
 
     def kernel(batches):
         own, part = tokenizers(*paths), TaskContext.get().partitionId()
-        for number, batch in enumerate(batches):
+        for number, batch in enumerate(text_slices(batches)):
             found = Batch(_texts(batch), own)
-            names = [";".join(f"{','.join(map(str, a))}|{','.join(map(str, b))}" for a, b in x) for x in found.groups()]
-            digests = [hashlib.sha256(";".join([names[p] for p in x.tolist()]).encode()).hexdigest() if len(x) else "" for x in found.order]
-            long = lambda x: pa.array([x], pa.list_(pa.int64()))
-            int_ = lambda x: _lists(x, [len(x)], pa.int32())
+            digests = [hashlib.sha256(x).hexdigest() if x else "" for x in found.names().cast(pa.binary()).to_pylist()]
+            long = lambda x: _lists(x if isinstance(x, pa.Array) else pa.array(x, pa.int64()), np.array([len(x)]))
+            int_ = lambda x: _lists(pa.array(x, pa.int32()), np.array([len(x)]))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([part << 33 | number], pa.int64()), long(batch.column("doc_id").to_pylist()),
-                    *(long(found.total(x)) for x in (found.n_a, found.n_b, found.n_groups, found.n_links)), pa.array([digests], pa.list_(pa.string())),
+                    pa.array([part << 33 | number], pa.int64()), long(batch.column("doc_id")),
+                    *(long(found.total(x)) for x in (found.n_a, found.n_b, found.n_groups, found.n_links)), _lists(pa.array(digests, pa.string()), np.array([len(digests)])),
                     *map(int_, (found.doc, found.piece, found.times, found.link, found.n_links, found.pairs >> 32, found.pairs & 0xFFFFFFFF, found.texts_of_pairs())),
                 ],
                 [c.split()[0] for c in _BLOCK.split(",")],

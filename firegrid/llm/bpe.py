@@ -56,6 +56,10 @@ class Codec:
     def encode(self, raw: bytes) -> np.ndarray:
         return self._encoding.encode_to_numpy(raw.decode("utf-8"), allowed_special="all") if raw else np.empty(0, np.uint32)
 
+    def ordinary(self, text: str) -> list[int]:
+        """Ids of the text, in which specials' strings are ordinary text."""
+        return self._encoding.encode_ordinary(text)
+
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
 

@@ -10,6 +10,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,6 +83,15 @@ def bound_arrow_batches(spark: SparkSession) -> None:
         spark.conf.set(key, ARROW_BATCH_BYTES)
 
 
+def text_slices(batches, size: int = 2 << 20):
+    """The Arrow batches cut into slices of about `size` bytes of the column `text`; a longer text is a slice's last."""
+    for batch in batches:
+        through = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(), dtype=np.int64)
+        cut = np.flatnonzero(np.diff(through // size)) + 1
+        for a, b in zip([0, *cut.tolist()], [*cut.tolist(), batch.num_rows], strict=True):
+            yield batch.slice(a, b - a)
+
+
 def small(df: DataFrame, rows: int) -> DataFrame:
     """Broadcast a side whose counted rows are few, else leave the choice to Spark."""
     return F.broadcast(df) if rows <= MAX_BROADCAST_ROWS else df
