@@ -81,6 +81,31 @@ def polygon_covers(rings: Column, lon: Column, lat: Column) -> Column:
     return covers(F.get(rings, F.lit(0)), lon, lat) & ~F.exists(F.slice(rings, 2, F.size(rings)), strictly)
 
 
+def unit_vector(lon: Column, lat: Column) -> tuple[Column, Column, Column]:
+    """A point's place on the unit sphere, by its geodetic coordinates."""
+    across = F.cos(F.radians(lat))
+    return across * F.cos(F.radians(lon)), across * F.sin(F.radians(lon)), F.sin(F.radians(lat))
+
+
+def unit_vectors(lon, lat) -> np.ndarray:
+    """n x 3 places on the unit sphere."""
+    lon, lat = np.radians(np.asarray(lon, float)), np.radians(np.asarray(lat, float))
+    return np.column_stack([np.cos(lat) * np.cos(lon), np.cos(lat) * np.sin(lon), np.sin(lat)])
+
+
+#: Smallest radius of curvature of the ellipsoid: a way of d metres turns by no more than d over it.
+LEAST_CURVATURE_M = 6_335_439.0
+
+
+def chord(metres: Column) -> Column:
+    """Straight distance on the unit sphere that no two points within `metres` of each other exceed."""
+    return 2 * F.sin(F.least(metres / (2 * LEAST_CURVATURE_M), F.lit(math.pi / 2))) * (1 + 1e-9) + 1e-12
+
+
+def chord_of(metres: float) -> float:
+    return 2 * math.sin(min(metres / (2 * LEAST_CURVATURE_M), math.pi / 2)) * (1 + 1e-9) + 1e-12
+
+
 # WGS84
 _A, _F = 6378137.0, 1 / 298.257223563
 _B = _A * (1 - _F)

@@ -21,13 +21,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from firegrid.llm.bpe import clean
-from firegrid.llm.common import bound_arrow_batches, shared_folder, small
+from firegrid.llm.common import bound_arrow_batches, shared_folder, small, text_slices
 
 END_ID = 2
 #: Tokens of a shard at most, unless one document is longer; text bytes of a part, and parts at most.
 SHARD_TOKENS, PART_BYTES, MAX_PARTS = 1 << 21, 32 << 20, 100_000
 #: A worker forgets its words before the batch that finds more of them than this; words that are encoded in one text.
-REMEMBERED_WORDS, ENCODED_TOGETHER = 250_000, 1024
+REMEMBERED_WORDS, ENCODED_TOGETHER = 150_000, 1024
 _NULL_ID = -(1 << 63)
 _BLANKS = str.maketrans("\t\n\r\x0b\x0c", "     ")
 
@@ -56,18 +56,15 @@ class Encoder:
         self.slots: dict[str, int] = {}
         self.ids, self.ends = np.empty(0, np.uint32), np.zeros(1, np.int64)
 
-    def _add(self, words: list[str]) -> None:
+    def _ids(self, words: list[str]) -> tuple[np.ndarray, list[int]]:
+        """The words' ids, one after the other, and how many each has."""
         # A special token between the words parts them and shows where each ends; words that hold one go singly.
         mark, code = next(iter(self.specials.items()), (None, None))
         if mark is None or any(s in w for w in words for s in self.specials):
             found = [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
-            ids, sizes = np.array([i for x in found for i in x], np.uint32), [len(x) for x in found]
-        else:
-            marked = np.array(self.tokenizer.encode(mark.join(words) + mark, add_special_tokens=False).ids, np.uint32)
-            at = np.flatnonzero(marked == code)
-            ids, sizes = marked[marked != code], np.diff(at, prepend=-1) - 1
-        self.slots |= zip(words, range(len(self.slots), len(self.slots) + len(words)), strict=True)
-        self.ids, self.ends = np.concatenate([self.ids, ids]), np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+            return np.array([i for x in found for i in x], np.uint32), [len(x) for x in found]
+        marked = np.array(self.tokenizer.encode(mark.join(words) + mark, add_special_tokens=False).ids, np.uint32)
+        return marked[marked != code], np.diff(np.flatnonzero(marked == code), prepend=-1) - 1
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, ends): the ids of all texts one after the other, and where each text's end."""
@@ -76,8 +73,10 @@ class Encoder:
         split = [[w for w in x.translate(_BLANKS).split(" ") if w] for x in texts]
         words = [w for x in split for w in x]
         new = [w for w in dict.fromkeys(words) if w not in self.slots]
-        for at in range(0, len(new), ENCODED_TOGETHER):
-            self._add(new[at : at + ENCODED_TOGETHER])
+        if new:
+            ids, sizes = zip(*(self._ids(new[at : at + ENCODED_TOGETHER]) for at in range(0, len(new), ENCODED_TOGETHER)), strict=True)
+            self.slots |= zip(new, range(len(self.slots), len(self.slots) + len(new)), strict=True)
+            self.ids, self.ends = np.concatenate([self.ids, *ids]), np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.concatenate(sizes))])
         slots = np.fromiter(map(self.slots.__getitem__, words), np.int64, len(words))
         sizes = self.ends[slots + 1] - self.ends[slots]
         through = np.concatenate([[0], np.cumsum(sizes)])
@@ -200,7 +199,7 @@ def _encoded(docs: DataFrame, path: str, end_id: int) -> tuple[DataFrame, int]:
 
     def kernel(batches):
         own = encoder(path)
-        for batch in batches:
+        for batch in text_slices(batches):
             ids, ends = own.encode([clean(x).decode() for x in batch.column("text").cast(pa.binary()).to_pylist()])
             tokens = [np.append(x, end_id).astype("<u4").tobytes() if own.bits > 16 else np.append(x, end_id).astype("<u2").tobytes() for x in np.split(ids, ends[:-1])]
             order = np.array([zlib.crc32(x) for x in tokens], np.int64)

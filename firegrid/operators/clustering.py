@@ -4,8 +4,12 @@ The rule is sequential: in order of (acquired_at, provider_key) a detection join
 with the best score, or founds one. Only scores of min_score or more decide, so an event can
 only win a detection closer than `reach_m` to one of its members and no more than `reach_h`
 after its last one. Space-time components that are closed under both bounds are therefore
-independent; each is one group of the sequential kernel, and the result is the same as
-over the whole table.
+independent, and the result is the same as over the whole table.
+
+Components are dealt over tasks and read in order of time, so a task holds a batch of rows
+and the events that are still open, never a component. Components of over LARGE_ROWS rows
+are replayed in slices of time, round by round: a slice falls into components of its own,
+and only the open events near it go with it (operators/event_state.py).
 """
 
 from __future__ import annotations
@@ -15,18 +19,23 @@ from collections import defaultdict
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from firegrid.functions.geo import convex_hull, diameter, geodesic_m
+from firegrid.functions.geo import chord_of, convex_hull, diameter, geodesic_m, unit_vector, unit_vectors
 from firegrid.functions.rules import REFERENCE, ClusteringParams, confidence_level, confidence_score, half_up
 from firegrid.operators.graph import components_of, shared_checkpoint
-from firegrid.operators.spatial import cell_steps
 
 SLACK_M, SLACK_H = 1.0, 0.001
-#: Groups up to this size are not cut further: one task handles them in seconds.
+#: Inputs and groups up to this size are not cut further: one task handles them in seconds.
 GROUP_ROWS = 50_000
+#: Components beyond this are replayed in slices of about so many rows.
+LARGE_ROWS = 2_000_000
+#: Half of a cube's 26 neighbours; the others are seen from the other side.
+_HALF = [(x, y, z) for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1) if (x, y, z) > (0, 0, 0)]
+_ALL = [(x, y, z) for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1)]
 
 
 def reach(params: ClusteringParams) -> tuple[float, float]:
@@ -43,21 +52,21 @@ def reach(params: ClusteringParams) -> tuple[float, float]:
 def closed_components(detections: DataFrame, reach_m: float, reach_h: float, rounds: int = 2) -> DataFrame:
     """detections with `component`: groups that no attachment can cross.
 
-    Cells of the size of the reach are joined with their neighbours; each component is then
-    cut where it is silent for longer than the reach, and the pieces are joined again by
-    cells of their own. Any number of rounds is exact; more make smaller groups, and they
-    end once all groups are small.
+    Cubes of the size of the reach on the unit sphere are joined with their neighbours; each
+    component is then cut where it is silent for longer than the reach, and the pieces are
+    joined again by cubes of their own. Any number of rounds is exact; more make smaller
+    groups, and they end once all groups are small. A small input is one group.
     """
-    top = detections.agg(F.max(F.abs("latitude"))).first()[0] or 0.0
-    sx, sy = cell_steps(reach_m, top)
-    out = detections.withColumn("_x", F.floor(F.col("longitude") / sx)).withColumn("_y", F.floor(F.col("latitude") / sy)).withColumn("component", F.lit(""))
+    if detections.limit(GROUP_ROWS + 1).count() <= GROUP_ROWS:
+        return detections.withColumn("component", F.lit(""))
+    size = chord_of(reach_m)
+    place = unit_vector(F.col("longitude"), F.col("latitude"))
+    out = detections.withColumns({c: F.floor(v / size) for c, v in zip(("_x", "_y", "_z"), place, strict=True)}).withColumn("component", F.lit(""))
     for _ in range(rounds):
-        cell = F.struct("component", "_x", "_y")
+        cell = F.struct("component", "_x", "_y", "_z")
         own = shared_checkpoint(out.select(cell.alias("node")).distinct())
-        near = own.select(
-            F.col("node").alias("u"),
-            F.explode(F.array(*(F.struct(F.col("node.component").alias("component"), (F.col("node._x") + dx).alias("_x"), (F.col("node._y") + dy).alias("_y")) for dx, dy in ((0, 1), (1, -1), (1, 0), (1, 1))))).alias("v"),
-        )
+        beside = lambda d: F.struct(F.col("node.component").alias("component"), *((F.col(f"node.{c}") + k).alias(c) for c, k in zip(("_x", "_y", "_z"), d, strict=True)))
+        near = own.select(F.col("node").alias("u"), F.explode(F.array(*map(beside, _HALF))).alias("v"))
         links = near.join(own.select(F.col("node").alias("v")), "v").select("u", "v")
         named = components_of(links)
         zone = own.join(named, "node", "left").select("node", F.coalesce("component", "node").alias("zone"))
@@ -70,118 +79,181 @@ def closed_components(detections: DataFrame, reach_m: float, reach_h: float, rou
         order = Window.partitionBy("zone").orderBy("_bucket")
         cut = spans.withColumn("_new", F.when(F.col("low") - F.lag("high").over(order) > reach_h * 3.6e9, 1).otherwise(0))
         pieces = cut.select("zone", "_bucket", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("_piece"))
-        name = F.sha2(F.concat_ws("|", "zone.component", "zone._x", "zone._y", "_piece"), 256)
+        name = F.sha2(F.concat_ws("|", "zone.component", "zone._x", "zone._y", "zone._z", "_piece"), 256)
         out = zoned.join(pieces, ["zone", "_bucket"]).withColumn("component", name).drop("zone", "_bucket", "_piece")
         out = shared_checkpoint(out)
         if out.groupBy("component").count().filter(F.col("count") > GROUP_ROWS).isEmpty():
             break
-    return out.drop("_x", "_y")
+    return out.drop("_x", "_y", "_z")
 
 
 def founder_id(provider_key: str) -> str:
     return hashlib.sha256(f"event|{provider_key}".encode()).hexdigest()
 
 
-def attach(lon, lat, micros, keys, owner_ids, params: ClusteringParams) -> tuple[list[str], list[float]]:
-    """The sequential rule over arrays sorted by (instant, key).
+class Replay:
+    """The sequential rule over one stream of detections in order, holding the open events only.
 
-    owner_ids holds the event of members that are attached already, else None. Returns
-    the event and the score of every row; members keep theirs with a score of NaN. Members
-    are looked up in a hash grid of the reach's size.
+    Places of members are kept once an event, in cubes of the reach's size on the unit sphere.
+    Events that have been silent for longer than the reach can win nothing more; they are
+    forgotten once they hold half of the places.
     """
-    reach_m, reach_h = reach(params)
-    sx, sy = cell_steps(reach_m, float(np.abs(lat).max()) if len(lat) else 0.0)
-    xs, ys = np.floor(lon / sx).astype(int), np.floor(lat / sy).astype(int)
-    grid: dict[tuple[int, int], list[int]] = defaultdict(list)
-    slot_of: dict[str, int] = {}
-    ids: list[str] = []
-    last: list[int] = []
-    owner = np.full(len(lon), -1)
-    for i, known in enumerate(owner_ids):
-        if known is not None:
-            slot = slot_of.setdefault(known, len(ids))
-            if slot == len(ids):
-                ids.append(known)
-                last.append(int(micros[i]))
-            last[slot] = max(last[slot], int(micros[i]))
-            owner[i] = slot
-            grid[xs[i], ys[i]].append(i)
-    events, scores = [], []
-    window_h = params.attach_window_hours
-    for i in range(len(lon)):
-        if owner_ids[i] is not None:
-            events.append(owner_ids[i])
-            scores.append(float("nan"))
-            continue
-        now = int(micros[i])
-        near = [j for dx in (-1, 0, 1) for dy in (-1, 0, 1) for j in grid.get((xs[i] + dx, ys[i] + dy), ()) if last[owner[j]] <= now and now - last[owner[j]] <= reach_h * 3.6e9]
-        best, best_score = -1, 0.0
+
+    def __init__(self, params: ClusteringParams):
+        self.params, (self.reach_m, reach_h) = params, reach(params)
+        self.silence, self.size = int(reach_h * 3.6e9), chord_of(self.reach_m)
+        self.ids: dict[int, str] = {}
+        self.last: dict[int, int] = {}
+        self.birth: dict[int, tuple] = {}  # instant and key of the founder: events are ordered by it where distances tie
+        self.slot_of: dict[str, int] = {}
+        self.cubes: dict[tuple, dict] = defaultdict(dict)  # (longitude, latitude, event's slot) of the places in each
+        self.places = self.next = self.checked = 0
+
+    def _cube(self, lon: float, lat: float) -> tuple:
+        return tuple((unit_vectors([lon], [lat])[0] // self.size).astype(int).tolist())
+
+    def know(self, event_id: str, lon: float, lat: float, micros: int, birth: tuple) -> None:
+        """Add a member of an event; of the births that are given for an event the first counts."""
+        slot = self.slot_of.get(event_id)
+        if slot is None:
+            slot = self.slot_of[event_id] = self.next
+            self.next += 1
+            self.ids[slot], self.last[slot], self.birth[slot] = event_id, micros, birth
+        self.last[slot], self.birth[slot] = max(self.last[slot], micros), min(self.birth[slot], birth)
+        cube = self.cubes[self._cube(lon, lat)]
+        self.places += (lon, lat, slot) not in cube
+        cube[lon, lat, slot] = None
+
+    def attach(self, lon: float, lat: float, micros: int, key: str) -> tuple[str, float]:
+        """(event, score) of the next detection, which may found the event."""
+        x, y, z = self._cube(lon, lat)
+        cubes = (self.cubes.get((x + i, y + j, z + k)) for i, j, k in _ALL)
+        near = [p for c in cubes if c for p in c if 0 <= micros - self.last[p[2]] <= self.silence]
+        best, score, params = None, 0.0, self.params
         if near:
-            distances = geodesic_m(np.full(len(near), lon[i]), np.full(len(near), lat[i]), lon[near], lat[near])
+            distances = geodesic_m(np.full(len(near), lon), np.full(len(near), lat), [p[0] for p in near], [p[1] for p in near])
             closest: dict[int, float] = {}
-            for j, d in zip(near, distances.tolist(), strict=True):
-                slot = owner[j]
+            for (_, _, slot), d in zip(near, distances.tolist(), strict=True):
                 if d < closest.get(slot, np.inf):
                     closest[slot] = d
-            for d, slot in sorted((d, s) for s, d in closest.items()):
-                hours = (now - last[slot]) / 3.6e9
+            for d, _, slot in sorted((d, self.birth[s], s) for s, d in closest.items()):
+                hours = (micros - self.last[slot]) / 3.6e9
                 radius = min(params.base_radius_m + params.growth_m_per_hour * hours, params.max_radius_m)
-                score = round((1 - d / radius) * (1 - hours / window_h), 6) if d <= radius and hours <= window_h else 0.0
-                if score > best_score:
-                    best, best_score = slot, score
-        if best < 0 or best_score < params.min_score:
-            best, best_score = len(ids), 1.0
-            ids.append(founder_id(keys[i]))
-            last.append(now)
-        last[best] = max(last[best], now)
-        owner[i] = best
-        grid[xs[i], ys[i]].append(i)
-        events.append(ids[best])
-        scores.append(best_score)
-    return events, scores
+                found = round((1 - d / radius) * (1 - hours / params.attach_window_hours), 6) if d <= radius and hours <= params.attach_window_hours else 0.0
+                if found > score:
+                    best, score = slot, found
+        if best is None or score < params.min_score:
+            event, score = founder_id(key), 1.0
+        else:
+            event = self.ids[best]
+        self.know(event, lon, lat, micros, (micros, key))
+        if self.places > 2 * self.checked + 10_000:
+            self.forget(micros)
+        return event, score
+
+    def forget(self, micros: int) -> None:
+        """Drop the events that nothing at `micros` or later can join."""
+        closed = {s for s, at in self.last.items() if micros - at > self.silence}
+        self.cubes = defaultdict(dict, {c: left for c, x in self.cubes.items() if (left := {p: None for p in x if p[2] not in closed})})
+        for s in closed:
+            del self.slot_of[self.ids.pop(s)], self.last[s], self.birth[s]
+        self.places = self.checked = sum(map(len, self.cubes.values()))
+
+
+def attach(lon, lat, micros, keys, owner_ids, params: ClusteringParams) -> tuple[list[str], list[float]]:
+    """The rule over arrays sorted by (instant, key): the event and score of every row.
+
+    owner_ids holds the event of members that are attached already, else None; members keep
+    theirs with a score of NaN.
+    """
+    replay = Replay(params)
+    rows = [*zip(np.asarray(lon).tolist(), np.asarray(lat).tolist(), np.asarray(micros).tolist(), keys, owner_ids, strict=True)]
+    for x, y, at, key, known in rows:
+        if known is not None:
+            replay.know(known, x, y, at, (at, key))
+    found = [(known, float("nan")) if known is not None else replay.attach(x, y, at, key) for x, y, at, key, known in rows]
+    return [e for e, _ in found], [s for _, s in found]
 
 
 _MEMBERS = "id string, provider_key string, acquired_at timestamp, longitude double, latitude double, event_id string, score double, is_new boolean, version string"
 
 
 def _kernel(by_version: dict[str, ClusteringParams]):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["acquired_at", "provider_key"], kind="stable", ignore_index=True)
-        params = by_version[pdf["version"].iloc[0]]
-        micros = pdf["acquired_at"].astype("datetime64[us]").astype("int64").to_numpy()
-        known = [x if isinstance(x, str) else None for x in pdf["event_id"]]
-        events, scores = attach(pdf["longitude"].to_numpy(), pdf["latitude"].to_numpy(), micros, pdf["provider_key"].tolist(), known, params)
-        out = pdf[["id", "provider_key", "acquired_at", "longitude", "latitude"]].copy()
-        out["event_id"], out["score"], out["is_new"], out["version"] = events, scores, [k is None for k in known], params.version
-        return out
+    """Rows come by group: first its members, then the pending rows in order."""
+
+    def run(batches):
+        group, replay = None, None
+        for batch in batches:
+            names = ("version", "component", "provider_key", "micros", "longitude", "latitude", "event_id", "born", "founder")
+            events, scores = [], []
+            for version, component, key, micros, lon, lat, known, born, founder in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                if group != (version, component):
+                    group, replay = (version, component), Replay(by_version[version])
+                if known is not None:
+                    replay.know(known, lon, lat, micros, (born, founder))
+                    events.append(known)
+                    scores.append(float("nan"))
+                else:
+                    event, score = replay.attach(lon, lat, micros, key)
+                    events.append(event)
+                    scores.append(score)
+            new = [x is None for x in batch.column("event_id").to_pylist()]
+            plain = [batch.column(c) for c in ("id", "provider_key", "acquired_at", "longitude", "latitude")]
+            yield pa.RecordBatch.from_arrays([*plain, pa.array(events, pa.string()), pa.array(scores, pa.float64()), pa.array(new, pa.bool_()), batch.column("version")], [c.split()[0] for c in _MEMBERS.split(", ")])
 
     return run
 
 
+def attach_closed(closed: DataFrame, sets: list[ClusteringParams]) -> DataFrame:
+    """The rule under every parameter set over rows with `component` (event_id is null for pending rows), read as a stream by component."""
+    by_version = {p.version: p for p in sets}
+    if len(by_version) < len(sets):
+        raise ValueError("parameter set versions repeat")
+    rows = closed.withColumn("version", F.explode(F.array(*(F.lit(p.version) for p in sets)))).withColumn("micros", F.unix_micros("acquired_at"))
+    rows = rows.withColumn("born", F.unix_micros("founded"))
+    order = ["version", "component", F.col("event_id").isNull(), "acquired_at", "provider_key", "id"]
+    return rows.repartition("version", "component").sortWithinPartitions(*order).mapInArrow(_kernel(by_version), _MEMBERS)
+
+
+def rows_of(pending: DataFrame, members: DataFrame | None = None) -> DataFrame:
+    """Pending rows and members with the columns of the rule; event_id is null for pending rows.
+
+    founded and founder, the instant and key of an event's first member, are a member's own where `members` has no such columns.
+    """
+    columns = ["id", "provider_key", F.col("acquired_at").cast("timestamp").alias("acquired_at"), "longitude", "latitude"]
+    own = [F.col("acquired_at").cast("timestamp").alias("founded"), F.col("provider_key").alias("founder")]
+    rows = pending.select(*columns, F.lit(None).cast("string").alias("event_id"), *own)
+    if members is None:
+        return rows
+    return rows.unionByName(members.select(*columns, "event_id", *(["founded", "founder"] if "founder" in members.columns else own)))
+
+
 def cluster(pending: DataFrame, members: DataFrame | None = None, params: ClusteringParams = REFERENCE) -> DataFrame:
     """Attach `pending` (id, provider_key, acquired_at, longitude, latitude) to the events of `members`.
 
     members has the same columns and event_id; only those within the reach in time of the
     pending rows need be given. Returns the members and the attached rows (is_new) with
     event_id and score. The result does not depend on partitioning; replaying chunks in
-    order gives the events of one pass.
+    order gives the events of one pass. Rows with a null coordinate or instant are no detections and are an error.
     """
     return sweep(pending, [params], members)
 
 
 def sweep(pending: DataFrame, sets: list[ClusteringParams], members: DataFrame | None = None) -> DataFrame:
     """cluster() under many parameter sets in one job; `version` tells them apart."""
-    columns = ["id", "provider_key", F.col("acquired_at").cast("timestamp").alias("acquired_at"), "longitude", "latitude"]
-    rows = pending.select(*columns, F.lit(None).cast("string").alias("event_id"))
-    if members is not None:
-        rows = rows.unionByName(members.select(*columns, "event_id"))
+    from firegrid.operators.event_state import replay_slices
+
     bounds = [reach(p) for p in sets]
-    closed = closed_components(rows, max(b[0] for b in bounds), max(b[1] for b in bounds))
-    versions = F.explode(F.array(*(F.lit(p.version) for p in sets)))
-    by_version = {p.version: p for p in sets}
-    if len(by_version) < len(sets):
-        raise ValueError("parameter set versions repeat")
-    return closed.withColumn("version", versions).groupBy("version", "component").applyInPandas(_kernel(by_version), _MEMBERS)
+    closed = closed_components(rows_of(pending, members), max(b[0] for b in bounds), max(b[1] for b in bounds))
+    large = closed.groupBy("component").count().filter(F.col("count") > LARGE_ROWS).select("component")
+    if closed.columns and closed.limit(LARGE_ROWS + 1).count() <= LARGE_ROWS or large.isEmpty():
+        return attach_closed(closed, sets)
+    large = shared_checkpoint(large)
+    sliced = [replay_slices(closed.join(large, "component", "left_semi"), p, LARGE_ROWS) for p in sets]
+    out = attach_closed(closed.join(large, "component", "left_anti"), sets)
+    for part in sliced:
+        out = out.unionByName(part)
+    return out
 
 
 def event_aggregates(members: DataFrame, key: str = "event_key", known: str = "known_count_flag") -> DataFrame:

@@ -10,12 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from firegrid.functions.geo import SHORTEST_DEGREE, geodesic_m, polygon_covers
+from firegrid.functions.geo import chord, chord_of, geodesic_m, polygon_covers, unit_vector
 from firegrid.operators.graph import shared_checkpoint
 
-MARGIN = 1.02
-
-
 def geodesic_distance_m(lon1: str, lat1: str, lon2: str, lat2: str) -> Column:
     """WGS84 geodesic of four columns, in Arrow batches; rows with a null stay null."""
 
@@ -25,36 +22,46 @@ def geodesic_distance_m(lon1: str, lat1: str, lon2: str, lat2: str) -> Column:
     return F.pandas_udf(distance, DoubleType())(lon1, lat1, lon2, lat2)
 
 
-def cell_steps(radius_m: float, max_lat: float) -> tuple[float, float]:
-    """Cell sizes in degrees that are no shorter than the radius up to `max_lat`."""
-    dy = radius_m * MARGIN / SHORTEST_DEGREE
-    return dy / max(0.05, math.cos(math.radians(min(89.0, abs(max_lat))))), dy
-
-
 def _neighbours(x: Column, y: Column) -> Column:
     return F.explode(F.array(*(F.struct((x + dx).alias("x"), (y + dy).alias("y")) for dx in (-1, 0, 1) for dy in (-1, 0, 1))))
 
 
-def within_distance(left: DataFrame, right: DataFrame, radius: Column, max_radius_m: float, max_lat: float = 72.0) -> DataFrame:
-    """Pairs of rows closer than `radius` (a column of `right`), with `distance_m`.
+#: Radii up to this one share the finest cells; every doubling beyond it has cells of its own.
+FINEST_M = 500.0
+
+
+def within_distance(left: DataFrame, right: DataFrame, radius: Column) -> DataFrame:
+    """Pairs of rows no further apart than `radius` metres (a column of `right`), with `distance_m`, anywhere on the globe.
 
-    left has longitude and latitude, right has lon2 and lat2. The right side is copied to
-    its nine cells and joined by cell; the geodesic decides. Neither side is broadcast
-    unless Spark finds it small.
+    left has longitude and latitude, right has lon2 and lat2. Points are placed on the unit
+    sphere, in cubes twice as wide as the chord of the radius, so a right row's ball touches at
+    most eight cubes and neither the poles nor the 180th meridian are special. Radii are
+    rounded up to levels, at most 16 powers of two, and a left row is looked up once a level
+    in use. The straight distance excludes most pairs and the geodesic decides. Rows with a null
+    coordinate or radius have no pairs. Neither side is broadcast unless Spark finds it small.
     """
-    sx, sy = cell_steps(max_radius_m, max_lat)
-    placed = left.withColumn("_x", F.floor(F.col("longitude") / sx)).withColumn("_y", F.floor(F.col("latitude") / sy))
-    spread = right.withColumn("_c", _neighbours(F.floor(F.col("lon2") / sx), F.floor(F.col("lat2") / sy))).withColumn("_x", F.col("_c.x")).withColumn("_y", F.col("_c.y")).drop("_c")
-    near = placed.join(spread, ["_x", "_y"])
-    # Cheap bounds first: a degree of latitude is never shorter than SHORTEST_DEGREE.
-    near = near.filter(F.abs(F.col("latitude") - F.col("lat2")) * SHORTEST_DEGREE <= radius * MARGIN)
-    return near.withColumn("distance_m", geodesic_distance_m("longitude", "latitude", "lon2", "lat2")).filter(F.col("distance_m") <= radius).drop("_x", "_y")
+    vectors = lambda df, lon, lat: reduce(lambda d, c: d.withColumn(c[0], c[1]), zip(("_x", "_y", "_z"), unit_vector(F.col(lon), F.col(lat)), strict=True), df)
+    level = F.least(F.lit(16), F.greatest(F.lit(0), F.ceil(F.log2(radius / FINEST_M)))).cast("int")
+    side = vectors(right.withColumn("_reach", chord(radius)).withColumn("_level", level), "lon2", "lat2").filter("_reach is not null and _x is not null and _z is not null")
+    levels = sorted(r["_level"] for r in side.select("_level").distinct().collect())  # no more than 17
+    width = lambda n: 2 * chord_of(FINEST_M * 2.0**n)
+    size = F.lit(2.0) if not levels else reduce(lambda e, n: e.when(F.col("_level") == n, F.lit(width(n))), levels, F)
+    touched = lambda c: F.sequence(F.floor((F.col(c) - F.col("_reach")) / size), F.floor((F.col(c) + F.col("_reach")) / size))
+    spread = reduce(lambda d, c: d.withColumn(f"_cell{c}", F.explode(touched(c))), ("_x", "_y", "_z"), side)
+    spread = spread.select(*right.columns, "_level", "_reach", *(F.col(c).alias(f"{c}2") for c in ("_x", "_y", "_z")), "_cell_x", "_cell_y", "_cell_z")
+    own = vectors(left, "longitude", "latitude").withColumn("_level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>")))
+    placed = reduce(lambda d, c: d.withColumn(f"_cell{c}", F.floor(F.col(c) / size)), ("_x", "_y", "_z"), own)
+    near = placed.join(spread, ["_level", "_cell_x", "_cell_y", "_cell_z"])
+    straight = sum(((F.col(c) - F.col(f"{c}2")) ** 2 for c in ("_x", "_y", "_z")), F.lit(0.0))
+    near = near.filter(straight <= F.col("_reach") * F.col("_reach"))
+    found = near.withColumn("distance_m", geodesic_distance_m("longitude", "latitude", "lon2", "lat2")).filter(F.col("distance_m") <= radius)
+    return found.select(*left.columns, *right.columns, "distance_m")
 
 
 def classify_known(detections: DataFrame, sources: DataFrame) -> DataFrame:
     """detections with known_source_key: the nearest active source whose radius holds them, then its key."""
     active = sources.filter("is_active").select("source_key", F.col("longitude").alias("lon2"), F.col("latitude").alias("lat2"), "match_radius_m")
-    hits = within_distance(detections.select("id", "longitude", "latitude"), active, F.col("match_radius_m"), 20_000.0)
+    hits = within_distance(detections.select("id", "longitude", "latitude"), active, F.col("match_radius_m"))
     best = hits.groupBy("id").agg(F.min(F.struct("distance_m", "source_key")).alias("b")).select("id", F.col("b.source_key").alias("known_source_key"))
     return detections.join(best, "id", "left")
 

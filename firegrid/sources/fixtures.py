@@ -28,8 +28,8 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
         "case when event_type in ('view', 'click', 'signup') then 'VIIRS' else 'MODIS' end as sensor",
         "case event_type when 'view' then 'N20' when 'click' then 'N21' when 'signup' then 'SNPP' when 'error' then 'Terra' else 'Aqua' end as satellite",
         "cast(ts as timestamp) as acquired_at",
-        "-400000 + (user_id % 15) * 80000 + ((event_id * 7 % 41) - 20) * 80 as lon_e5",
-        "4200000 + (user_id div 15) * 60000 + ((event_id * 11 % 37) - 18) * 80 as lat_e5",
+        "(17600000 + (user_id % 15) * 80000 + (user_id div 150) * 1200000 + ((event_id * 7 % 41) - 20) * 80) % 36000000 - 18000000 as lon_e5",
+        "4200000 + (user_id % 150 div 15) * 60000 + ((event_id * 11 % 37) - 18) * 80 as lat_e5",
         "case when event_id % 20 <> 0 then event_id % 100 end as confidence_pct",
         "value as frp_mw",
         "case when hour(ts) between 6 and 17 then 'D' else 'N' end as day_night",
@@ -96,8 +96,8 @@ SQL = {
       SELECT event_id, event_id::VARCHAR AS id, user_id, sha256('p|' || event_type || '|' || event_id) AS provider_key,
         CASE WHEN event_type IN ('view', 'click', 'signup') THEN 'VIIRS' ELSE 'MODIS' END AS sensor,
         CASE event_type WHEN 'view' THEN 'N20' WHEN 'click' THEN 'N21' WHEN 'signup' THEN 'SNPP' WHEN 'error' THEN 'Terra' ELSE 'Aqua' END AS satellite,
-        ts AS acquired_at, -400000 + (user_id % 15) * 80000 + ((event_id * 7 % 41) - 20) * 80 AS lon_e5,
-        4200000 + (user_id // 15) * 60000 + ((event_id * 11 % 37) - 18) * 80 AS lat_e5,
+        ts AS acquired_at, (17600000 + (user_id % 15) * 80000 + (user_id // 150) * 1200000 + ((event_id * 7 % 41) - 20) * 80) % 36000000 - 18000000 AS lon_e5,
+        4200000 + ((user_id % 150) // 15) * 60000 + ((event_id * 11 % 37) - 18) * 80 AS lat_e5,
         CASE WHEN event_id % 20 <> 0 THEN event_id % 100 END AS confidence_pct, value AS frp_mw,
         CASE WHEN hour(ts) BETWEEN 6 AND 17 THEN 'D' ELSE 'N' END AS day_night, event_id % 50 <> 0 AS is_public,
         CASE WHEN event_id % 7 = 0 THEN 2 WHEN event_id % 11 = 0 THEN 3 WHEN event_id % 5 = 0 THEN NULL ELSE 0 END AS type, props FROM events)""",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from firegrid.functions.geo import geodesic_m
 from firegrid.functions.rules import ClusteringParams
-from firegrid.operators import clustering, corpus, spatial
+from firegrid.operators import clustering, corpus, event_state, spatial
 from firegrid.sources import providers, sinks
 
 T0 = datetime(2024, 1, 1)
@@ -20,8 +20,8 @@ def sequential(rows, params):
     events, owner, ids = [], [], []
     for i, (key, at, lon, lat) in enumerate(rows):
         nearest = {}
-        for j in range(i):
-            d = float(geodesic_m([rows[j][2]], [rows[j][3]], [lon], [lat])[0])
+        before = np.array([r[2:] for r in rows[:i]]).reshape(-1, 2)
+        for j, d in enumerate(geodesic_m(before[:, 0], before[:, 1], np.full(i, lon), np.full(i, lat)).tolist() if i else []):
             if d <= params.max_radius_m:
                 nearest[owner[j]] = min(d, nearest.get(owner[j], 1e18))
         best, score = None, 0.0
@@ -86,6 +86,62 @@ def test_silence_is_counted_from_the_events_last_member(spark):
     assert {r.event_id for r in clustering.cluster(frame(spark, rows)).collect()} == {clustering.founder_id("k0")}
 
 
+GLOBE = [(14.0, 80.0), (-179.999, 10.0), (179.999, -10.0), (30.0, 89.95), (-60.0, -89.9), (0.0, 0.0)]
+
+
+def around_the_globe(seed, n):
+    """Drifting clouds at high latitudes, at the poles and on both sides of the 180th meridian."""
+    rng, rows = random.Random(seed), []
+    for k in range(n):
+        lon, lat = rng.choice(GLOBE)
+        lat += rng.gauss(0, 0.02)
+        lon += rng.gauss(0, 0.02) / max(0.002, float(np.cos(np.radians(min(89.9, abs(lat))))))
+        rows.append((f"k{k:04d}", T0 + timedelta(minutes=rng.randrange(60 * 60)), (lon + 540) % 360 - 180, max(-90.0, min(90.0, lat))))
+    return sorted(rows, key=lambda r: (r[1], r[0]))
+
+
+def test_clusters_at_the_poles_and_across_the_180th_meridian(spark, monkeypatch):
+    rows = around_the_globe(5, 160)
+    expected = sequential(rows, ClusteringParams())
+    assert {r.provider_key: r.event_id for r in clustering.cluster(frame(spark, rows)).collect()} == expected
+    monkeypatch.setattr(clustering, "GROUP_ROWS", 10)  # cubes and pieces, in place of one group
+    assert {r.provider_key: r.event_id for r in clustering.cluster(frame(spark, rows)).collect()} == expected
+    assert len({*expected.values()}) < 120
+
+
+def never_silent(n, seed=2):
+    """Rows that follow each other within minutes, in some drifting fires: one component of all."""
+    rng, fires = random.Random(seed), [[6.0 + 0.03 * k, 43.5] for k in range(4)]
+    rows = []
+    for k in range(n):
+        fire = rng.choice(fires)
+        fire[0], fire[1] = fire[0] + rng.gauss(0, 0.002), fire[1] + rng.gauss(0, 0.002)
+        rows.append((f"k{k:06d}", T0 + timedelta(minutes=10 * k + rng.randrange(10)), round(fire[0], 2), round(fire[1], 2)))
+    return sorted(rows, key=lambda r: (r[1], r[0]))
+
+
+def test_slices_of_a_component_that_is_never_silent(spark, monkeypatch):
+    rows = never_silent(300)
+    whole = frame(spark, rows)
+    expected = {r.provider_key: (r.event_id, r.score) for r in clustering.cluster(whole).collect()}
+    assert {k: e for k, (e, _) in expected.items()} == sequential(rows, ClusteringParams())
+    monkeypatch.setattr(clustering, "LARGE_ROWS", 90)
+    held, real = [], event_state.attach_closed
+    monkeypatch.setattr(event_state, "attach_closed", lambda closed, sets: (held.append(closed.count()), real(closed, sets))[1])
+    assert {r.provider_key: (r.event_id, r.score) for r in clustering.cluster(whole).collect()} == expected
+    assert len(held) >= 3 and max(held) < 250  # a slice and the open places near it, never all
+
+
+def test_forgotten_events_change_nothing():
+    replay = clustering.Replay(ClusteringParams())
+    replay.know("a", 6.0, 44.0, 0, (0, "a"))
+    replay.know("b", 7.0, 44.0, int(20 * 3.6e9), (0, "b"))
+    replay.forget(int(21 * 3.6e9))
+    assert replay.places == 1 and [*replay.slot_of] == ["b"]
+    assert replay.attach(7.0, 44.0, int(21 * 3.6e9), "c")[0] == "b"
+    assert replay.attach(6.0, 44.0, int(21 * 3.6e9), "d")[0] == clustering.founder_id("d")
+
+
 def test_empty_input(spark):
     assert clustering.cluster(frame(spark, [])).count() == 0
 
@@ -139,6 +195,17 @@ def test_distance_join_against_brute_force(spark):
     assert {r.id: r.known_source_key for r in got.collect()} == expected
 
 
+def test_radius_search_anywhere(spark):
+    rng = random.Random(11)
+    right = [(f"s{k}", *rng.choice(GLOBE), r, True) for k, r in enumerate([1.0, 300.0, 500.0, 501.0, 4_000.0, 20_000.0, 60_000.0, 900_000.0, 3_000_000.0] * 3)]
+    left = [(str(k), r[2], r[3]) for k, r in enumerate(around_the_globe(9, 120))] + [("d1", 15.0, 80.0), ("d2", 179.999, 10.0), ("n", None, 3.0)]
+    expected = {(i, k) for i, x, y in left if x is not None for k, a, b, r, _ in right if geodesic_m([x], [y], [a], [b])[0] <= r}
+    sides = spark.createDataFrame(left, "id string, longitude double, latitude double"), spark.createDataFrame(right + [("none", None, 1.0, 5.0, True)], "source_key string, lon2 double, lat2 double, r double, a boolean")
+    got = spatial.within_distance(*sides, F.col("r"))
+    assert {(r.id, r.source_key) for r in got.collect()} == expected and len(expected) > 250 and got.count() == len(expected)
+    assert spatial.within_distance(sides[0], sides[1].limit(0), F.col("r")).count() == 0
+
+
 def test_polygons_with_holes_and_borders(spark):
     p = lambda *xy: [(float(x), float(y)) for x, y in xy]
     outer, hole = p((0, 0), (4, 0), (4, 4), (0, 4), (0, 0)), p((1, 1), (2, 1), (2, 2), (1, 2), (1, 1))
