@@ -12,11 +12,11 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,8 +25,12 @@ from firegrid.llm.common import bit_map, bound_arrow_batches, cell, checkpoint,
 SPECIALS = {"<|endoftext|>": 50256}
 #: Chunks have 2**CHUNK_BITS bytes on average beyond MIN_CHUNK.
 CHUNK_BITS, MIN_CHUNK = 11, 256
-#: A space between two ASCII letters starts a word piece whatever stands around it.
-_SAFE = re.compile(rb"(?<=[A-Za-z]) (?=[A-Za-z])")
+#: Where a word piece ends in any context and any script, as no branch of the pattern goes on there: after a letter
+#: before what is none, after a digit before what is none, and after a sign (no apostrophe, which may start an
+#: ending) before white space, a letter or a digit. White space itself may belong to either side.
+_SAFE = regex.compile(r"(?<=\p{L})(?=\P{L})|(?<=\p{N})(?=\P{N})|(?<=[^\s\p{L}\p{N}'])(?=[\s\p{L}\p{N}])")
+#: Two signs that stand together in a special token may be parts of one that goes on in the next chunk.
+_IN_SPECIALS = {s[k : k + 2] for s in SPECIALS for k in range(len(s) - 1)}
 _ROLL = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -110,30 +114,50 @@ def _digest(chunk: bytes) -> bytes:
 
 
 def join_ids(parts: list[np.ndarray], own: Codec) -> np.ndarray:
-    """Ids of the whole text from the ids of its chunks."""
+    """Ids of the whole text from the ids of its chunks.
+
+    At each join the stretch from the last sure boundary before it to the first one after it
+    is encoded again. A stretch that finds none in a chunk goes on through it, and is encoded once.
+    """
     done: list[np.ndarray] = []  # exact ids
-    open_ids = parts[0] if parts else np.empty(0, np.uint32)  # exact from its start to its last safe boundary
+    open_ids = parts[0] if parts else np.empty(0, np.uint32)  # exact from its start to its last sure boundary
+    stretch: list[bytes] = []
     for right in parts[1:]:
-        left_at, tail = _last_safe(open_ids, own)
+        if not stretch:
+            left_at, tail = _last_safe(open_ids, own)
+            done.append(open_ids[:left_at])
+            stretch.append(tail)
         right_at, head = _first_safe(right, own)
-        middle = own.encode(tail + head)
-        done.append(open_ids[:left_at])
-        if right_at is None:  # no boundary in this chunk: the stretch goes on into the next one
-            open_ids = middle
-        else:
-            done.append(middle)
-            open_ids = right[right_at:]
-    return np.concatenate([*done, open_ids]) if done else open_ids
+        stretch.append(head)
+        if right_at is not None:
+            done.append(own.encode(b"".join(stretch)))
+            open_ids, stretch = right[right_at:], []
+    done.append(own.encode(b"".join(stretch)) if stretch else open_ids)
+    return np.concatenate(done)
+
+
+def _sure(raw: bytes) -> list[int]:
+    """The sure boundaries within some bytes of a text, which may begin and end inside a character."""
+    skip = next((k for k, x in enumerate(raw[:4]) if x & 0xC0 != 0x80), 0)
+    text = raw[skip:].decode("utf-8", "ignore")
+    found, at, last = [], skip, 0
+    for m in _SAFE.finditer(text):
+        if text[m.start() - 1 : m.start() + 1] in _IN_SPECIALS:
+            continue
+        at += len(text[last : m.start()].encode())
+        last = m.start()
+        found.append(at)
+    return found
 
 
 def _last_safe(ids: np.ndarray, own: Codec) -> tuple[int, bytes]:
-    """The last token that starts at a safe boundary, else 0, and the bytes from there on."""
+    """The last token that starts at a sure boundary, else 0, and the bytes from there on."""
     reach = 32
     while True:
         first = max(0, len(ids) - reach)
         tail = own.decode(ids[first:])
         starts = np.concatenate([[0], np.cumsum(own.sizes[ids[first:]])]) if len(ids) else np.zeros(1, int)
-        for m in reversed([m.start() for m in _SAFE.finditer(tail)]):
+        for m in reversed(_sure(tail)):
             k = int(np.searchsorted(starts, m))
             if starts[k] == m:
                 return first + k, tail[m:]
@@ -143,15 +167,15 @@ def _last_safe(ids: np.ndarray, own: Codec) -> tuple[int, bytes]:
 
 
 def _first_safe(ids: np.ndarray, own: Codec) -> tuple[int | None, bytes]:
-    """The first token that starts at a safe boundary and the bytes before it; None and all bytes if there is none."""
+    """The first token that starts at a sure boundary and the bytes before it; None and all bytes if there is none."""
     reach = 32
     while True:
         head = own.decode(ids[:reach])
         starts = np.concatenate([[0], np.cumsum(own.sizes[ids[:reach]])]) if len(ids) else np.zeros(1, int)
-        for m in _SAFE.finditer(head):
-            k = int(np.searchsorted(starts, m.start()))
-            if starts[k] == m.start():
-                return k, head[: m.start()]
+        for m in _sure(head):
+            k = int(np.searchsorted(starts, m))
+            if starts[k] == m:
+                return k, head[:m]
         if reach >= len(ids):
             return None, head
         reach *= 4

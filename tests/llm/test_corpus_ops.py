@@ -351,3 +351,27 @@ def test_pipeline_stages(spark, tmp_path):
     ids = {r.doc_id for r in near.collect()}
     assert not ids & {60, 62} and not ids & {1, 61} == {1, 61} and len(ids & {*range(60)}) >= 59
     assert sorted(map(str, corpus_pipeline.run(spark, str(tmp_path)).collect())) == sorted(map(str, docs.collect()))
+
+
+ALPHABETS = {"cyrillic": "абвгдежзийклмнопрст     ,.\n", "han": "的一是在不了有和人这中大为上个国我以要他,。", "mixed": "a é'sd1 2.,!\n\tйЮ的 \u200b\U0001f600'llré<|>\x1c\u0301"}
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.sampled_from(sorted(ALPHABETS)), st.integers(0, 10**6), st.integers(1, 9))
+def test_joins_in_any_script(name, seed, step):
+    own, rng = bpe.codec(bpe.default_vocabulary()), random.Random(seed)
+    text = "".join(rng.choice([*ALPHABETS[name], "<|endoftext|>"] if name == "mixed" else ALPHABETS[name]) for _ in range(120))
+    for parts in (bpe.chunks(text.encode()), [text[k : k + step].encode() for k in range(0, len(text), step)]):
+        assert bpe.join_ids([own.encode(x) for x in parts], own).tolist() == own.encode(text.encode()).tolist()
+
+
+def test_joins_are_linear_in_any_script():
+    import time
+
+    own, rng = bpe.codec(bpe.default_vocabulary()), random.Random(7)
+    for alphabet in (ALPHABETS["cyrillic"], "йцукенгшщзхъфывапролджэ"):  # the second has no boundary at all
+        raw = "".join(rng.choice(alphabet) for _ in range(500_000 if " " in alphabet else 30_000)).encode()
+        parts = [own.encode(x) for x in bpe.chunks(raw)]
+        began = time.time()
+        ids = bpe.join_ids(parts, own)
+        assert time.time() - began < 5 and ids.tolist() == own.encode(raw).tolist() and len(parts) > 10
