@@ -26,6 +26,14 @@ MAX_BROADCAST_ROWS = 50_000
 ARROW_BATCH_BYTES = 8 << 20
 
 
+def fresh(name: str, *frames: DataFrame) -> str:
+    """A column name that none of the frames has: `name`, with underscores after it where it is taken (in any case)."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while any(c == name.lower() or c.startswith(f"{name.lower()}_") for c in taken):
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -115,10 +123,10 @@ def spread_join(rows: DataFrame, groups: DataFrame, key: str, hot: list[int], by
     """
     if not hot:
         return rows.join(groups, key, how)
-    is_hot = F.xxhash64(key).isin(hot)
-    salted = rows.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(by, F.lit(9)), F.lit(SALTS)).cast("int")).otherwise(0))
+    is_hot, salt = F.xxhash64(key).isin(hot), fresh("_salt", rows, groups)
+    salted = rows.withColumn(salt, F.when(is_hot, F.pmod(F.xxhash64(by, F.lit(9)), F.lit(SALTS)).cast("int")).otherwise(0))
     copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    return salted.join(groups.withColumn("_salt", F.explode(copies)), [key, "_salt"], how).drop("_salt")
+    return salted.join(groups.withColumn(salt, F.explode(copies)), [key, salt], how).drop(salt)
 
 
 def filter_bits(rows: int, per_row: int = 16) -> int:
@@ -178,12 +186,14 @@ def possible_ids(docs: DataFrame, ids: DataFrame, key: str, name: str = "possibl
 
 def drop_rows(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     """`docs` without the rows whose key is in `ids`; only possible hits are shuffled."""
-    seen = possible_ids(docs, ids, key)
-    straight = seen.filter(~F.col("possible")).drop("possible")
-    checked = seen.filter("possible").drop("possible").join(ids.select(key), key, "left_anti")
-    return straight.unionByName(checked)
+    mark = fresh("possible", docs)
+    seen = possible_ids(docs, ids, key, mark)
+    straight = seen.filter(~F.col(mark)).drop(mark)
+    checked = seen.filter(mark).drop(mark).join(ids.select(key), key, "left_anti")
+    return straight.unionByName(checked.select(straight.columns))
 
 
 def keep_rows(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     """The rows of `docs` whose key is in `ids`; only possible hits are shuffled."""
-    return possible_ids(docs, ids, key).filter("possible").drop("possible").join(ids.select(key), key, "left_semi")
+    mark = fresh("possible", docs)
+    return possible_ids(docs, ids, key, mark).filter(mark).drop(mark).join(ids.select(key), key, "left_semi").select(docs.columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from firegrid.llm.common import SPACES, checkpoint, hot_keys, possible_ids, repeat_filter, spread_join
+from firegrid.llm.common import SPACES, checkpoint, fresh, hot_keys, possible_ids, repeat_filter, spread_join
 
 
 def _digest() -> Column:
@@ -53,15 +53,16 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     Rows are told apart by their text and length, never by doc_id alone, so rows that share
     an id and differ in text are separate. Texts without a copy pass straight on.
     """
-    keyed = docs.withColumn("_sha", _digest())
-    narrow = checkpoint(docs.select(_digest().alias("_sha"), "doc_id", _length().alias("_n")))
-    groups = repeat_filter(narrow, "_sha", narrow.count()).filter("maybe_repeated").groupBy("_sha")
-    groups = checkpoint(groups.agg(F.min(F.struct((-F.col("_n")).alias("n"), "doc_id")).alias("_first"), F.count("*").alias("count")).filter("count > 1"))
-    hot = hot_keys(groups, "_sha", groups.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0])
-    seen = possible_ids(keyed, groups, "_sha", "_possible")
-    straight = seen.filter(~F.col("_possible")).select(*docs.columns)
-    told = spread_join(seen.filter("_possible"), groups.select("_sha", "_first"), "_sha", hot, "doc_id", "left")
-    alone = told.filter(F.col("_first").isNull()).select(*docs.columns)
-    first = told.filter(F.col("doc_id").eqNullSafe(F.col("_first.doc_id")) & (_length() == -F.col("_first.n")))
+    sha, mark, first = fresh("_sha", docs), fresh("_possible", docs), fresh("_first", docs)
+    keyed = docs.withColumn(sha, _digest())
+    narrow = checkpoint(docs.select(_digest().alias(sha), F.col("doc_id"), _length().alias(f"{sha}_n")))
+    groups = repeat_filter(narrow, sha, narrow.count()).filter("maybe_repeated").groupBy(sha)
+    groups = checkpoint(groups.agg(F.min(F.struct((-F.col(f"{sha}_n")).alias("n"), "doc_id")).alias(first), F.count("*").alias("count")).filter("count > 1"))
+    hot = hot_keys(groups, sha, groups.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0])
+    seen = possible_ids(keyed, groups, sha, mark)
+    straight = seen.filter(~F.col(mark)).select(*docs.columns)
+    told = spread_join(seen.filter(mark), groups.select(sha, first), sha, hot, "doc_id", "left")
+    alone = told.filter(F.col(first).isNull()).select(*docs.columns)
+    leading = told.filter(F.col("doc_id").eqNullSafe(F.col(f"{first}.doc_id")) & (_length() == -F.col(f"{first}.n")))
     # Rows that agree in text, id and length are repeats of one row: one of them stays.
-    return straight.unionByName(alone).unionByName(first.dropDuplicates(["_sha"]).select(*docs.columns))
+    return straight.unionByName(alone).unionByName(leading.dropDuplicates([sha]).select(*docs.columns))

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from firegrid.llm.common import WORD, checkpoint, small
+from firegrid.llm.common import WORD, checkpoint, fresh, small
 
 #: Slots of a mix; more sources than SLOTS / 256 raise it, and so do blocks of more than MAX_BLOCK words.
 SLOTS = 1 << 18
@@ -153,7 +153,8 @@ def mixed_documents(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     share = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
     counted = mix.sizes.filter("size > 0 and doc_id is not null").join(by_row.drop("doc_id"), "row", "left")
     counted = counted.select("doc_id", F.struct(F.coalesce(share, F.lit(0)).alias("times"), "slots").alias("p"))
-    places = checkpoint(counted.groupBy("doc_id").agg(F.max("p").alias("_p")))
-    copies = F.when(F.col("_p").isNull(), F.array(F.lit(None).cast("long"))).otherwise(F.slice("_p.slots", F.lit(1), F.col("_p.times")))
-    repeated = docs.join(places, "doc_id", "left").withColumn("_slot", F.explode(copies))
-    return repeated.repartitionByRange(F.col("_slot").asc_nulls_last(), F.xxhash64("doc_id")).sortWithinPartitions(F.col("_slot").asc_nulls_last(), "doc_id").select(*docs.columns)
+    p, slot = fresh("_p", docs), fresh("_slot", docs)
+    places = checkpoint(counted.groupBy("doc_id").agg(F.max("p").alias(p)))
+    copies = F.when(F.col(p).isNull(), F.array(F.lit(None).cast("long"))).otherwise(F.slice(f"{p}.slots", F.lit(1), F.col(f"{p}.times")))
+    repeated = docs.join(places, "doc_id", "left").withColumn(slot, F.explode(copies))
+    return repeated.repartitionByRange(F.col(slot).asc_nulls_last(), F.xxhash64("doc_id")).sortWithinPartitions(F.col(slot).asc_nulls_last(), "doc_id").select(*docs.columns)

@@ -11,12 +11,14 @@ occurrences of an id and their places are found without unpacking the others.
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,9 +29,12 @@ END_ID = 2
 #: Tokens of a shard at most, unless one document is longer; text bytes of a part, and parts at most.
 SHARD_TOKENS, PART_BYTES, MAX_PARTS = 1 << 21, 32 << 20, 100_000
 #: A worker forgets its words before the batch that finds more of them than this; words that are encoded in one text.
-REMEMBERED_WORDS, ENCODED_TOGETHER = 150_000, 1024
+REMEMBERED_WORDS, ENCODED_TOGETHER = 1_000_000, 1024
 _NULL_ID = -(1 << 63)
-_BLANKS = str.maketrans("\t\n\r\x0b\x0c", "     ")
+#: Runs of letters, single digits and runs of signs; words of these alone are plain. Not among them: the
+#: apostrophe, which starts endings, the signs of special tokens, U+0130, whose lower case is no letter, and other scripts.
+_RUN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+|[0-9]|[!#$%&()*+,./:;=?@^_`~\"-]+")
+_PLAIN = re.compile(f"(?:{_RUN.pattern})+")
 
 
 def default_vocabulary() -> str:
@@ -48,40 +53,57 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.specials = {x.content: i for i, x in self.tokenizer.get_added_tokens_decoder().items() if x.special}
         self.bits = max(1, max(self.tokenizer.get_vocab(with_added_tokens=True).values()).bit_length())
+        self.is_end = np.zeros(1 << self.bits, bool)
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.is_end[[i for t, i in self.tokenizer.get_vocab().items() if suffix and t.endswith(suffix)]] = True
         self.forget()
 
     def forget(self) -> None:
         self.slots: dict[str, int] = {}
         self.ids, self.ends = np.empty(0, np.uint32), np.zeros(1, np.int64)
 
-    def _ids(self, words: list[str]) -> tuple[np.ndarray, list[int]]:
-        """The words' ids, one after the other, and how many each has."""
-        # A special token between the words parts them and shows where each ends; words that hold one go singly.
-        mark, code = next(iter(self.specials.items()), (None, None))
-        if mark is None or any(s in w for w in words for s in self.specials):
-            found = [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
-            return np.array([i for x in found for i in x], np.uint32), [len(x) for x in found]
-        marked = np.array(self.tokenizer.encode(mark.join(words) + mark, add_special_tokens=False).ids, np.uint32)
-        return marked[marked != code], np.diff(np.flatnonzero(marked == code), prepend=-1) - 1
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The words' ids, one after the other, and how many each has; all are encoded in one text.
+
+        A plain word falls into runs of letters, single digits and runs of signs, each of which
+        ends with an id of the end of a word; in others a token's offset tells its word.
+        """
+        text = " ".join(words)
+        runs = [_RUN.findall(w) for w in words]
+        if all(len("".join(r)) == len(w) for r, w in zip(runs, words, strict=True)):
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(self.is_end[ids])
+            last = np.cumsum([len(r) for r in runs])
+            if len(ends) == last[-1]:
+                return ids, np.diff(ends[last - 1], prepend=-1)
+        found = self.tokenizer.encode(text, add_special_tokens=False)
+        starts = np.cumsum([0, *(len(w) + 1 for w in words)])[:-1]
+        of = np.searchsorted(starts, np.array([a for a, _ in found.offsets], np.int64), "right") - 1
+        return np.array(found.ids, np.uint32), np.bincount(of, minlength=len(words))
+
+    def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, ends): the ids of all texts one after the other, and where each text's end."""
         if len(self.slots) > REMEMBERED_WORDS:
             self.forget()
-        split = [[w for w in x.translate(_BLANKS).split(" ") if w] for x in texts]
-        words = [w for x in split for w in x]
-        new = [w for w in dict.fromkeys(words) if w not in self.slots]
-        if new:
-            ids, sizes = zip(*(self._ids(new[at : at + ENCODED_TOGETHER]) for at in range(0, len(new), ENCODED_TOGETHER)), strict=True)
-            self.slots |= zip(new, range(len(self.slots), len(self.slots) + len(new)), strict=True)
-            self.ids, self.ends = np.concatenate([self.ids, *ids]), np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.concatenate(sizes))])
-        slots = np.fromiter(map(self.slots.__getitem__, words), np.int64, len(words))
+        split = pc.ascii_split_whitespace(texts)
+        words, offsets = split.flatten(), split.offsets.to_numpy()
+        real = pc.greater(pc.binary_length(words), 0)
+        bounds = np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False))])[offsets - offsets[0]]
+        coded = words.filter(real).dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        new = [w for w in distinct if w not in self.slots]
+        plain = [w for w in new if _PLAIN.fullmatch(w)]
+        for kind in (plain, [*{*new}.difference(plain)] if len(plain) < len(new) else []):
+            if kind:
+                ids, sizes = zip(*(self._ids(kind[at : at + ENCODED_TOGETHER]) for at in range(0, len(kind), ENCODED_TOGETHER)), strict=True)
+                self.slots |= zip(kind, range(len(self.slots), len(self.slots) + len(kind)), strict=True)
+                self.ids, self.ends = np.concatenate([self.ids, *ids]), np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.concatenate(sizes))])
+        slots = np.fromiter(map(self.slots.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
         sizes = self.ends[slots + 1] - self.ends[slots]
         through = np.concatenate([[0], np.cumsum(sizes)])
         ids = self.ids[np.repeat(self.ends[slots] - through[:-1], sizes) + np.arange(through[-1])]
-        return ids, through[np.cumsum([len(x) for x in split])] if split else np.empty(0, np.int64)
+        return ids, through[bounds[1:]]
 
 
 @lru_cache(maxsize=2)
@@ -200,7 +222,7 @@ def _encoded(docs: DataFrame, path: str, end_id: int) -> tuple[DataFrame, int]:
     def kernel(batches):
         own = encoder(path)
         for batch in text_slices(batches):
-            ids, ends = own.encode([clean(x).decode() for x in batch.column("text").cast(pa.binary()).to_pylist()])
+            ids, ends = own.encode(pa.array([clean(x) for x in batch.column("text").cast(pa.binary()).to_pylist()], pa.binary()).cast(pa.string()))
             tokens = [np.append(x, end_id).astype("<u4").tobytes() if own.bits > 16 else np.append(x, end_id).astype("<u2").tobytes() for x in np.split(ids, ends[:-1])]
             order = np.array([zlib.crc32(x) for x in tokens], np.int64)
             doc = np.array([_NULL_ID if x is None else x for x in batch.column("doc_id").to_pylist()], np.int64)

@@ -22,7 +22,10 @@ KEEPERS = {
     "exact": lambda d, m: exact_dedup.drop_copies(d), "jaccard": lambda d, m: jaccard.keep_one_of_each(d, jaccard.Threshold(5, 80)),
     "mixing": lambda d, m: mixing.mixed_documents(d), "toxicity": lambda d, m: toxicity.drop_toxic(d, m),
 }
-CLASHES = ("kept", "score", "row", "n", "size", "number", "label", "words", "lines", "spans", "key", "tile", "component", "low", "chunks", "group_size", "taken")
+CLASHES = (
+    "kept", "score", "row", "n", "size", "number", "label", "words", "lines", "spans", "key", "tile", "component", "low", "chunks", "group_size", "taken",
+    "possible", "possible_", "_possible", "_sha", "_n", "_first", "_slot", "_p", "_salt", "_removed",
+)
 
 
 @pytest.fixture(scope="module")
@@ -57,6 +60,7 @@ def test_no_rows_give_no_rows(spark, odd, labels, name):
 @pytest.mark.parametrize("name", sorted(KEEPERS))
 def test_all_columns_stay(spark, odd, labels, name):
     left = KEEPERS[name](odd, labels)
+    assert left.select(*CLASHES).distinct().collect() == [("clash",) * len(CLASHES)]
     assert left.columns == odd.columns and {*range(12)} <= {r.doc_id for r in left.select("doc_id").collect()} | ({*range(12)} if name == "mixing" else set())
     assert left.filter("doc_id is null").count() >= 1
     assert KEEPERS[name](odd.limit(0), labels.limit(0)).count() == 0
