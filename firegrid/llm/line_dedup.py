@@ -12,10 +12,10 @@ after that first position too, and the later runs are deleted.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from firegrid.llm.common import WORD, checkpoint, hot_keys, possible_ids, repeat_filter, spread_join
+from firegrid.llm.common import WORD, checkpoint, fresh, hot_keys, possible_ids, repeat_filter, spread_join
 
 RUN_LINES = 3
 LONG_LINE = 50
@@ -34,7 +34,13 @@ def _lines(text: Column) -> Column:
 
 def _minimum(lines: Column, start: Column, run: int) -> Column:
     """The place of the last smallest hash in the window that begins at `start`."""
-    return F.array_min(F.transform(F.slice(lines, start + 1, run), lambda x, i: F.struct(x["h"].alias("h"), (-(start + i)).alias("back"))))
+    own = [F.struct(F.get(lines, start + j)["h"].alias("h"), (-(start + j)).alias("back")) for j in range(run)]
+    return F.least(*own) if run > 1 else own[0]
+
+
+def _let(value: Column, body) -> Column:
+    """body(x) with x evaluated once, however often a lambda inside the body looks at it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def repeated_units(docs: DataFrame, run: int = RUN_LINES) -> tuple[DataFrame, DataFrame]:
@@ -63,10 +69,17 @@ def repeated_units(docs: DataFrame, run: int = RUN_LINES) -> tuple[DataFrame, Da
         own = [line(start + j) for j in range(size)]
         return F.struct(start.alias("start"), F.lit(size).alias("size"), F.struct(F.xxhash64(*(x["h"] for x in own)).alias("k1"), F.xxhash64(*(x["g"] for x in own)).alias("k2"), F.lit(size).alias("n")).alias("key"))
 
-    of_windows = F.transform(F.filter(windows, lambda w: F.array_contains("marks", w["mark"])), lambda w: unit(w["start"], run))
-    of_pairs = F.transform(F.filter(pairs, lambda p: F.array_contains("marks", p["mark"])), lambda p: unit(p["start"], 2))
-    of_long = F.transform(F.filter(long, lambda x: F.array_contains("marks", x["at"])), lambda x: unit(x["at"], 1))
-    units = checkpoint(around.select("doc_id", F.explode(F.concat(of_windows, of_pairs, of_long)).alias("u")).select("doc_id", "u.*").distinct())
+    # The units around a mark start no further before it than their size, so each mark looks at those few.
+    last = F.size("lines")
+
+    def around_mark(place: Column) -> Column:
+        wordy_at = lambda s: (s >= 0) & (s + 1 < last) & (line(s)["n"] + line(s + 1)["n"] >= LONG_LINE)
+        of_windows = [F.when((s >= 0) & (s + run <= last) & (-_minimum(F.col("lines"), s, run)["back"] == place), unit(s, run)) for s in (place - k for k in range(run))]
+        of_pairs = [F.when(wordy_at(s) & (-_minimum(F.col("lines"), s, 2)["back"] == place), unit(s, 2)) for s in (place - 1, place)]
+        return F.array_compact(F.array(*of_windows, *of_pairs, F.when(line(place)["n"] >= LONG_LINE, unit(place, 1))))
+
+    around = around.select("doc_id", F.explode(F.flatten(F.transform("marks", around_mark))).alias("u"))
+    units = checkpoint(around.select("doc_id", "u.*").distinct())
     # Only the first position of each content is joined, never all pairs of positions.
     firsts = checkpoint(units.groupBy("key").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("count")).filter("count > 1"))
     hot = hot_keys(firsts, "key", firsts.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0])
@@ -79,42 +92,43 @@ def repeated_runs(units: DataFrame) -> DataFrame:
     """(doc_id, runs): of every row with later repeated units the maximal runs (start, end, first_doc, first_start), by start.
 
     A run is a chain of seeds on one diagonal (first document, distance of the places) that
-    touch or overlap. A group holds the seeds of one document; its lines bound them.
+    touch or overlap: a seed extends the run of those before it unless it starts beyond all
+    their ends. A window holds the seeds of one diagonal of one document.
     """
-    seed = F.struct("first_doc", (F.col("first_start") - F.col("start")).alias("shift"), "start", (F.col("start") + F.col("size")).alias("end"))
-    seeds = units.groupBy("doc_id").agg(F.array_sort(F.collect_set(seed)).alias("seeds"))
-
-    def extend(runs: Column, x: Column) -> Column:
-        last = F.element_at(runs, -1)
-        joins = (F.size(runs) > 0) & (last["first_doc"] == x["first_doc"]) & (last["shift"] == x["shift"]) & (x["start"] <= last["end"])
-        longer = F.struct(last["first_doc"].alias("first_doc"), last["shift"].alias("shift"), last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))
-        return F.when(joins, F.concat(F.slice(runs, 1, F.size(runs) - 1), F.array(longer))).otherwise(F.concat(runs, F.array(x)))
-
-    none = F.array().cast("array<struct<first_doc:bigint,shift:int,start:int,end:int>>")
-    runs = F.when(F.size("seeds") > 0, F.aggregate("seeds", none, lambda r, x: F.when(F.size(r) == 0, F.array(x)).otherwise(extend(r, x))))
-    named = F.transform(runs, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["first_doc"].alias("first_doc"), (x["start"] + x["shift"]).alias("first_start")))
-    return seeds.select("doc_id", F.array_sort(named).alias("runs"))
+    seeds = units.select("doc_id", "first_doc", (F.col("first_start") - F.col("start")).alias("shift"), "start", (F.col("start") + F.col("size")).alias("end")).distinct()
+    diagonal = Window.partitionBy("doc_id", "first_doc", "shift").orderBy("start", "end")
+    reached = F.max("end").over(diagonal.rowsBetween(Window.unboundedPreceding, -1))
+    begun = seeds.withColumn("begins", F.when(reached.isNull() | (F.col("start") > reached), 1).otherwise(0))
+    numbered = begun.withColumn("run", F.sum("begins").over(diagonal.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = numbered.groupBy("doc_id", "first_doc", "shift", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    named = F.struct("start", "end", "first_doc", (F.col("start") + F.col("shift")).alias("first_start"))
+    return runs.groupBy("doc_id").agg(F.array_sort(F.collect_list(named)).alias("runs"))
 
 
 def drop_repeated_lines(docs: DataFrame, run: int = RUN_LINES) -> DataFrame:
     """`docs` with all its columns, its text without the later repeated runs, and `_removed`.
 
-    _removed holds the numbers (from 0, by \\n) of the deleted lines. Empty and blank lines
-    are never deleted; null texts stay null. Rows that repeat a doc_id share its decision,
-    so the first occurrence of a line is never lost. Rows with a null id stay as they are.
+    _removed (with underscores after it where `docs` has such a column) holds the numbers (from
+    0, by \\n) of the deleted lines. Empty and blank lines are never deleted; null texts stay
+    null. Rows that repeat a doc_id share its decision, so the first occurrence of a line is
+    never lost. Rows with a null id stay as they are.
     """
+    removed, mark = fresh("_removed", docs), fresh("_possible", docs)
     lines, units = repeated_units(docs, run)
     gone = repeated_runs(units).select("doc_id", F.array_distinct(F.flatten(F.transform("runs", lambda x: F.sequence(x["start"], x["end"] - 1)))).alias("places"))
     numbers = checkpoint(
-        lines.join(gone, "doc_id").groupBy("doc_id").agg(F.first(F.array_sort(F.array_compact(F.transform("places", lambda p: F.get(F.col("lines"), p)["at"])))).alias("_removed"))
+        lines.join(gone, "doc_id").groupBy("doc_id").agg(F.first(F.array_sort(F.array_compact(F.transform("places", lambda p: F.get(F.col("lines"), p)["at"])))).alias(removed))
     )
-    seen = possible_ids(docs, numbers, "doc_id", "_possible")
+    seen = possible_ids(docs, numbers, "doc_id", mark)
     none = F.array().cast("array<int>")
-    straight = seen.filter(~F.col("_possible")).withColumn("_removed", none)
-    hit = seen.filter("_possible").join(numbers, "doc_id", "left").withColumn("_removed", F.coalesce("_removed", none))
-    left = F.array_join(F.filter(F.transform(F.split("text", "\n", -1), lambda x, i: F.when(~F.array_contains("_removed", i), x)), lambda x: x.isNotNull()), "\n")
-    hit = hit.withColumn("text", F.when(F.size("_removed") > 0, left).otherwise(F.col("text")))
-    return straight.select(*docs.columns, "_removed").unionByName(hit.select(*docs.columns, "_removed"))
+    straight = seen.filter(~F.col(mark)).withColumn(removed, none)
+    hit = seen.filter(mark).join(numbers, "doc_id", "left").withColumn(removed, F.coalesce(removed, none))
+    left = _let(
+        F.split("text", "\n", -1),
+        lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col(removed)), lambda i: F.get(x, i)), "\n"),
+    )
+    hit = hit.withColumn("text", F.when(F.size(removed) > 0, left).otherwise(F.col("text")))
+    return straight.select(*docs.columns, removed).unionByName(hit.select(*docs.columns, removed))
 
 
 def line_report(docs: DataFrame) -> DataFrame:

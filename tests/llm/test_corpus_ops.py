@@ -375,3 +375,18 @@ def test_joins_are_linear_in_any_script():
         began = time.time()
         ids = bpe.join_ids(parts, own)
         assert time.time() - began < 5 and ids.tolist() == own.encode(raw).tolist() and len(parts) > 10
+
+
+def test_lines_of_a_long_text_take_linear_time(spark):
+    """Sixteen times the lines, far from sixteen squared times the time; every line of the copy goes but the changed one."""
+    import time
+
+    took = []
+    for n in (2_000, 32_000):
+        lines = [f"line {k} of the long text" for k in range(n)]
+        docs = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join([*lines[:-5], "another", *lines[-4:]]))], "doc_id long, text string")
+        began = time.time()
+        got = {r.doc_id: r.n_removed for r in line_dedup.line_report(docs).collect()}
+        took.append(time.time() - began)
+        assert got == {1: 0, 2: n - 1}
+    assert took[1] < 16 * max(took[0], 2)
