@@ -47,6 +47,13 @@ def column_bands(x0: int, x1: int, count: int) -> list[tuple[int, int]]:
     return [(a, min(a + width - 1, x1)) for a in range(x0, x1 + 1, width)]
 
 
+def band_starts(x0: Column, x1: Column, count: int) -> tuple[Column, Column]:
+    """(first columns of the bands, an array; width) of column_bands() over columns: band k ends at least(first + width - 1, x1)."""
+    size = x1 - x0 + 1
+    width = F.ceil(size / F.least(F.lit(count), size)).cast("long")
+    return F.when(size > 0, F.sequence(x0.cast("long"), x1.cast("long"), width)), width
+
+
 def e7(degrees: float) -> int:
     return round(degrees * 10_000_000)
 

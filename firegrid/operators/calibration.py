@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from firegrid.functions.rules import ClusteringParams
@@ -36,6 +36,13 @@ def finalists(labels: str) -> list[ClusteringParams]:
     return out
 
 
+def label_parameters(label: Column) -> Column:
+    """struct(radius, window_h, threshold) of a label of the crossed grid; null for any other text."""
+    part = lambda k: F.regexp_extract(label, f"^{_LABEL.pattern}$", k)
+    found = F.struct(part(1).cast("int").alias("radius"), part(2).cast("int").alias("window_h"), part(3).cast("double").alias("threshold"))
+    return F.when(label.rlike(f"^{_LABEL.pattern}$"), found)
+
+
 def measures(detections: DataFrame, sets: list[ClusteringParams]) -> DataFrame:
     """One row a set: the calibration metrics of its events over `detections` (id, provider_key, acquired_at, longitude, latitude, sensor)."""
     members = clustering.sweep(detections, sets)

@@ -38,16 +38,6 @@ def s1_rejects(spark, d):
     return bad.groupBy(F.array_join("rejects", ",").alias("reasons")).agg(F.count("*").alias("n"))
 
 
-@query("s5_split_bbox", "SELECT -5 + i * 7.5 AS min_lon, 41 + j * 5.25 AS min_lat, 2.5 + i * 7.5 AS max_lon, 46.25 + j * 5.25 AS max_lat FROM range(0, 2) a(i), range(0, 2) b(j)".replace("-5 + i * 7.5 AS", "(-5 + i * 7.5)::DOUBLE AS").replace("41 + j * 5.25 AS", "(41 + j * 5.25)::DOUBLE AS").replace("2.5 + i * 7.5 AS", "(2.5 + i * 7.5)::DOUBLE AS").replace("46.25 + j * 5.25 AS", "(46.25 + j * 5.25)::DOUBLE AS"))
-def s5(spark, d):
-    return spark.createDataFrame(providers.split_bbox(-5.0, 41.0, 10.0, 51.5), "min_lon double, min_lat double, max_lon double, max_lat double")
-
-
-@query("s6_windows", "SELECT strftime(DATE '2024-02-01' - 23 + o::INT, '%Y-%m-%d') AS start, least(5, 23 - o)::INT AS days FROM range(0, 23, 5) t(o)")
-def s6(spark, d):
-    return providers.windows(spark, "2024-02-01", 23, 5).select(F.date_format("start", "yyyy-MM-dd").alias("start"), F.col("days").cast("int").alias("days"))
-
-
 _S9 = """WITH x AS (SELECT o_orderkey AS k, o_custkey AS c FROM orders) SELECT k, lpad((c % 95)::VARCHAR, 2, '0') AS department, c % 2 = 1 AS is_coastal, (k % 9 + 1)::INT AS phenomenon_id, ['vert', 'jaune', 'orange', 'rouge'][(k % 4 + 1)::INT] AS colour FROM x WHERE k % 10 <> 0 AND k % 7 <> 0
   UNION ALL SELECT k, NULL, false, NULL, NULL FROM x WHERE k % 10 = 0 UNION ALL SELECT k, lpad((c % 95)::VARCHAR, 2, '0'), c % 2 = 1, (k % 9 + 1)::INT, NULL FROM x WHERE k % 10 <> 0 AND k % 7 = 0"""
 

@@ -67,19 +67,6 @@ def algorithmic(e):
     return e.filter((F.col("algorithm_version") != "demo-fixture") & F.col("control").isNull() & F.col("verification").isin("satellite_detection", "probable_event") & (F.col("freshness") != "hidden"))
 
 
-@query("f7_bbox_validation", "SELECT * FROM (VALUES (1, 'ok'), (2, 'INVALID_BBOX'), (3, 'BBOX_TOO_LARGE'), (4, 'INVALID_BBOX'), (5, 'INVALID_BBOX')) t(id, outcome)")
-def f7(spark, d):
-    def outcome(box):
-        try:
-            check_bbox(*box)
-            return "ok"
-        except ValueError as e:
-            return str(e)
-
-    boxes = [(0, 40, 5, 45), (5, 40, 0, 45), (0, 40, 10, 45), (None, 0, 1, 1), (0, 80, 1, 91)]
-    return spark.createDataFrame([(k + 1, outcome(b)) for k, b in enumerate(boxes)], "id int, outcome string")
-
-
 @query("w5_ordinality", "SELECT o_orderkey AS id, unnest(range(0, 3)) AS place, unnest([o_orderpriority, o_orderstatus, 'x']) AS value FROM orders")
 def w5(spark, d):
     return fx.read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.posexplode(F.array("o_orderpriority", "o_orderstatus", F.lit("x"))).alias("p", "value")).select("id", F.col("p").cast("long").alias("place"), "value")
@@ -98,26 +85,6 @@ def p29(spark, d):
     return published(spark, d).select("event_key", F.to_json(body).alias("feature"))
 
 
-def tile_features(boxes, zoom: int):
-    """(x, y) of every tile that a box (lon_min, lat_min, lon_max, lat_max) touches, one row a tile and box."""
-    x0, y1 = geo.tile_of(F.col("lon_min"), F.col("lat_min"), zoom)
-    x1, y0 = geo.tile_of(F.col("lon_max"), F.col("lat_max"), zoom)
-    spread = boxes.select("*", F.explode(F.sequence(x0, x1)).alias("x"))
-    return spread.select("*", F.explode(F.sequence(y0, y1)).alias("y"))
-
-
-_TX = lambda c, n: f"trunc(({c} + 180.0::DOUBLE) / 360.0::DOUBLE * {n})::INT"
-_TY = lambda c, n: f"trunc((1.0::DOUBLE - asinh(tan(radians({c}))) / pi()) / 2.0::DOUBLE * {n})::INT"
-
-
-@query("j14_tile_features", f"""WITH b AS (SELECT (-440000 + (i % 15) * 80000) / 100000.0::DOUBLE AS x0, (-360000 + (i % 15) * 80000) / 100000.0::DOUBLE AS x1, (4170000 + (i // 15) * 60000) / 100000.0::DOUBLE AS y0, (4230000 + (i // 15) * 60000) / 100000.0::DOUBLE AS y1 FROM range(150) t(i)),
-  x AS (SELECT *, unnest(range({_TX("x0", 512)}, {_TX("x1", 512)} + 1)) AS x FROM b), y AS (SELECT x, unnest(range({_TY("y1", 512)}, {_TY("y0", 512)} + 1)) AS y FROM x) SELECT x::INT AS x, y::INT AS y, count(*) AS features FROM y GROUP BY 1, 2""")
-def j14(spark, d):
-    from firegrid.plans.relational import areas
-
-    return tile_features(areas(spark), 9).groupBy("x", "y").agg(F.count("*").alias("features"))
-
-
 @query("q18_territory_children", with_views("terr") + " SELECT t.slug, t.name FROM terr t JOIN terr p ON p.type = 'region' AND p.code = t.parent_code WHERE p.slug = 'europe' AND t.status IN ('pilot', 'active')")
 def q18(spark, d):
     t = fx.territories(spark, d)
@@ -147,15 +114,6 @@ def c9(spark, d):
     return rows.select("source_key", "records_read", F.date_format("finished_at", "yyyy-MM-dd").alias("finished"), stamp(fixed).alias("data_at"))
 
 
-@query("s28_remaining_sets", "SELECT 'calib-r' || r || '-w' || w || '-s0.35' AS version FROM (VALUES (1000), (1500), (2000), (2500), (3000), (4000), (5000)) a(r), (VALUES (6), (12), (24), (48)) b(w) WHERE r <> 2500")
-def s28(spark, d):
-    from firegrid.operators.clustering import crossed_grid
-
-    sets = spark.createDataFrame([(p.version,) for p in crossed_grid()], "version string")
-    measured = sets.filter("version like 'calib-r2500%' or version not like '%-s0.35'")
-    return sets.join(measured, "version", "left_anti")
-
-
 @query("st_daily_counts", with_views("det") + " SELECT sensor, strftime(acquired_at, '%Y-%m-%d') AS day, count(*) AS n FROM det GROUP BY ALL")
 def st_daily(spark, d):
     from firegrid.streaming.pipeline import daily_counts

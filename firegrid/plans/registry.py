@@ -23,7 +23,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from firegrid.plans import clusters, ingest, lifecycle, more, relational, scalars, surface  # noqa: F401
+    from firegrid.plans import clusters, derived, ingest, lifecycle, more, relational, scalars, surface  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

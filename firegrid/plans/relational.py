@@ -305,11 +305,6 @@ def r12(spark, d):
     return clustering.timeline_entries(events(spark, d), fx.now()).select("event_key", "entry_type", F.col("deduplication_key").alias("key"), "title")
 
 
-@query("x11_parameter_grid", "SELECT 'calib-r' || r || '-w' || w || '-s' || s AS version, r AS radius, w AS window_h, s AS threshold FROM (VALUES (1000), (1500), (2000), (2500), (3000), (4000), (5000)) a(r), (VALUES (6), (12), (24), (48)) b(w), (VALUES ('0.20'), ('0.35'), ('0.50'), ('0.65')) c(s)")
-def x11(spark, d):
-    return spark.createDataFrame([(p.version, int(p.base_radius_m), int(p.attach_window_hours), f"{p.min_score:.2f}") for p in clustering.crossed_grid()], "version string, radius int, window_h int, threshold string")
-
-
 @query("u6_parallel_arrays", "SELECT o_orderkey AS id, unnest(['a', 'b', 'c']) AS code, unnest([o_orderkey, o_custkey, 0]) AS value FROM orders")
 def u6(spark, d):
     pairs = F.arrays_zip(F.array(F.lit("a"), F.lit("b"), F.lit("c")).alias("code"), F.array("o_orderkey", "o_custkey", F.lit(0).cast("long")).alias("value"))
@@ -328,5 +323,3 @@ def a17(spark, d):
 @query("f13_substantiated", EVENTS + " SELECT level IN ('medium', 'high') AS substantiated, count(*) AS n FROM ev GROUP BY 1")
 def f13(spark, d):
     return events(spark, d).groupBy(F.col("confidence_level").isin("medium", "high").alias("substantiated")).agg(F.count("*").alias("n"))
-
-

@@ -211,15 +211,6 @@ def p24(spark, d):
     return fx.detections(spark, d).groupBy(x.alias("x"), y.alias("y")).agg(F.count("*").alias("n"))
 
 
-@query(
-    "p25_tile_bands",
-    "SELECT a.range AS z, b.range AS band, 10 * a.range + b.range * ceil((a.range + 7) / least(3, a.range + 7)::DOUBLE)::BIGINT AS first, least(10 * a.range + (b.range + 1) * ceil((a.range + 7) / least(3, a.range + 7)::DOUBLE)::BIGINT - 1, 11 * a.range + 6) AS last FROM range(1, 12) a, range(0, 3) b WHERE b.range * ceil((a.range + 7) / 3.0) < a.range + 7",
-)
-def p25(spark, d):
-    rows = [(z, k, a, b) for z in range(1, 12) for k, (a, b) in enumerate(geo.column_bands(10 * z, 11 * z + 6, 3))]
-    return spark.createDataFrame(rows, "z long, band long, first long, last long")
-
-
 _ALPHABET = "0123456789ABCDEFGHJKMNPQRSTVWXYZ"
 
 
@@ -280,9 +271,3 @@ def f21(spark, d):
         F.count("*").alias("rows"), bad("not (latitude between -90 and 90 and longitude between -180 and 180)").alias("bad_coordinates"), bad("frp_mw < 1").alias("bad_frp"),
         bad("not confidence_score between 0 and 1").alias("bad_confidence"), bad("type is null").alias("no_type"),
     )
-
-
-@query("u5_generators", "SELECT strftime(m, '%Y-%m') AS month, x, y FROM generate_series(TIMESTAMP '2012-01-01', TIMESTAMP '2026-08-01', INTERVAL 1 MONTH) t(m), range(0, 3) a(x), range(0, 2) b(y)")
-def u5(spark, d):
-    grid = spark.range(1).select(F.explode(F.expr("sequence(timestamp '2012-01-01', timestamp '2026-08-01', interval 1 month)")).alias("m"))
-    return grid.select(F.date_format("m", "yyyy-MM").alias("month"), F.explode(F.expr("sequence(0L, 2L)")).alias("x")).select("month", "x", F.explode(F.expr("sequence(0L, 1L)")).alias("y"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from firegrid.functions import rules, text
@@ -27,6 +27,12 @@ def check_bbox(min_lon, min_lat, max_lon, max_lat) -> None:
         raise ValueError("BBOX_TOO_LARGE")
 
 
+def bbox_outcome(min_lon: Column, min_lat: Column, max_lon: Column, max_lat: Column) -> Column:
+    """check_bbox() over columns: ok, or the error's name."""
+    valid = (min_lon < max_lon) & (min_lat < max_lat) & (min_lon >= -180) & (max_lon <= 180) & (min_lat >= -90) & (max_lat <= 90)
+    return F.when(~F.coalesce(valid, F.lit(False)), "INVALID_BBOX").when((max_lon - min_lon) * (max_lat - min_lat) > MAX_AREA_DEG2, "BBOX_TOO_LARGE").otherwise("ok")
+
+
 def fires_in_bbox(published: DataFrame, min_lon, min_lat, max_lon, max_lat, since: str | None = None, limit: int | None = None) -> DataFrame:
     """Events in a box, latest first; the bounds are plain comparisons that reach the scan."""
     check_bbox(min_lon, min_lat, max_lon, max_lat)

@@ -95,6 +95,23 @@ def windows(spark: SparkSession, end: str, history_days: int, chunk_days: int) -
     )
 
 
+def split_boxes(boxes: DataFrame, span: float = 10.0) -> DataFrame:
+    """split_bbox() over rows (min_lon, min_lat, max_lon, max_lat, other columns): a row a tile."""
+    parts = lambda low, high: F.greatest(F.lit(1), F.ceil((F.col(high) - F.col(low)) / span)).cast("int")
+    sized = boxes.withColumn("_nx", parts("min_lon", "max_lon")).withColumn("_ny", parts("min_lat", "max_lat"))
+    tiles = sized.withColumn("_i", F.explode(F.expr("sequence(0, _nx - 1)"))).withColumn("_j", F.explode(F.expr("sequence(0, _ny - 1)")))
+    dx, dy = (F.col("max_lon") - F.col("min_lon")) / F.col("_nx"), (F.col("max_lat") - F.col("min_lat")) / F.col("_ny")
+    box = {"min_lon": F.col("min_lon") + F.col("_i") * dx, "min_lat": F.col("min_lat") + F.col("_j") * dy, "max_lon": F.col("min_lon") + (F.col("_i") + 1) * dx, "max_lat": F.col("min_lat") + (F.col("_j") + 1) * dy}
+    return tiles.select(*(c for c in boxes.columns if c not in box), *(x.alias(c) for c, x in box.items()))
+
+
+def history_windows(histories: DataFrame, chunk_days: int) -> DataFrame:
+    """windows() over rows (end date, history_days, other columns): start and days of every chunk; no days, no chunks."""
+    days = F.col("history_days").cast("int")
+    offsets = F.when(days > 0, F.sequence(F.lit(0), days - 1, F.lit(chunk_days)))
+    return histories.withColumn("_o", F.explode(offsets)).withColumn("start", F.date_add("end", F.col("_o") - days)).withColumn("days", F.least(F.lit(chunk_days), days - F.col("_o"))).drop("_o")
+
+
 _WARNING = (
     "struct<product:struct<warning_type:string,version_cdp:string,version_vigilance:string,update_time:string,domain_id:string,"
     "periods:array<struct<echeance:string,begin_validity_time:string,end_validity_time:string,timelaps:struct<domain_ids:array<struct<domain_id:string,"

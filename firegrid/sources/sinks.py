@@ -5,8 +5,9 @@ from __future__ import annotations
 from contextlib import contextmanager
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
 DETECTION_KEY = ["provider_key", "acquired_at"]
 
@@ -94,14 +95,43 @@ def calibration_guard(calibration_root: str, serving_root: str) -> None:
         raise ValueError("calibration output must lie outside the served tables")
 
 
-def redact(df: DataFrame, sensitive: tuple[str, ...] = ("key", "token", "secret", "password", "authorization")) -> DataFrame:
-    """Mask columns with sensitive names, and such keys of map<string,string> columns."""
-    hit = lambda name: any(s in name.lower() for s in sensitive)
+SENSITIVE = ("key", "token", "secret", "password", "authorization")
+
+
+def redact(df: DataFrame, sensitive: tuple[str, ...] = SENSITIVE) -> DataFrame:
+    """Mask what stands under a sensitive name at any depth: columns, fields of structs, keys of maps, also within arrays.
+
+    A name is sensitive if it holds one of the words in any case. The walk follows the schema,
+    so each value is rewritten by expressions alone; nulls stay null, and a masked value that is no
+    string becomes null, as its type has no mask.
+    """
     pattern = "(?i)(" + "|".join(sensitive) + ")"
-    out = {}
-    for name, kind in df.dtypes:
-        if hit(name):
-            out[name] = F.lit("[redacted]")
-        elif kind == "map<string,string>":
-            out[name] = F.transform_values(name, lambda k, v: F.when(k.rlike(pattern), "[redacted]").otherwise(v))
-    return df.withColumns(out) if out else df
+    hit = lambda name: any(s in name.lower() for s in sensitive)
+
+    def mask(kind: DataType, value: Column) -> Column:
+        if isinstance(kind, StringType):
+            return F.when(value.isNotNull(), "[redacted]")
+        return F.lit(None).cast(kind)
+
+    def held(kind: DataType) -> bool:
+        """Whether a sensitive name can stand anywhere within the type."""
+        if isinstance(kind, StructType):
+            return any(hit(f.name) or held(f.dataType) for f in kind.fields)
+        if isinstance(kind, ArrayType):
+            return held(kind.elementType)
+        return isinstance(kind, MapType) and (isinstance(kind.keyType, StringType) or held(kind.valueType))
+
+    def clean(kind: DataType, value: Column) -> Column:
+        if not held(kind):
+            return value
+        if isinstance(kind, StructType):
+            fields = [(mask if hit(f.name) else clean)(f.dataType, value.getField(f.name)).alias(f.name) for f in kind.fields]
+            return F.when(value.isNotNull(), F.struct(*fields))
+        if isinstance(kind, ArrayType):
+            return F.transform(value, lambda x: clean(kind.elementType, x))
+        inner = lambda k, v: clean(kind.valueType, v)
+        if isinstance(kind.keyType, StringType):
+            inner = lambda k, v: F.when(k.rlike(pattern), mask(kind.valueType, v)).otherwise(clean(kind.valueType, v))
+        return F.transform_values(value, inner)
+
+    return df.select(*((mask if hit(f.name) else clean)(f.dataType, F.col(f"`{f.name}`")).alias(f.name) for f in df.schema.fields))
