@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from firegrid.functions import geo
-from firegrid.operators import calibration, clustering, tiles
+from firegrid.operators import calibration, clustering, coverage, search, tiles
 from firegrid.plans.registry import query
 from firegrid.plans.surface import bbox_outcome
 from firegrid.sources import fixtures as fx
@@ -127,3 +127,45 @@ def p31(spark, d):
         ).alias("payload"),
     )
     return sinks.redact(body).select("id", F.to_json("payload").alias("payload"))
+
+
+_BRICK = "0.00390625::DOUBLE"
+
+
+def _bricks(spark, d):
+    """Every customer's brick on a wall 1000 bricks wide; odd rows are half a brick further, so all joints are T-junctions."""
+    k = F.col("c_custkey").cast("long")
+    x, y = k % 1000, F.expr("c_custkey div 1000")
+    side = F.lit(1 / 256)
+    place = fx.read(spark, d, "customer").select(k.cast("string").alias("code"), F.expr("c_custkey % 1000 div 100").alias("department"), F.expr("c_custkey % 1000 div 400").alias("region"), ((x + (y % 2) / 2) * side).alias("lon"), (y * side).alias("lat"))
+    corner = lambda i, j: F.struct((F.col("lon") + i * side).alias("lon"), (F.col("lat") + j * side).alias("lat"))
+    ring = F.array(*(corner(i, j) for i, j in ((0, 0), (1, 0), (1, 1), (0, 1), (0, 0))))
+    return place.select("code", "department", "region", F.lit(0).cast("long").alias("country"), F.array(ring).alias("rings"))
+
+
+@query("a27_dissolved_levels", f"""WITH b AS (SELECT c_custkey % 1000 // 100 AS department, c_custkey % 1000 // 400 AS region FROM customer), a AS (SELECT 'department' AS level, department AS code FROM b UNION ALL SELECT 'region', region FROM b UNION ALL SELECT 'country', 0 FROM b)
+  SELECT level, code::BIGINT AS code, count(*) * {_BRICK} * {_BRICK} AS area FROM a GROUP BY 1, 2""")
+def a27(spark, d):
+    """Departments, regions and the country out of all bricks: their areas add up only if every inner joint cancels."""
+    levels = coverage.dissolve_levels(_bricks(spark, d), "code", ["department", "region", "country"])
+    rows = [coverage.planar_area(edges, key).select(F.lit(key).alias("level"), F.col(key).cast("long").alias("code"), "area") for key, edges in levels.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+@query("g14_simplified_coverage", f"SELECT c_custkey::VARCHAR AS code, {_BRICK} * {_BRICK} AS area FROM customer")
+def g14(spark, d):
+    """All bricks, simplified together: straight borders lose no area."""
+    small = coverage.simplify_coverage(_bricks(spark, d).select("code", "rings"), "code", 1e-6)
+    edges = small.select("code", F.explode("rings").alias("r")).select("code", F.explode(F.arrays_zip(F.slice("r", F.lit(1), F.size("r") - 1).alias("a"), F.slice("r", F.lit(2), F.size("r") - 1).alias("b"))).alias("e"))
+    return coverage.planar_area(edges.select("code", F.col("e.a.lon").alias("x0"), F.col("e.a.lat").alias("y0"), F.col("e.b.lon").alias("x1"), F.col("e.b.lat").alias("y1")), "code")
+
+
+@query("q8_many_searches", with_views("muni") + """, m AS (SELECT *, trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')) AS n FROM muni WHERE NOT is_retired), w AS (SELECT s_suppkey AS search_id, trim(regexp_replace(lower('customer ' || lpad((s_suppkey * 7)::VARCHAR, 9, '0')), '[^a-z0-9]+', ' ', 'g')) AS q FROM supplier),
+  tm AS (SELECT *, list_distinct(flatten(list_transform(string_split(n, ' '), lambda w: list_transform(range(0, length(w) + 1), lambda i: substr('  ' || w || ' ', i + 1, 3))))) AS a FROM m), tw AS (SELECT *, list_distinct(flatten(list_transform(string_split(q, ' '), lambda w: list_transform(range(0, length(w) + 1), lambda i: substr('  ' || w || ' ', i + 1, 3))))) AS b FROM w),
+  s AS (SELECT search_id, insee_code, name, n, q, len(list_intersect(a, b))::DOUBLE / (len(a) + len(b) - len(list_intersect(a, b))) AS alike FROM tm, tw),
+  r AS (SELECT *, row_number() OVER (PARTITION BY search_id ORDER BY n = q DESC, starts_with(n, q) DESC, alike DESC, name, insee_code) AS place FROM s WHERE starts_with(n, q) OR alike >= 0.3) SELECT search_id, place, insee_code, round(alike, 6) AS similarity FROM r WHERE place <= 10""")
+def q8_many(spark, d):
+    """A search of ten places for every supplier, in one join."""
+    wanted = fx.read(spark, d, "supplier").select(F.col("s_suppkey").alias("search_id"), F.concat(F.lit("Customer "), F.lpad((F.col("s_suppkey") * 7).cast("string"), 9, "0")).alias("q"))
+    found = search.search_many(fx.municipalities(spark, d).filter("not is_retired"), wanted, 10)
+    return found.select("search_id", "place", "insee_code", F.round("similarity", 6).alias("similarity"))
