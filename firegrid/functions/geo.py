@@ -146,6 +146,31 @@ def geodesic_m(lon1, lat1, lon2, lat2) -> np.ndarray:
     return _B * a * (sigma - d)
 
 
+def geodesic_direct(lon, lat, azimuth, metres) -> tuple[np.ndarray, np.ndarray]:
+    """Where geodesics of some metres at azimuths (radians from north) end: longitudes and latitudes, by Vincenty's direct iteration."""
+    lon, phi, turn, way = np.broadcast_arrays(*(np.asarray(x, float) for x in (lon, np.radians(lat), azimuth, metres)))
+    tan_u = (1 - _F) * np.tan(phi)
+    cos_u = 1 / np.sqrt(1 + tan_u**2)
+    sin_u, sin_t, cos_t = tan_u * cos_u, np.sin(turn), np.cos(turn)
+    first = np.arctan2(tan_u, cos_t)
+    sin_a = cos_u * sin_t
+    ca2 = 1 - sin_a**2
+    u = ca2 * (_A**2 - _B**2) / _B**2
+    big = 1 + u / 16384 * (4096 + u * (-768 + u * (320 - 175 * u)))
+    small = u / 1024 * (256 + u * (-128 + u * (74 - 47 * u)))
+    sigma = way / (_B * big)
+    for _ in range(20):
+        middle = np.cos(2 * first + sigma)
+        wave = small * np.sin(sigma) * (middle + small / 4 * (np.cos(sigma) * (2 * middle**2 - 1) - small / 6 * middle * (4 * np.sin(sigma) ** 2 - 3) * (4 * middle**2 - 3)))
+        sigma = way / (_B * big) + wave
+    ss, cs, middle = np.sin(sigma), np.cos(sigma), np.cos(2 * first + sigma)
+    end = np.arctan2(sin_u * cs + cos_u * ss * cos_t, (1 - _F) * np.hypot(sin_a, sin_u * ss - cos_u * cs * cos_t))
+    turned = np.arctan2(ss * sin_t, cos_u * cs - sin_u * ss * cos_t)
+    c = _F / 16 * ca2 * (4 + _F * (4 - 3 * ca2))
+    shift = turned - (1 - c) * _F * sin_a * (sigma + c * ss * (middle + c * cs * (2 * middle**2 - 1)))
+    return lon + np.degrees(shift), np.degrees(end)
+
+
 def convex_hull(points: np.ndarray) -> np.ndarray:
     """Vertices of the convex hull of n x 2 points, counter-clockwise, by a monotone chain."""
     pts = np.unique(np.asarray(points, float), axis=0)

@@ -13,10 +13,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from firegrid.functions.geo import METRES_PER_DEGREE, convex_hull, ring_area_km2
+from firegrid.functions.geo import _A, _F, convex_hull, geodesic_direct, ring_area_km2
 
 RING = "array<struct<lon:double,lat:double>>"
 HALF_PIXEL_M = 190
+_E2 = _F * (2 - _F)
 
 
 def _ring(points: np.ndarray) -> list[dict]:
@@ -110,26 +111,142 @@ def simplify(rings: str, tolerance: float = 0.001) -> Column:
     return F.pandas_udf(run, f"array<{RING}>")(rings)
 
 
-def buffered_hull(lon: str, lat: str, metres: float = HALF_PIXEL_M, corners: int = 32) -> Column:
-    """Ring around the convex hull of two arrays of coordinates, widened by a polygon of `corners` corners.
+def _buffer(hull: np.ndarray, metres: float, corners: int) -> np.ndarray:
+    """The closed ring `metres` outside a convex hull (counter-clockwise): arcs of geodesics around its vertices.
 
-    The hull of all corner circles contains the exact buffer's polygon with the same corners.
+    An arc spans the turn between the outward normals of the edges before and after its vertex, so
+    its points have that vertex as the hull's nearest place; the arcs are joined by lines.
     """
+    if len(hull) == 1:
+        x, y = geodesic_direct(hull[0, 0], hull[0, 1], -np.linspace(0, 2 * math.pi, corners, endpoint=False), metres)
+        ring = np.column_stack([x, y])
+        return np.vstack([ring, ring[:1]])
+    after = np.roll(hull, -1, axis=0) - hull
+    # Metres a degree at each vertex: along the meridian and along the parallel.
+    bend = 1 - _E2 * np.sin(np.radians(hull[:, 1])) ** 2
+    north = _A * (1 - _E2) / bend**1.5
+    east = _A * np.cos(np.radians(hull[:, 1])) / np.sqrt(bend)
+    out = []
+    for k in range(len(hull)):
+        before = -after[k - 1]  # back along the edge that arrives
+        ahead = after[k]
+        # Azimuths of the outward normals: to the right of the way round.
+        normal = lambda way: math.atan2(way[0] * east[k], way[1] * north[k]) + math.pi / 2  # noqa: B023, E731
+        start, end = normal(-before), normal(ahead)
+        turn = (start - end) % (2 * math.pi)
+        steps = max(1, math.ceil(turn / (2 * math.pi) * corners))
+        x, y = geodesic_direct(hull[k, 0], hull[k, 1], start - turn * np.arange(steps + 1) / steps, metres)
+        out.append(np.column_stack([x, y]))
+    ring = np.vstack(out)
+    return np.vstack([ring, ring[:1]])
+
+
+def buffered_hull(lon: str, lat: str, metres: float = HALF_PIXEL_M, corners: int = 32) -> Column:
+    """Ring of points at `metres` from the convex hull of two arrays of coordinates, by geodesics; `corners` points a full turn. Empty arrays give null."""
 
     def run(xs: pd.Series, ys: pd.Series) -> pd.Series:
-        turn = np.linspace(0, 2 * math.pi, corners, endpoint=False)
-        out = []
-        for x, y in zip(xs, ys, strict=True):
-            hull = convex_hull(np.column_stack([x, y]))
-            scale = math.cos(math.radians(hull[:, 1].mean()))
-            circle = np.column_stack([np.cos(turn) * metres / METRES_PER_DEGREE / scale, np.sin(turn) * metres / METRES_PER_DEGREE])
-            wide = convex_hull((hull[:, None, :] + circle[None, :, :]).reshape(-1, 2))
-            out.append(_ring(np.vstack([wide, wide[:1]])))
-        return pd.Series(out)
+        return pd.Series([_ring(_buffer(convex_hull(np.column_stack([x, y])), metres, corners)) if x is not None and len(x) else None for x, y in zip(xs, ys, strict=True)])
 
     return F.pandas_udf(run, RING)(lon, lat)
 
 
+def buffered_groups(points: DataFrame, key: str, metres: float = HALF_PIXEL_M, parts: int = 64) -> DataFrame:
+    """(key, ring): the buffered hull of every group of `points` (key, longitude, latitude).
+
+    Points are hulled in up to `parts` pieces of a group first, so no task holds a large group whole; hulls of hulls are the hull.
+    """
+    kind = dict(points.dtypes)[key]
+
+    def local(pdf: pd.DataFrame) -> pd.DataFrame:
+        hull = convex_hull(pdf[["longitude", "latitude"]].to_numpy())
+        return pd.DataFrame({key: [pdf[key].iloc[0]], "lon": [hull[:, 0].tolist()], "lat": [hull[:, 1].tolist()]})
+
+    dealt = points.select(key, "longitude", "latitude").dropna(subset=["longitude", "latitude"]).withColumn("_part", F.pmod(F.xxhash64("longitude", "latitude"), F.lit(parts)))
+    hulls = dealt.groupBy(key, "_part").applyInPandas(local, f"{key} {kind}, lon array<double>, lat array<double>")
+    whole = hulls.groupBy(key).agg(F.flatten(F.collect_list(F.struct("lon", "lat"))["lon"]).alias("lon"), F.flatten(F.collect_list(F.struct("lon", "lat"))["lat"]).alias("lat"))
+    return whole.select(key, buffered_hull("lon", "lat", metres).alias("ring"))
+
+
+def _crossings(p: np.ndarray, q: np.ndarray) -> list[list[tuple[float, float, float]]]:
+    """For every segment p..q the (share, x, y) of places where others cross or touch it, by a sweep over x."""
+    low, high = np.minimum(p, q), np.maximum(p, q)
+    order = np.argsort(low[:, 0], kind="stable")
+    found = [[] for _ in p]
+    for at, i in enumerate(order):
+        until = np.searchsorted(low[order, 0], high[i, 0], "right")
+        js = order[at + 1 : until]
+        js = js[(low[js, 1] <= high[i, 1]) & (high[js, 1] >= low[i, 1])]
+        if not len(js):
+            continue
+        d, e, f = q[i] - p[i], q[js] - p[js], p[js] - p[i]
+        cross = d[0] * e[:, 1] - d[1] * e[:, 0]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            t, u = (f[:, 0] * e[:, 1] - f[:, 1] * e[:, 0]) / cross, (f[:, 0] * d[1] - f[:, 1] * d[0]) / cross
+        for k in np.flatnonzero((cross != 0) & (t >= 0) & (t <= 1) & (u >= 0) & (u <= 1)):
+            ends = [(0.0, p[i]), (1.0, q[i])], [(0.0, p[js[k]]), (1.0, q[js[k]])]
+            near = [e for s, e in (*ends[0], *ends[1]) if (s in (t[k], u[k])) and np.allclose(e, p[i] + t[k] * d, rtol=0, atol=1e-12)]
+            x, y = near[0] if near else np.round(p[i] + t[k] * d, 10)
+            found[i].append((float(t[k]), float(x), float(y)))
+            found[js[k]].append((float(u[k]), float(x), float(y)))
+        for k in np.flatnonzero((cross == 0) & (d[0] * f[:, 1] - d[1] * f[:, 0] == 0)):  # on one line: ends that lie on the other
+            for a, b in ((i, js[k]), (js[k], i)):
+                way = q[a] - p[a]
+                for v in (p[b], q[b]):
+                    t = float((v - p[a]) @ way / (way @ way))
+                    if 0 <= t <= 1:
+                        found[a].append((t, float(v[0]), float(v[1])))
+    return found
+
+
+def repaired(rings: list[np.ndarray]) -> list[np.ndarray]:
+    """Closed rings that enclose what the given ones enclose an odd number of times, without crossings.
+
+    Segments are split where they cross; what an even number of segments covers falls away. Each
+    segment left has the inside on one side, which a count of crossings to its left tells, and they
+    are chained into rings: outer ones turn left, holes right.
+    """
+    from firegrid.operators.coverage import _chained
+
+    ends = [(r[:-1], r[1:]) for r in rings if len(r) >= 4]
+    if not ends:
+        return []
+    p, q = np.vstack([a for a, _ in ends]), np.vstack([b for _, b in ends])
+    # Each segment once, in one direction, so that equal ones are cut alike; pairs of them fall away.
+    both, times = np.unique([sorted((v, w)) for v, w in zip(p.tolist(), q.tolist(), strict=True) if v != w] or np.empty((0, 2, 2)), axis=0, return_counts=True)
+    p, q = both[times % 2 == 1][:, 0], both[times % 2 == 1][:, 1]
+    count: dict[tuple, int] = {}
+    for a, b, cuts in zip(p.tolist(), q.tolist(), _crossings(p, q) if len(p) else [], strict=True):
+        line = [tuple(a), *((x, y) for _, x, y in sorted(cuts)), tuple(b)]
+        for v, w in zip(line, line[1:], strict=False):
+            if v != w:
+                count[min(v, w), max(v, w)] = count.get((min(v, w), max(v, w)), 0) + 1
+    odd = [(*v, *w) for (v, w), n in sorted(count.items()) if n % 2]
+    if not odd:
+        return []
+    s = np.array(odd)
+    middle, way = (s[:, :2] + s[:, 2:]) / 2, s[:, 2:] - s[:, :2]
+    left = np.zeros(len(s), bool)
+    for k in range(len(s)):  # crossings of the ray to the west (or south, for level segments) of the segment's middle
+        axis = 1 if way[k, 1] != 0 else 0
+        spans = (s[:, axis] > middle[k, axis]) != (s[:, 2 + axis] > middle[k, axis])
+        spans[k] = False
+        other = 1 - axis
+        at = s[spans, other] + (middle[k, axis] - s[spans, axis]) / (s[spans, 2 + axis] - s[spans, axis]) * (s[spans, 2 + other] - s[spans, other])
+        inside = np.count_nonzero(at < middle[k, other]) % 2 == 1  # just before the segment on that ray
+        left[k] = inside == (way[k, 1] > 0 if axis == 1 else way[k, 0] < 0)
+    a, b = np.where(left[:, None], s[:, :2], s[:, 2:]), np.where(left[:, None], s[:, 2:], s[:, :2])
+    return [r for r in _chained(a[:, 0].tolist(), a[:, 1].tolist(), b[:, 0].tolist(), b[:, 1].tolist()) if len(r) >= 4]
+
+
+def repaired_rings(rings: str) -> Column:
+    """A column of polygons (arrays of closed rings) made valid by the even-odd rule; a null stays null, and what has no area is empty."""
+
+    def run(column: pd.Series) -> pd.Series:
+        return pd.Series([None if polygon is None else [_ring(r) for r in repaired([_array(x) for x in polygon])] for polygon in column])
+
+    return F.pandas_udf(run, f"array<{RING}>")(rings)
+
+
 def area_km2(rings: str) -> Column:
     """Area of a polygon's first ring less its holes."""
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from contextlib import contextmanager
 from datetime import UTC, datetime
 
@@ -89,6 +90,66 @@ def import_run(spark: SparkSession, path: str, source: str, job: str):
         spark.createDataFrame([tuple(run[c.split()[0]] for c in schema.split(", "))], schema).coalesce(1).write.mode("append").parquet(path)
 
 
+class Busy(RuntimeError):
+    """Another run holds the lease."""
+
+
+@contextmanager
+def exclusive(spark: SparkSession, folder: str, owner: str, seconds: float, now=time.time):
+    """Hold the lease of `folder` while the body runs; raises Busy where another owner's lease has not expired.
+
+    Leases are numbered files, each with owner and expiry; the highest number counts. Taking one over, extending
+    and giving it back all create the next number, which the file system does for one caller only,
+    so two runs that see an expired lease cannot both get it. A file that is still empty counts as held.
+    The yielded function extends the lease; it raises Busy if the lease was lost meanwhile.
+    """
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(root)
+
+    def newest() -> tuple[int, str, float]:
+        names = [s.getPath().getName() for s in fs.listStatus(root)]
+        number = max((int(n.removeprefix("lease-")) for n in names if n.startswith("lease-")), default=0)
+        if not number:
+            return 0, "", 0.0
+        stream = fs.open(jvm.org.apache.hadoop.fs.Path(root, f"lease-{number}"))
+        try:
+            words = bytes(stream.readAllBytes()).decode().split("\n")
+        finally:
+            stream.close()
+        return (number, words[0], float(words[1])) if len(words) == 3 else (number, "", float("inf"))
+
+    def write(number: int, until: float) -> None:
+        try:
+            out = fs.create(jvm.org.apache.hadoop.fs.Path(root, f"lease-{number}"), False)
+        except Exception as e:  # another caller has made this number
+            raise Busy(f"lease {number} of {folder} is taken") from e
+        out.write(f"{owner}\n{until}\n".encode())
+        out.close()
+        for old in range(max(1, number - 3), number - 1):
+            fs.delete(jvm.org.apache.hadoop.fs.Path(root, f"lease-{old}"), False)
+
+    number, holder, until = newest()
+    if until > now():
+        raise Busy(f"{holder or 'another run'} holds {folder} until {until}")
+    held = number + 1
+    write(held, now() + seconds)
+
+    def extend() -> None:
+        nonlocal held
+        if newest()[0] != held:
+            raise Busy(f"the lease of {folder} was lost")
+        held += 1
+        write(held, now() + seconds)
+
+    try:
+        yield extend
+    finally:
+        if newest()[0] == held:
+            write(held + 1, 0.0)
+
+
 def calibration_guard(calibration_root: str, serving_root: str) -> None:
     """Refuse to calibrate into the served tables."""
     if calibration_root.rstrip("/") == serving_root.rstrip("/") or calibration_root.startswith(serving_root.rstrip("/") + "/"):
