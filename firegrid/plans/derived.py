@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from firegrid.functions import geo
-from firegrid.operators import calibration, clustering, coverage, search, tiles
+from firegrid.operators import calibration, clustering, coverage, event_state, search, shapes, spatial, tiles
 from firegrid.plans.registry import query
 from firegrid.plans.surface import bbox_outcome
 from firegrid.sources import fixtures as fx
@@ -169,3 +169,53 @@ def q8_many(spark, d):
     wanted = fx.read(spark, d, "supplier").select(F.col("s_suppkey").alias("search_id"), F.concat(F.lit("Customer "), F.lpad((F.col("s_suppkey") * 7).cast("string"), 9, "0")).alias("q"))
     found = search.search_many(fx.municipalities(spark, d).filter("not is_retired"), wanted, 10)
     return found.select("search_id", "place", "insee_code", F.round("similarity", 6).alias("similarity"))
+
+
+_MOVED = "(({}) + 716.0::DOUBLE) % 360.0::DOUBLE - 180.0::DOUBLE"
+_APART = "((d.longitude - s.lon2 + 540.0::DOUBLE) % 360.0::DOUBLE - 180.0::DOUBLE)"
+_LEVEL = "radians((d.latitude + s.lat2) / 2)"
+_METRES = f"sqrt((radians(d.latitude - s.lat2) * 6335439.32729 / (1 - 0.00669437999014 * sin({_LEVEL}) ** 2) ** 1.5) ** 2 + (radians({_APART}) * 6378137.0 * cos({_LEVEL}) / sqrt(1 - 0.00669437999014 * sin({_LEVEL}) ** 2)) ** 2)"
+
+
+@query("g16_radius_anywhere", with_views("det") + f""", d AS (SELECT {_MOVED.format("longitude")} AS longitude, latitude + 37.0::DOUBLE AS latitude FROM det),
+  s AS (SELECT DISTINCT user_id, {_MOVED.format("((17600000 + (user_id % 15) * 80000 + (user_id // 150) * 1200000) % 36000000 - 18000000) / 100000.0::DOUBLE")} AS lon2, (7900000 + ((user_id % 150) // 15) * 60000) / 100000.0::DOUBLE AS lat2, 307 + user_id % 10 * 450 AS r FROM det)
+  SELECT user_id, count(*) AS n FROM d, s WHERE abs(d.latitude - s.lat2) < 0.05 AND {_METRES} <= s.r GROUP BY 1""")
+def g16(spark, d):
+    """How many detections lie within every site's radius, all moved to 79 to 85 degrees north and around the 180th meridian."""
+    moved = lambda c: (c + 716.0) % 360.0 - 180.0
+    det = fx.detections(spark, d)
+    points = det.select(moved(F.col("longitude")).alias("longitude"), (F.col("latitude") + 37.0).alias("latitude"))
+    site = F.expr("((17600000 + (user_id % 15) * 80000 + (user_id div 150) * 1200000) % 36000000 - 18000000) / 100000.0D")
+    sites = det.select("user_id").distinct().select("user_id", moved(site).alias("lon2"), F.expr("(7900000 + (user_id % 150 div 15) * 60000) / 100000.0D").alias("lat2"), (307 + F.col("user_id") % 10 * 450).alias("r"))
+    return spatial.within_distance(points, sites, F.col("r")).groupBy("user_id").agg(F.count("*").alias("n"))
+
+
+@query("g9_repaired_rings", "SELECT c_custkey AS id, 2 AS rings, (1 + c_custkey % 8) * (1 + c_custkey % 5) / 2.0::DOUBLE AS area FROM customer")
+def g9(spark, d):
+    """A bow tie of every customer's size, repaired to its two wings."""
+    k = F.col("c_custkey")
+    w, h, zero = (1 + k % 8).cast("double"), (1 + k % 5).cast("double"), F.lit(0.0)
+    ring = F.array(*(F.struct(x.alias("lon"), y.alias("lat")) for x, y in ((zero, zero), (w, h), (w, zero), (zero, h), (zero, zero))))
+    ties = fx.read(spark, d, "customer").select(k.alias("id"), F.array(ring).alias("rings"))
+    fixed = ties.select("id", shapes.repaired_rings("rings").alias("fixed"))
+    corners = fixed.select("id", F.size("fixed").alias("rings"), F.explode("fixed").alias("r")).select("id", "rings", F.explode(F.arrays_zip(F.slice("r", F.lit(1), F.size("r") - 1).alias("a"), F.slice("r", F.lit(2), F.size("r") - 1).alias("b"))).alias("e"))
+    edges = corners.select("id", "rings", F.col("e.a.lon").alias("x0"), F.col("e.a.lat").alias("y0"), F.col("e.b.lon").alias("x1"), F.col("e.b.lat").alias("y1"))
+    return coverage.planar_area(edges, "id", "rings")
+
+
+@query("g7_site_buffers")
+def g7(spark, d):
+    """The ring at 190 m around every site's detections: its points and area."""
+    rings = shapes.buffered_groups(fx.detections(spark, d).select("user_id", "longitude", "latitude"), "user_id")
+    polygons = rings.select("user_id", F.size("ring").alias("points"), F.array("ring").alias("polygon"))
+    return polygons.select("user_id", "points", F.round(shapes.area_km2("polygon"), 6).alias("area_km2"))
+
+
+@query("x6_replay_in_slices")
+def x6(spark, d):
+    """All public detections replayed in eight slices of time, with the open events as state, against one pass."""
+    rows = clustering.rows_of(fx.detections(spark, d).filter("is_public"))
+    size = -(-rows.count() // 8)
+    sliced = clustering.partition_signature(event_state.replay_slices(rows, clustering.REFERENCE, size))
+    whole = clustering.partition_signature(clustering.cluster(rows))
+    return sliced.join(whole.select("version", F.col("signature").alias("one_pass")), "version").select("events", (F.col("signature") == F.col("one_pass")).alias("equals_one_pass"))

@@ -126,3 +126,8 @@ def test_every_order_is_a_bulletin(spark, duck):
 def test_whole_corpus_is_ordered(spark):
     got = [r.position for r in QUERIES["o1_whole_order"](spark, DATA).collect()]
     assert got == list(range(1, QUERIES["x9_corpus_merge"](spark, DATA).count() + 1)) and len(got) > 100
+
+
+@pytest.mark.skipif(not Path(DATA).exists(), reason="no test tables here")
+def test_slices_replay_to_the_same_partition(spark):
+    assert [r.equals_one_pass for r in QUERIES["x6_replay_in_slices"](spark, DATA).collect()] == [True]
