@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from firegrid.llm import bpe, exact_dedup, jaccard, licenses, line_dedup, mixing, quality, secrets, toxicity, url_rules
+from firegrid.llm import alignment, bpe, exact_dedup, jaccard, licenses, line_dedup, mixing, periodic, quality, secrets, toxicity, url_rules, wavelet
 from tests.llm.test_filters import DOCS
 
 LABELS = "doc_id long, quality int, toxic int"
@@ -17,6 +17,7 @@ REPORTS = {
     "quality": lambda d, m: quality.judge_quality(d, m), "exact": lambda d, m: exact_dedup.copy_groups(d), "mixing": lambda d, m: mixing.mix_report(d),
     "licenses": lambda d, m: licenses.license_report(d), "secrets": lambda d, m: secrets.secret_report(d), "jaccard": lambda d, m: jaccard.similar_groups(d, jaccard.Threshold(3, 90)),
     "bpe": lambda d, m: bpe.encoding_digests(d), "toxicity": lambda d, m: toxicity.score_toxicity(d, m), "lines": lambda d, m: line_dedup.line_report(d),
+    "alignment": lambda d, m: alignment.alignment_report(d), "periodic": lambda d, m: periodic.run_report(periodic.with_planted_periods(d)), "wavelet": lambda d, m: wavelet.token_report(d),
 }
 KEEPERS = {
     "exact": lambda d, m: exact_dedup.drop_copies(d), "jaccard": lambda d, m: jaccard.keep_one_of_each(d, jaccard.Threshold(5, 80)),
@@ -48,7 +49,7 @@ def labels(spark):
 def test_every_row_gets_a_row(spark, odd, labels, name):
     got = REPORTS[name](odd, labels).collect()
     assert Counter(r.doc_id for r in got) == Counter(r.doc_id for r in odd.select("doc_id").collect())
-    if name in ("quality", "licenses", "secrets", "bpe", "toxicity", "jaccard", "lines"):
+    if name in ("quality", "licenses", "secrets", "bpe", "toxicity", "jaccard", "lines", "alignment", "periodic"):
         assert len({r for r in got if r.doc_id == 60}) == 1
 
 
