@@ -274,18 +274,26 @@ def event_aggregates(members: DataFrame, key: str = "event_key", known: str = "k
 
 
 def event_shapes(members: DataFrame) -> DataFrame:
-    """(version, event_id, n, first, last, diagonal_km): hulls are merged from hulls of bounded batches.
+    """(version, event_id, n, first, last, diagonal_km): hulls are merged from the hulls of each batch's rows.
 
-    Points are hulled in map tasks first, so a large event never meets in one task whole.
+    Every Arrow batch is reduced to one hull an event before anything is shuffled, so a large event never meets in one task whole.
     """
-    hulled = members.withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(64)))
 
-    def local(pdf: pd.DataFrame) -> pd.DataFrame:
-        hull = convex_hull(pdf[["longitude", "latitude"]].to_numpy())
-        head = pdf.iloc[0]
-        return pd.DataFrame({"version": head["version"], "event_id": head["event_id"], "n": len(pdf), "first": pdf["acquired_at"].min(), "last": pdf["acquired_at"].max(), "lon": [hull[:, 0].tolist()], "lat": [hull[:, 1].tolist()]})
-
-    parts = hulled.groupBy("version", "event_id", "_part").applyInPandas(local, "version string, event_id string, n long, first timestamp, last timestamp, lon array<double>, lat array<double>")
+    def local(batches):
+        for pdf in batches:
+            code, keys = pd.factorize(pd.MultiIndex.from_frame(pdf[["version", "event_id"]]))
+            order = np.argsort(code, kind="stable")
+            starts = np.flatnonzero(np.diff(code[order], prepend=-1))
+            places, at = pdf[["longitude", "latitude"]].to_numpy()[order], pdf["acquired_at"].to_numpy()[order]
+            parts = np.split(places, starts[1:]) if len(pdf) else []
+            hulls = [x if len(x) < 3 else convex_hull(x) for x in parts]
+            yield pd.DataFrame({
+                "version": [k[0] for k in keys], "event_id": [k[1] for k in keys], "n": [len(x) for x in parts], "first": np.minimum.reduceat(at, starts) if len(pdf) else at,
+                "last": np.maximum.reduceat(at, starts) if len(pdf) else at, "lon": [h[:, 0].tolist() for h in hulls], "lat": [h[:, 1].tolist() for h in hulls],
+            })
+
+    rows = members.select("version", "event_id", "acquired_at", "longitude", "latitude")
+    parts = rows.mapInPandas(local, "version string, event_id string, n long, first timestamp, last timestamp, lon array<double>, lat array<double>")
 
     def widest(lon: pd.Series, lat: pd.Series) -> pd.Series:
         return pd.Series([diameter(convex_hull(np.column_stack([x, y]))) * 111 for x, y in zip(lon, lat, strict=True)])

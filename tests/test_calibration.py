@@ -42,3 +42,16 @@ def test_labels():
     for wrong in ("", "calib-r1000", "calib-reference,calib-reference", "calib-r1000-w6-s0.2"):
         with pytest.raises(ValueError):
             calibration.finalists(wrong)
+
+
+def test_shapes_of_events(spark):
+    """Rows, instants and diagonals of events against the plain rule over all pairs of members."""
+    data = spark.createDataFrame([(r[0], *r) for r in ROWS], "id string, provider_key string, acquired_at timestamp, longitude double, latitude double")
+    members = clustering.cluster(data).repartition(5)
+    groups = {}
+    for r in members.collect():
+        groups.setdefault(r.event_id, []).append((r.longitude, r.latitude, r.acquired_at))
+    got = {r.event_id: (r.n, r.first, r.last, round(r.diagonal_km, 9)) for r in clustering.event_shapes(members).collect()}
+    wide = lambda g: max(((a[0] - b[0]) ** 2 + (a[1] - b[1]) ** 2) ** 0.5 for a in g for b in g) * 111
+    assert got == {e: (len(g), min(x[2] for x in g), max(x[2] for x in g), round(wide(g), 9)) for e, g in groups.items()}
+    assert clustering.event_shapes(members.limit(0)).count() == 0
