@@ -29,7 +29,7 @@ END_ID = 2
 #: Tokens of a shard at most, unless one document is longer; text bytes of a part, and parts at most.
 SHARD_TOKENS, PART_BYTES, MAX_PARTS = 1 << 21, 32 << 20, 100_000
 #: A worker forgets its words before the batch that finds more of them than this; words that are encoded in one text.
-REMEMBERED_WORDS, ENCODED_TOGETHER = 1_000_000, 1024
+REMEMBERED_WORDS, ENCODED_TOGETHER = 1_200_000, 64
 _NULL_ID = -(1 << 63)
 #: Runs of letters, single digits and runs of signs; words of these alone are plain. Not among them: the
 #: apostrophe, which starts endings, the signs of special tokens, U+0130, whose lower case is no letter, and other scripts.
@@ -63,24 +63,28 @@ class Encoder:
         self.slots: dict[str, int] = {}
         self.ids, self.ends = np.empty(0, np.uint32), np.zeros(1, np.int64)
 
-    def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The words' ids, one after the other, and how many each has; all are encoded in one text.
+    def _ids(self, words: list[str], plain: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The words' ids, one after the other, and how many each has; ENCODED_TOGETHER words are encoded in one text.
 
         A plain word falls into runs of letters, single digits and runs of signs, each of which
         ends with an id of the end of a word; in others a token's offset tells its word.
         """
-        text = " ".join(words)
-        runs = [_RUN.findall(w) for w in words]
-        if all(len("".join(r)) == len(w) for r, w in zip(runs, words, strict=True)):
-            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+        parts = [words[at : at + ENCODED_TOGETHER] for at in range(0, len(words), ENCODED_TOGETHER)]
+        texts = [" ".join(p) for p in parts]
+        if plain:
+            ids = np.array([i for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) for i in e.ids], np.uint32)
             ends = np.flatnonzero(self.is_end[ids])
-            last = np.cumsum([len(r) for r in runs])
+            last = np.cumsum([len(_RUN.findall(w)) for w in words])
             if len(ends) == last[-1]:
                 return ids, np.diff(ends[last - 1], prepend=-1)
-        found = self.tokenizer.encode(text, add_special_tokens=False)
-        starts = np.cumsum([0, *(len(w) + 1 for w in words)])[:-1]
-        of = np.searchsorted(starts, np.array([a for a, _ in found.offsets], np.int64), "right") - 1
-        return np.array(found.ids, np.uint32), np.bincount(of, minlength=len(words))
+        ids, sizes = [], []
+        for part, text in zip(parts, texts, strict=True):
+            found = self.tokenizer.encode(text, add_special_tokens=False)
+            starts = np.cumsum([0, *(len(w) + 1 for w in part)])[:-1]
+            of = np.searchsorted(starts, np.array([a for a, _ in found.offsets], np.int64), "right") - 1
+            ids.append(np.array(found.ids, np.uint32))
+            sizes.append(np.bincount(of, minlength=len(part)))
+        return np.concatenate(ids), np.concatenate(sizes)
 
     def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, ends): the ids of all texts one after the other, and where each text's end."""
@@ -96,9 +100,9 @@ class Encoder:
         plain = [w for w in new if _PLAIN.fullmatch(w)]
         for kind in (plain, [*{*new}.difference(plain)] if len(plain) < len(new) else []):
             if kind:
-                ids, sizes = zip(*(self._ids(kind[at : at + ENCODED_TOGETHER]) for at in range(0, len(kind), ENCODED_TOGETHER)), strict=True)
+                ids, sizes = self._ids(kind, kind is plain)
                 self.slots |= zip(kind, range(len(self.slots), len(self.slots) + len(kind)), strict=True)
-                self.ids, self.ends = np.concatenate([self.ids, *ids]), np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.concatenate(sizes))])
+                self.ids, self.ends = np.concatenate([self.ids, ids]), np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
         slots = np.fromiter(map(self.slots.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
         sizes = self.ends[slots + 1] - self.ends[slots]
         through = np.concatenate([[0], np.cumsum(sizes)])
@@ -124,6 +128,7 @@ class WaveletMatrix:
         """(zeros, planes, ones) of the values, from the highest bit on."""
         zeros, planes, ones = [], [], []
         size = len(values) // 512 + 1
+        values = values.astype(np.uint16 if bits <= 16 else np.uint32)
         for k in range(bits - 1, -1, -1):
             bit = (values >> k & 1).astype(bool)
             packed = np.zeros(64 * size, np.uint8)
@@ -198,13 +203,14 @@ class WaveletMatrix:
 
     def values(self) -> np.ndarray:
         """All values in order: the planes undone from the last to the first."""
-        out = np.zeros(self.n, np.uint32)
+        kind = np.uint16 if self.bits <= 16 else np.uint32
+        out = np.zeros(self.n, kind)
         for k in range(self.bits - 1, -1, -1):
             bit = self._bits(k)
-            parted, out = out, np.empty(self.n, np.uint32)
+            parted, out = out, np.empty(self.n, kind)
             out[~bit] = parted[: self.zeros[k]]
-            out[bit] = parted[self.zeros[k] :] | np.uint32(1 << (self.bits - 1 - k))
-        return out
+            out[bit] = parted[self.zeros[k] :] | kind(1 << (self.bits - 1 - k))
+        return out.astype(np.uint32)
 
 
 _SHARD = "part int, shard int, n_tokens long, doc_ids array<long>, ends array<long>, zeros array<long>, planes array<binary>, ones array<binary>"
@@ -246,7 +252,7 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str | None = None, en
     told, parts = _encoded(docs, path, end_id)
 
     def row(part: int, shard: int, ids: list, tokens: list[np.ndarray], bits: int) -> pa.RecordBatch:
-        values = np.concatenate(tokens).astype(np.uint32)
+        values = np.concatenate(tokens)
         ends = np.cumsum([len(x) for x in tokens])
         zeros, planes, ones = WaveletMatrix.build(values, bits)
         cells = [part, shard, len(values), ids, ends, zeros, planes, ones]
