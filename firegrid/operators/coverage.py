@@ -11,12 +11,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from firegrid.operators.graph import shared_checkpoint
-from firegrid.operators.shapes import RING, douglas_peucker
+from firegrid.operators.shapes import RING, douglas_peucker, rings_array
 
 #: Degrees within which a vertex lies on an edge: a tenth of a millimetre.
 ON_EDGE = 1e-9
@@ -92,17 +92,49 @@ def _chained(x0, y0, x1, y1) -> list[np.ndarray]:
     return rings
 
 
-def _as_ring(points: np.ndarray) -> list[dict]:
-    return [{"lon": float(x), "lat": float(y)} for x, y in points]
+def _groups(batches, size: int):
+    """(key, rows) of every group of batches that are sorted by their first `size` columns; a group may go on in the next batch."""
+    group, rows = None, []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row[:size] != group:
+                if rows:
+                    yield group, rows
+                group, rows = row[:size], []
+            rows.append(row[size:])
+    if rows:
+        yield group, rows
+
+
+def _in_parts(rows, size: int = 10_000):
+    """Lists of about so many rows."""
+    part = []
+    for row in rows:
+        part.append(row)
+        if len(part) >= size:
+            yield part
+            part = []
+    if part:
+        yield part
 
 
 def rings_of(edges: DataFrame, key: str) -> DataFrame:
-    """(key, rings) of outlines: outer rings turn left, holes right. A key's outline is chained in one task."""
+    """(key, rings) of outlines: outer rings turn left, holes right. A key's outline is chained in one task, many keys one after another."""
 
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "rings": [[_as_ring(r) for r in _chained(*(pdf[c] for c in _XY))]]})
+    def chain(batches):
+        kind = None
 
-    return edges.groupBy(key).applyInPandas(chain, f"{key} {dict(edges.dtypes)[key]}, rings array<{RING}>")
+        def seen():
+            nonlocal kind
+            for batch in batches:
+                kind = batch.schema.field(0).type
+                yield batch
+
+        for part in _in_parts(_groups(seen(), 1)):
+            yield pa.RecordBatch.from_arrays([pa.array([k for (k,), _ in part], kind), rings_array([_chained(*zip(*rows, strict=True)) for _, rows in part])], [key, "rings"])
+
+    sorted_edges = edges.select(key, *_XY).repartition(key).sortWithinPartitions(key)
+    return sorted_edges.mapInArrow(chain, f"{key} {dict(edges.dtypes)[key]}, rings array<{RING}>")
 
 
 def planar_area(edges: DataFrame, *keys: str) -> DataFrame:
@@ -147,12 +179,14 @@ def simplify_coverage(areas: DataFrame, unit: str, tolerance: float) -> DataFram
         F.coalesce("a_node", F.lit(False)).alias("a_node"), F.coalesce("b_node", F.lit(False)).alias("b_node"),
     )
 
-    def arcs(pdf: pd.DataFrame) -> pd.DataFrame:
-        ahead = {(r.x0, r.y0): [] for r in pdf.itertuples()}
+    def arcs(rows: list[tuple]) -> list[tuple]:
+        if len(rows) == 1:
+            return [rows[0][:4]]
+        ahead = {r[:2]: [] for r in rows}
         node = set()
-        for r in pdf.sort_values([*_XY]).itertuples():
-            ahead[r.x0, r.y0].append((r.x1, r.y1))
-            node |= ({(r.x0, r.y0)} if r.a_node else set()) | ({(r.x1, r.y1)} if r.b_node else set())
+        for r in sorted(rows):
+            ahead[r[:2]].append(r[2:4])
+            node |= ({r[:2]} if r[4] else set()) | ({r[2:4]} if r[5] else set())
         out = []
         starts = [p for p in sorted(ahead) if p in node] + sorted(p for p in ahead if p not in node)
         for start in starts:
@@ -168,12 +202,13 @@ def simplify_coverage(areas: DataFrame, unit: str, tolerance: float) -> DataFram
                 else:
                     points = douglas_peucker(points, tolerance)
                 out += [(*p, *q) for p, q in zip(points[:-1].tolist(), points[1:].tolist(), strict=True)]
-        found = pd.DataFrame(out, columns=[*_XY])
-        found.insert(0, "own", pdf["own"].iloc[0])
-        found.insert(1, "other", pdf["other"].iloc[0])
-        return found
+        return out
+
+    def kernel(batches):
+        for part in _in_parts((*key, *edge) for key, rows in _groups(batches, 2) for edge in arcs(rows)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part, strict=True), (pa.string(), pa.string(), *[pa.float64()] * 4), strict=True)], ["own", "other", *_XY])
 
-    small = flat.groupBy("own", "other").applyInPandas(arcs, "own string, other string, x0 double, y0 double, x1 double, y1 double")
+    small = flat.repartition("own", "other").sortWithinPartitions("own", "other").mapInArrow(kernel, "own string, other string, x0 double, y0 double, x1 double, y1 double")
     small = shared_checkpoint(small)
     both = small.select(F.col("own").alias("unit"), *_XY).unionByName(
         small.filter("other is not null").select(F.col("other").alias("unit"), F.col("x1").alias("x0"), F.col("y1").alias("y0"), F.col("x0").alias("x1"), F.col("y0").alias("y1"))
