@@ -8,7 +8,8 @@ import pyarrow as pa
 import pytest
 
 import __spark_entry__ as entry
-from firegrid.operators import shapes
+from firegrid.functions import geo
+from firegrid.operators import clustering, shapes
 
 
 def plan(df) -> str:
@@ -54,3 +55,20 @@ def test_equal_polygons_are_repaired_once(spark):
     df = spark.createDataFrame([(k, p) for k, p in enumerate([tie, None, [], tie])], f"id int, rings array<{shapes.RING}>").coalesce(1)
     got = {r.id: r.fixed for r in df.select("id", shapes.repaired_rings("rings").alias("fixed")).collect()}
     assert got[1] is None and got[2] == [] and got[0] == got[3] and len(got[0]) == 2
+
+
+def test_only_the_nearest_places_are_measured(monkeypatch):
+    """A crowded event costs a few geodesics a detection, and the distance is that of its nearest place."""
+    asked = []
+    pair = clustering.geodesic_pair_m
+    monkeypatch.setattr(clustering, "geodesic_pair_m", lambda *a: asked.append(a) or pair(*a))
+    replay = clustering.Replay(clustering.REFERENCE)
+    places = [(2 + x / 1000, 45 + y / 1000) for x in range(20) for y in range(15)]
+    for lon, lat in places:
+        replay.know("E", lon, lat, 0, (0, "k"))
+    event, score = replay.attach(2.0104, 45.0071, 3_600_000_000, "n")
+    d = geo.geodesic_m(np.full(300, 2.0104), np.full(300, 45.0071), *zip(*places, strict=True)).min()
+    p = clustering.REFERENCE
+    radius = min(p.base_radius_m + p.growth_m_per_hour, p.max_radius_m)
+    assert event == "E" and score == round((1 - d / radius) * (1 - 1 / p.attach_window_hours), 6) and len(asked) < 10
+    assert pair(2.0, 45.0, 2.01, 45.02) == pytest.approx(float(geo.geodesic_m([2.0], [45.0], [2.01], [45.02])[0]), abs=1e-6)
