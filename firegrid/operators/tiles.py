@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from firegrid.functions.geo import MERCATOR_MAX_LAT, tile_of
+from firegrid.operators.shapes import distinct_polygons
 
 #: Units of a tile's edge.
 EXTENT = 4096
@@ -65,28 +66,42 @@ def clip_to_tiles(features: DataFrame, zoom: int, margin: int = 0, extent: int =
     units around it, snapped to whole units from the tile's north-west corner, and closed; repeated
     points and rings that collapse are left out, and parts without area give no row. area is in
     square units, holes taken off. A feature's rows are made where its box says, so a feature over many tiles
-    is cut by many tasks; nothing is gathered.
+    is cut by many tasks; nothing is gathered. Rows are dealt first, as a small file is one task's, and
+    what repeats in a batch (polygon and tile) is cut once.
     """
     kind = pa.list_(pa.list_(pa.struct([("x", pa.int32()), ("y", pa.int32())])))
 
-    def snapped(ring: list[dict], x: int, y: int) -> np.ndarray:
-        places = world([p["lon"] for p in ring], [p["lat"] for p in ring], zoom) * extent - np.array([x, y]) * float(extent)
+    def snapped(ring: np.ndarray, x: int, y: int) -> np.ndarray:
+        places = world(ring[:, 0], ring[:, 1], zoom) * extent - np.array([x, y]) * float(extent)
         cut = np.floor(clip_ring(places[:-1], float(-margin), float(extent + margin)) + 0.5).astype(np.int64)
         kept = cut[np.any(cut != np.roll(cut, 1, axis=0), axis=1)] if len(cut) else cut
         return kept if len(kept) >= 3 and doubled_area(kept) else kept[:0]
 
+    def clipped(rings: list[np.ndarray], x: int, y: int) -> tuple[list, float] | None:
+        cut = [snapped(r, x, y) for r in rings if len(r)]
+        if not cut or not len(cut[0]):
+            return None
+        parts = [cut[0], *(r for r in cut[1:] if len(r))]
+        area = abs(doubled_area(parts[0])) - sum(abs(doubled_area(r)) for r in parts[1:])
+        return [[{"x": int(a), "y": int(b)} for a, b in [*r, r[0]]] for r in parts], area / 2
+
     def kernel(batches):
         for batch in batches:
-            out = []
-            for code, rings, x, y in zip(*(batch.column(c).to_pylist() for c in ("code", "rings", "x", "y")), strict=True):
-                cut = [snapped(r, x, y) for r in rings or [] if r]
-                if not cut or not len(cut[0]):
-                    continue
-                parts = [cut[0], *(r for r in cut[1:] if len(r))]
-                area = abs(doubled_area(parts[0])) - sum(abs(doubled_area(r)) for r in parts[1:])
-                out.append((code, x, y, [[{"x": int(a), "y": int(b)} for a, b in [*r, r[0]]] for r in parts], area / 2))
-            columns = [*zip(*out, strict=True)] or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int32(), kind, pa.float64()), strict=True)], ["code", "x", "y", "rings", "area"])
-
-    touched = tile_features(features.filter("code is not null and rings is not null"), zoom).select("code", "rings", F.col("x").cast("int"), F.col("y").cast("int"))
+            polygons, at = distinct_polygons(batch.column(1))
+            known: dict[tuple, int] = {}
+            found, rows, place = [], [], []
+            for k, key in enumerate(zip(at.tolist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                if key not in known:
+                    part = clipped(polygons[key[0]], *key[1:])
+                    known[key] = -1 if part is None else len(found)
+                    found += [] if part is None else [part]
+                if known[key] >= 0:
+                    rows.append(k)
+                    place.append(known[key])
+            own, where = pa.array(rows, pa.int64()), pa.array(place, pa.int64())
+            made = [pa.array([f[k] for f in found], t).take(where) for k, t in enumerate((kind, pa.float64()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(own) for k in (0, 2, 3)), *made], ["code", "x", "y", "rings", "area"])
+
+    touched = tile_features(features.filter("code is not null and rings is not null"), zoom).select(F.col("code").cast("string").alias("code"), "rings", F.col("x").cast("int"), F.col("y").cast("int"))
+    touched = touched.repartition("x", "y", "code")
     return touched.mapInArrow(kernel, "code string, x int, y int, rings array<array<struct<x:int,y:int>>>, area double")

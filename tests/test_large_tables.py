@@ -9,7 +9,8 @@ import pytest
 
 import __spark_entry__ as entry
 from firegrid.functions import geo
-from firegrid.operators import clustering, shapes
+from firegrid.operators import clustering, corpus, shapes, spatial, tiles
+from firegrid.sources import bulletins
 
 
 def plan(df) -> str:
@@ -72,3 +73,46 @@ def test_only_the_nearest_places_are_measured(monkeypatch):
     radius = min(p.base_radius_m + p.growth_m_per_hour, p.max_radius_m)
     assert event == "E" and score == round((1 - d / radius) * (1 - 1 / p.attach_window_hours), 6) and len(asked) < 10
     assert pair(2.0, 45.0, 2.01, 45.02) == pytest.approx(float(geo.geodesic_m([2.0], [45.0], [2.01], [45.02])[0]), abs=1e-6)
+
+
+def test_no_satellite_is_one_task(spark):
+    """Superseded rows are told without putting each satellite's corpus in one task."""
+    rows = spark.createDataFrame([("N20", "standard", 1), ("N20", "nrt", 1), ("N20", "nrt", 2), ("N21", "nrt", 1)], "satellite string, corpus string, detected_at int")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = corpus.drop_superseded(rows)
+        assert "SortMergeJoin" not in plan(kept)
+        assert sorted((r.satellite, r.corpus, r.detected_at) for r in kept.collect()) == [("N20", "nrt", 2), ("N20", "standard", 1), ("N21", "nrt", 1)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_sources_of_one_place_are_joined_once(spark, monkeypatch):
+    joined = []
+    within = spatial.within_distance
+    monkeypatch.setattr(spatial, "within_distance", lambda left, right, radius: joined.append(right.count()) or within(left, right, radius))
+    det = spark.createDataFrame([("a", 2.0, 45.0), ("b", 2.02, 45.0), ("c", 9.0, 45.0)], "id string, longitude double, latitude double")
+    sources = spark.createDataFrame([(f"s{k}", 2.0, 45.0, 500 + k % 2 * 1500, True) for k in range(40)] + [("r", 2.0, 45.0, 9000, False)], "source_key string, longitude double, latitude double, match_radius_m int, is_active boolean")
+    got = {r.id: r.known_source_key for r in spatial.classify_known(det, sources).collect()}
+    assert got == {"a": "s0", "b": "s1", "c": None} and joined == [2]
+
+
+def test_tiles_are_dealt_before_they_are_cut(spark):
+    point = lambda x, y: {"lon": float(x), "lat": float(y)}
+    ring = [point(2, 45), point(2.5, 45), point(2.5, 45.5), point(2, 45.5), point(2, 45)]
+    rows = spark.createDataFrame([(f"c{k}", [ring], 2.0, 2.5, 45.0, 45.5) for k in range(6)], f"code string, rings array<{shapes.RING}>, lon_min double, lon_max double, lat_min double, lat_max double")
+    cut = tiles.clip_to_tiles(rows.coalesce(1), 8, margin=64)
+    assert "RepartitionByExpression" in plan(cut)
+    parts = {}
+    for r in cut.collect():
+        parts.setdefault(r.code, set()).add((r.x, r.y, r.area, str(r.rings)))
+    assert len(parts) == 6 and all(p == parts["c0"] for p in parts.values()) and len(parts["c0"]) > 1
+
+
+def test_bulletins_are_dealt_before_they_are_counted(spark):
+    """A partial count over bulletins that are all different would hold a whole file's in one task."""
+    rows = spark.createDataFrame([("a", 1, "x", None), ("a", 1, "w", "bad"), ("b", 1, None, None)], "bulletin_domain string, published_at int, snapshot_id string, reject string")
+    counted = bulletins.bulletins_of(rows)
+    assert "RepartitionByExpression" in plan(counted)
+    assert sorted(counted.collect()) == [("a", 1, "w", 1, 1), ("b", 1, None, 1, 0)]
