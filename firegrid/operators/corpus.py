@@ -40,8 +40,8 @@ def standard_bounds(df: DataFrame) -> DataFrame:
 
 def drop_superseded(df: DataFrame) -> DataFrame:
     """Without the near-real-time rows that standard data of the same satellite cover, bound included."""
-    # One row a satellite: few by nature, and left to the planner all the same.
-    bounded = df.join(standard_bounds(df), "satellite", "left")
+    # One row a satellite, few by nature: a join by key would put each satellite's whole corpus in one task.
+    bounded = df.join(F.broadcast(standard_bounds(df)), "satellite", "left")
     return bounded.filter(~((F.col("corpus") == "nrt") & F.coalesce(F.col("detected_at") <= F.col("standard_until"), F.lit(False)))).drop("standard_until")
 
 
