@@ -6,10 +6,11 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from firegrid.functions import geo
-from firegrid.operators import clustering, corpus, shapes, spatial, tiles
+from firegrid.functions import geo, text
+from firegrid.operators import clustering, corpus, search, shapes, spatial, tiles
 from firegrid.sources import bulletins
 
 
@@ -116,3 +117,23 @@ def test_bulletins_are_dealt_before_they_are_counted(spark):
     counted = bulletins.bulletins_of(rows)
     assert "RepartitionByExpression" in plan(counted)
     assert sorted(counted.collect()) == [("a", 1, "w", 1, 1), ("b", 1, None, 1, 0)]
+
+
+def test_closest_names_by_blocks(spark, monkeypatch):
+    """Names and searches in many blocks; each block gives no more than its closest names."""
+    monkeypatch.setattr(search, "NAMES", 12)
+    monkeypatch.setattr(search, "SEARCHES", 2)
+    names = spark.createDataFrame([(f"{k:05}", f"Customer#{k % 40:03}", ["1"]) for k in range(60)], "insee_code string, name string, postal_codes array<string>")
+    asked = spark.createDataFrame([(k, f"customer {k * 9:03}") for k in range(5)] + [(9, "")], "search_id int, q string")
+    norm = text.normalize_name(F.col("name"))
+    told = names.select("insee_code", "name", text.trigrams(norm).alias("grams"))
+    wanted = asked.filter("q <> ''").select("search_id", text.trigrams(F.col("q")).alias("asked"))
+    pairs = {}
+    for r in told.crossJoin(wanted).withColumn("s", text.similarity(F.col("grams"), F.col("asked"))).filter("s >= 0.3").collect():
+        pairs.setdefault(r.search_id, []).append((-r.s, r.name, r.insee_code))
+    got = search.closest_names(told, wanted.withColumnRenamed("asked", "grams"), 3).collect()
+    assert len(got) < sum(map(len, pairs.values()))
+    for k, every in pairs.items():
+        assert {x[2] for x in sorted(every)[:3]} <= {r.insee_code for r in got if r.search_id == k}
+    first = {(r.search_id, r.place): r.insee_code for r in search.search_many(names, asked, 3).collect()}
+    assert first[0, 1] == "00000" and first[0, 2] == "00040" and (9, 1) not in first
