@@ -48,8 +48,11 @@ def fetch_bulletin(live_url: str, archive_url: Callable[[], str], key: str | Non
 
 
 def bulletins_of(parsed: DataFrame) -> DataFrame:
-    """One row a bulletin of parse_warnings() rows: its key, snapshot, accepted and rejected levels."""
-    return parsed.groupBy(*BULLETIN_KEY).agg(
+    """One row a bulletin of parse_warnings() rows: its key, snapshot, accepted and rejected levels.
+
+    A bulletin has a few rows, so counting before the shuffle saves nothing and would hold all bulletins of a task's files.
+    """
+    return parsed.repartition(*BULLETIN_KEY).groupBy(*BULLETIN_KEY).agg(
         F.min("snapshot_id").alias("snapshot_id"), F.count_if(F.col("reject").isNull()).alias("levels"), F.count_if(F.col("reject").isNotNull()).alias("rejects")
     )
 
