@@ -11,29 +11,34 @@ whatever stands around it (for B this is read off its pieces), so texts are cut
 each distinct piece of a batch is encoded and aligned once. Results are those of whole texts.
 
 Documents are handled in blocks of a few megabytes. Only a block's distinct id pairs travel:
-they are counted over the corpus and sent back to their block, so a pair that every
-document holds is one row a block.
+they meet once by their A id, are counted over the corpus and sent back to their block as
+sorted rows, so a pair that every document holds is one row a block. A task holds a few
+blocks' pairs, however many there are.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterable
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from firegrid.llm import bpe
-from firegrid.llm.common import Scratch, bound_arrow_batches, text_slices
+from firegrid.llm.common import Scratch, bound_arrow_batches, release_memory, text_slices
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: A worker forgets its pieces before the batch that finds more of them than this; pieces that are encoded in one text.
-REMEMBERED_PIECES, ENCODED_TOGETHER = 150_000, 1024
+REMEMBERED_PIECES, ENCODED_TOGETHER = 60_000, 1024
+#: Blocks of a file, which are decoded at once; blocks whose pairs one task counts, and that one task gives their counts, on average.
+FILE_BLOCKS, COUNTED_BLOCKS, TOLD_BLOCKS = 4, 12, 8
 
 
 def default_vocabularies() -> tuple[str, str]:
@@ -42,6 +47,14 @@ def default_vocabularies() -> tuple[str, str]:
     return bpe.default_vocabulary(), public_tokenizers.path("piece_bpe_32k.model")
 
 
+class _Slots(dict):
+    """Numbers of the pieces in the order in which they are first asked for."""
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = slot = len(self)
+        return slot
+
+
 class Tokenizers:
     """Both encoders, and the byte strings of their ids. A's specials are ordinary text."""
 
@@ -60,7 +73,7 @@ class Tokenizers:
 
     def forget(self) -> None:
         """Start the remembered pieces anew: their slots, and their ids and whether their bytes hold, by slot."""
-        self.slots: dict[str, int] = {}
+        self.slots = _Slots()
         self.a_ids = self.b_ids = np.empty(0, np.int32)
         self.a_ends = self.b_ends = np.zeros(1, np.int64)
         self.same = np.empty(0, bool)
@@ -73,9 +86,16 @@ class Tokenizers:
         return [first[1:], *rest]
 
     def remember(self, pieces: list[str]) -> np.ndarray:
-        """Slots of the pieces; new ones are encoded. `same` tells whether the bytes of both tokenizers are a space and the piece."""
-        new = [p for p in dict.fromkeys(pieces) if p not in self.slots]
-        found = []
+        return self.remember_each([pieces])[0]
+
+    def remember_each(self, texts: Iterable[list[str]]) -> list[np.ndarray]:
+        """Slots of every text's pieces; new ones are encoded. `same` tells whether the bytes of both tokenizers are a space and the piece.
+
+        The texts are taken one by one, so that of their pieces only the new ones are held.
+        """
+        known = len(self.slots)
+        slots = [np.fromiter(map(self.slots.__getitem__, x), np.int32, len(x)) for x in texts]
+        new, found = list(islice(self.slots, known, None)), []
         for at in range(0, len(new), ENCODED_TOGETHER):
             some = new[at : at + ENCODED_TOGETHER]
             raw = [b" " + p.encode() for p in some]
@@ -84,11 +104,10 @@ class Tokenizers:
             found.append((*a, *_ids(some, raw, lambda x: self.b.encode(x, num_threads=1), self.b_bytes, self.b_sizes, together)))
         if found:
             a_ids, a_sizes, same_a, b_ids, b_sizes, same_b = map(np.concatenate, zip(*found, strict=True))
-            self.slots |= zip(new, range(len(self.slots), len(self.slots) + len(new)), strict=True)
             self.a_ids, self.a_ends = np.concatenate([self.a_ids, a_ids]), np.concatenate([self.a_ends, self.a_ends[-1] + np.cumsum(a_sizes)])
             self.b_ids, self.b_ends = np.concatenate([self.b_ids, b_ids]), np.concatenate([self.b_ends, self.b_ends[-1] + np.cumsum(b_sizes)])
             self.same = np.concatenate([self.same, same_a & same_b])
-        return np.fromiter(map(self.slots.__getitem__, pieces), np.int64, len(pieces))
+        return slots
 
 
 def _ids(pieces: list[str], raw: list[bytes], encode, bytes_of: list[bytes], sizes: np.ndarray, together: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -144,13 +163,13 @@ class Batch:
     def __init__(self, texts: list[str], own: Tokenizers):
         if len(own.slots) > REMEMBERED_PIECES:
             own.forget()
-        split = [own.pieces(x) if x else [] for x in texts]
-        order = own.remember([p for x in split for p in x])
-        ends = np.concatenate([[0], np.cumsum([len(x) for x in split])]).astype(np.int64)
+        parts = own.remember_each(own.pieces(x) if x else [] for x in texts)
+        order = np.concatenate([np.empty(0, np.int32), *parts])
+        ends = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int64)
         odd = np.unique(np.searchsorted(ends, np.flatnonzero(~own.same[order]), "right") - 1).tolist()
         if odd:  # then the whole text decides
-            whole = dict(zip(odd, own.remember([texts[n] for n in odd]).tolist(), strict=True))
-            parts = [order[ends[n] : ends[n + 1]] if n not in whole else np.array([whole[n]] if own.same[whole[n]] else [], np.int64) for n in range(len(texts))]
+            for n, whole in zip(odd, own.remember_each([texts[n]] for n in odd), strict=True):
+                parts[n] = whole[own.same[whole]]
             order, ends = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int64)
         used, self.order = np.unique(order, return_inverse=True)
         self.order_ends, self.texts = ends, len(texts)
@@ -254,15 +273,18 @@ def _blocks(docs: DataFrame, paths: tuple[str, str]) -> DataFrame:
                 ],
                 [c.split()[0] for c in _BLOCK.split(",")],
             )
+            del found, digests
+            release_memory()
+        own.forget()  # the worker waits for its next task, while others sort
+        release_memory()
 
     return docs.select("doc_id", "text").mapInArrow(kernel, _BLOCK)
 
 
 def _counted(pairs: DataFrame) -> DataFrame:
-    """(a, b, n_docs, is_best) of (a, b, docs): documents that hold the pair, and whether no pair of this A id has more."""
-    counts = pairs.groupBy("a", "b").agg(F.sum("docs").alias("n_docs"))
-    most = counts.groupBy("a").agg(F.max("n_docs").alias("most"))
-    return counts.join(most, "a").select("a", "b", "n_docs", (F.col("n_docs") == F.col("most")).alias("is_best"))
+    """`pairs` (a, b, docs and others) with n_docs and is_best: documents that hold the pair, and whether no pair of this A id has more."""
+    counts = pairs.withColumn("n_docs", F.sum("docs").over(Window.partitionBy("a", "b")))
+    return counts.withColumn("is_best", F.col("n_docs") == F.max("n_docs").over(Window.partitionBy("a")))
 
 
 def _pairs(blocks: DataFrame) -> DataFrame:
@@ -272,7 +294,8 @@ def _pairs(blocks: DataFrame) -> DataFrame:
 def link_counts(docs: DataFrame, vocabularies: tuple[str, str] | None = None) -> DataFrame:
     """(a, b, n_docs, is_best): every pair of ids that overlap anywhere, and the number of documents (rows) that hold it linked."""
     bound_arrow_batches(docs.sparkSession)
-    return _counted(_pairs(_blocks(docs, vocabularies or default_vocabularies())))
+    pairs = _pairs(_blocks(docs, vocabularies or default_vocabularies())).groupBy("a", "b").agg(F.sum("docs").alias("docs"))
+    return _counted(pairs.repartition("a")).select("a", "b", "n_docs", "is_best")
 
 
 def alignment_report(docs: DataFrame, vocabularies: tuple[str, str] | None = None) -> DataFrame:
@@ -285,30 +308,29 @@ def alignment_report(docs: DataFrame, vocabularies: tuple[str, str] | None = Non
     """
     bound_arrow_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession)
-    blocks = scratch.keep("blocks", _blocks(docs, vocabularies or default_vocabularies()))
-    pairs = _pairs(blocks.select("block", "a", "b", "docs"))
-    # A pair occurs once a block, so even one that all documents hold has no more rows than there are blocks.
-    told = pairs.join(_counted(pairs), ["a", "b"]).groupBy("block").agg(F.collect_list(F.struct("at", "n_docs", "is_best")).alias("told"))
+    blocks = scratch.keep("blocks", _blocks(docs, vocabularies or default_vocabularies()), FILE_BLOCKS)
+    many = blocks.count()
+    # A pair occurs once a block, so even an A id that all documents hold has few rows for each block.
+    pairs = _pairs(blocks.select("block", "a", "b", "docs")).repartition(-(-many // COUNTED_BLOCKS) or 1, "a")
     columns = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"]
-
-    def kernel(batches):
-        for batch in batches:
-            for k in range(batch.num_rows):
-                value = lambda name: batch.column(name).slice(k, 1).flatten()  # noqa: B023, E731
-                numbers = lambda name: value(name).to_numpy(zero_copy_only=False)  # noqa: B023, E731
-                rows = len(value("doc_id"))
-                best, sums = np.zeros(rows, np.int64), np.zeros(rows, np.int64)
-                if len(value("told")):
-                    told = value("told")
-                    at = told.field("at").to_numpy()
-                    n, top = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
-                    n[at], top[at] = told.field("n_docs").to_numpy(), told.field("is_best").to_numpy(zero_copy_only=False)
-                    starts = np.cumsum(numbers("piece_links")) - numbers("piece_links")
-                    doc, piece, times, links = (numbers(c) for c in ("doc", "piece", "times", "links"))
-                    for figure, out in ((top, best), (n, sums)):
-                        np.add.at(out, doc, np.add.reduceat(figure[links], starts)[piece] * times)
-                yield pa.RecordBatch.from_arrays([*map(value, columns), pa.array(best), pa.array(sums)], [*columns, "n_best", "count_sum"])
+    deal = lambda df: df.repartition(-(-many // TOLD_BLOCKS) or 1, "block").groupBy("block")
+    told = deal(_counted(pairs).select("block", "at", "n_docs", "is_best"))
+
+    def kernel(block: pa.Table, told: pa.Table) -> pa.Table:
+        value = lambda name: block.column(name).combine_chunks().flatten()
+        numbers = lambda name: value(name).to_numpy(zero_copy_only=False)
+        rows = len(value("doc_id"))
+        best, sums = np.zeros(rows, np.int64), np.zeros(rows, np.int64)
+        if told.num_rows:
+            at = told.column("at").to_numpy()
+            starts = np.cumsum(numbers("piece_links")) - numbers("piece_links")
+            doc, piece, times, links = (numbers(c) for c in ("doc", "piece", "times", "links"))
+            for name, out in (("is_best", best), ("n_docs", sums)):
+                figure = np.zeros(len(at), np.int64)
+                figure[at] = told.column(name).to_numpy()
+                np.add.at(out, doc, np.add.reduceat(figure[links], starts)[piece] * times)
+        return pa.table([*map(value, columns), pa.array(best), pa.array(sums)], [*columns, "n_best", "count_sum"])
 
     schema = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, n_best long, count_sum long"
-    held = blocks.select("block", *columns, "doc", "piece", "times", "links", "piece_links")
-    return held.join(told, "block", "left").drop("block").mapInArrow(kernel, schema)
+    held = deal(blocks.select("block", *columns, "doc", "piece", "times", "links", "piece_links"))
+    return held.cogroup(told).applyInArrow(kernel, schema)

@@ -11,6 +11,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,9 +69,10 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark, self.root, self.paths = spark, f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}", {}
 
-    def keep(self, name: str, df: DataFrame) -> DataFrame:
+    def keep(self, name: str, df: DataFrame, file_rows: int = 0) -> DataFrame:
+        """The table as written, in files of at most `file_rows` rows: arrays are decoded up to 4096 rows of a file at once, however large."""
         self.paths[name] = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(self.paths[name])
+        df.write.mode("overwrite").option("maxRecordsPerFile", file_rows).parquet(self.paths[name])
         return self.spark.read.schema(df.schema).parquet(self.paths[name])
 
     def read(self, *names: str) -> DataFrame:
@@ -100,6 +102,12 @@ def text_slices(batches, size: int = 2 << 20):
             yield batch.slice(a, b - a)
 
 
+def release_memory() -> None:
+    """Give a worker's unused memory back, Arrow's own and that of numpy and Python: workers outlive their tasks, and share an executor's memory."""
+    for pool in (pa.default_memory_pool(), pa.system_memory_pool()):
+        pool.release_unused()
+
+
 def small(df: DataFrame, rows: int) -> DataFrame:
     """Broadcast a side whose counted rows are few, else leave the choice to Spark."""
     return F.broadcast(df) if rows <= MAX_BROADCAST_ROWS else df

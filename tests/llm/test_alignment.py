@@ -104,3 +104,24 @@ def test_stabbing_finds_overlaps_and_gaps(a, b):
         hit = [j for j in range(len(ends_b)) if starts_b[j] < e and s < ends_b[j]]
         assert (first[k], last[k]) == (hit[0], hit[-1])
     assert [int(x) for x, c in zip(ends_b, closes, strict=True) if c] == sorted({*ends_a.tolist()} & {*ends_b.tolist()})
+
+
+def test_files_hold_few_blocks_and_every_block_is_told(spark, monkeypatch):
+    """A file's blocks are decoded at once, so a file holds few of them."""
+    kept = []
+    monkeypatch.setattr(alignment, "FILE_BLOCKS", 2)
+    keep = alignment.Scratch.keep
+    monkeypatch.setattr(alignment.Scratch, "keep", lambda *args: kept.append(keep(*args)) or kept[-1])
+    docs = spark.createDataFrame([(k, "one two " * 150_000 + f"three{k}", "en", "a", 0) for k in range(5)], DOCS).coalesce(1)
+    got = alignment.alignment_report(docs).select("n_a", "n_best", "count_sum").collect()
+    assert len(kept[0].select("block").collect()) == 3  # slices of two megabytes
+    assert sorted(r["count"] for r in kept[0].groupBy(F.input_file_name()).count().collect()) == [1, 2]
+    assert len(got) == 5 and all(r.n_best > 300_000 and r.count_sum > 5 * 300_000 for r in got)
+
+
+def test_texts_are_taken_one_by_one():
+    own, taken = alignment.Tokenizers(*alignment.default_vocabularies()), []
+    texts = (taken.append(k) or [f"one{k % 2}", "two"] for k in range(4))
+    slots = own.remember_each(texts)
+    assert taken == [0, 1, 2, 3] and [x.tolist() for x in slots] == [[0, 1], [2, 1], [0, 1], [2, 1]]
+    assert len(own.a_ends) == len(own.slots) + 1 == 4 and own.same.all()
