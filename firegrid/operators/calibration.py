@@ -45,8 +45,7 @@ def label_parameters(label: Column) -> Column:
 
 def measures(detections: DataFrame, sets: list[ClusteringParams]) -> DataFrame:
     """One row a set: the calibration metrics of its events over `detections` (id, provider_key, acquired_at, longitude, latitude, sensor)."""
-    members = clustering.sweep(detections, sets).select("id", "version", "event_id", "acquired_at", "longitude", "latitude")
-    shapes = clustering.event_shapes(members.join(detections.select("id", "sensor"), "id"))
+    shapes = clustering.sweep_shapes(detections, sets)
     return clustering.calibration_metrics(shapes.withColumn("span_hours", (F.unix_micros("last") - F.unix_micros("first")) / F.lit(3.6e9)))
 
 

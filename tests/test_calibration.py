@@ -1,10 +1,11 @@
 """The ledger of a sweep: isolation of failures and resumption."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from firegrid.functions.rules import ClusteringParams
 from firegrid.operators import calibration, clustering
-from tests.test_operators import cloud, sequential
+from tests.test_operators import cloud, never_silent, sequential
 
 ROWS = cloud(4, 60)
 
@@ -55,3 +56,42 @@ def test_shapes_of_events(spark):
     wide = lambda g: max(((a[0] - b[0]) ** 2 + (a[1] - b[1]) ** 2) ** 0.5 for a in g for b in g) * 111
     assert got == {e: (len(g), min(x[2] for x in g), max(x[2] for x in g), round(wide(g), 9)) for e, g in groups.items()}
     assert clustering.event_shapes(members.limit(0)).count() == 0
+
+
+def test_events_are_told_where_they_are_found(spark, monkeypatch):
+    """Measures of a sweep over groups, large groups and slices, against the shapes of its rows; no row of a member is made."""
+    sets = [ClusteringParams("a"), ClusteringParams("b", min_score=0.5)]
+    data = spark.createDataFrame([(r[0], *r, ["VIIRS", "MODIS", None][k % 3]) for k, r in enumerate(never_silent(200) + cloud(5, 150))], "id string, provider_key string, acquired_at timestamp, longitude double, latitude double, sensor string")
+    data = data.withColumn("provider_key", F.concat("provider_key", F.monotonically_increasing_id().cast("string"))).withColumn("id", F.col("provider_key")).localCheckpoint()
+    plain = lambda shapes: {(r.version, r.event_id): (r.n, r.first, r.last, round(r.diagonal_km, 9), r.sensor_count) for r in shapes.collect()}
+    wanted = plain(clustering.event_shapes(clustering.sweep(data, sets).join(data.select("id", "sensor"), "id")))
+    assert len({v for v, _ in wanted}) == 2 and max(x[0] for x in wanted.values()) > 5
+    made, real = [], clustering.attach_closed
+    monkeypatch.setattr(clustering, "attach_closed", lambda *a: made.append(a) or real(*a))
+    monkeypatch.setattr(clustering, "_HULL_PLACES", 4)
+    for group, large in ((50_000, 2_000_000), (40, 2_000_000), (50_000, 150)):
+        monkeypatch.setattr(clustering, "GROUP_ROWS", group)
+        monkeypatch.setattr(clustering, "LARGE_ROWS", large)
+        assert plain(clustering.sweep_shapes(data, sets)) == wanted and not made
+    monkeypatch.setattr(clustering, "GROUP_ROWS", 40)
+    lost = data.unionByName(data.limit(1).withColumn("longitude", F.lit(None).cast("double")))
+    with pytest.raises(Exception, match="no coordinate"):
+        clustering.sweep_shapes(lost, sets).collect()
+
+
+def test_reach_is_told_once(monkeypatch):
+    """Every group starts a replay, and there are as many groups as fires."""
+    asked, real = [], clustering.np.linspace
+    monkeypatch.setattr(clustering.np, "linspace", lambda *a: asked.append(a) or real(*a))
+    p = ClusteringParams("only here", base_radius_m=1234)
+    assert len({clustering.Replay(p).reach_m for _ in range(50)}) == 1 and len(asked) <= 1
+
+
+def test_older_events_are_not_measured(monkeypatch):
+    """Events are asked in order of their last instants, and no further than it takes to win."""
+    asked, pair = [], clustering.geodesic_pair_m
+    monkeypatch.setattr(clustering, "geodesic_pair_m", lambda *a: asked.append(a) or pair(*a))
+    replay = clustering.Replay(ClusteringParams())
+    for k in range(10):
+        replay.know(f"e{k}", 6.0 + k / 1000, 44.0, int(k * 3.6e9), (0, f"e{k}"))
+    assert replay.attach(6.0095, 44.0, int(10 * 3.6e9), "n")[0] == "e9" and len(asked) == 1
