@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from firegrid.functions.rules import ClusteringParams
-from firegrid.operators import calibration, clustering
+from firegrid.operators import calibration, clustering, event_state
 from tests.test_operators import cloud, never_silent, sequential
 
 ROWS = cloud(4, 60)
@@ -95,3 +95,13 @@ def test_older_events_are_not_measured(monkeypatch):
     for k in range(10):
         replay.know(f"e{k}", 6.0 + k / 1000, 44.0, int(k * 3.6e9), (0, f"e{k}"))
     assert replay.attach(6.0095, 44.0, int(10 * 3.6e9), "n")[0] == "e9" and len(asked) == 1
+
+
+def test_small_slices_search_no_components(spark, monkeypatch):
+    """Few rows and open places are one group: no neighbours are joined, and the events are those of the rule."""
+    rows = never_silent(90)
+    whole = clustering.rows_of(spark.createDataFrame([(r[0], *r) for r in rows], "id string, provider_key string, acquired_at timestamp, longitude double, latitude double"))
+    for name in ("closed_components", "nearby"):
+        monkeypatch.setattr(event_state, name, lambda *a: pytest.fail("searched"))
+    got = {r.provider_key: r.event_id for r in event_state.replay_slices(whole, ClusteringParams(), 30).collect()}
+    assert got == sequential(rows, ClusteringParams())
